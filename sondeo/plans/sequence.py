@@ -48,26 +48,31 @@ class Sequence:
     block_rows: int
 
     @cached_property
-    def filled(self) -> DataFrame:
-        """Long (series, pos, y) with gaps filled; series without any value are left out."""
-        whole = [c for c in self.columns if self.present[c] == self.n and self.n]
+    def _gappy(self) -> DataFrame:
+        """Long (series, pos, y) of the series with gaps, filled. Filling shuffles, so its result is stored."""
         gappy = [c for c in self.columns if 0 < self.present[c] < self.n]
-        parts = [long_series(self.table, group) for group in (whole, gappy) if group]
+        return stored(fill_gaps(long_series(self.table, gappy), self.block_rows), "filled")
+
+    def series(self, columns: Seq[str]) -> DataFrame:
+        """Long (series, pos, y) with gaps filled; a series without any value is left out."""
+        whole = [c for c in columns if self.present[c] == self.n and self.n]
+        gappy = [c for c in columns if 0 < self.present[c] < self.n]
+        parts = [long_series(self.table, whole)] if whole else []
+        if gappy:
+            parts.append(self._gappy.where(F.col("series").isin(gappy)))
         if not parts:
             return self.table.sparkSession.createDataFrame([], "series string, pos bigint, y double")
-        if gappy:
-            # gap filling shuffles; later operators read its result instead of repeating it
-            parts[-1] = stored(fill_gaps(parts[-1], self.block_rows), "filled")
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
+    @property
+    def filled(self) -> DataFrame:
+        return self.series(self.columns)
+
     def raw(self, columns: Seq[str] | None = None) -> DataFrame:
         """Long (series, pos, ts, y) as stored, gaps included."""
         names = self.columns if columns is None else list(columns)
         return long_series(self.table, names, with_time=True)
 
-    def series(self, columns: Seq[str]) -> DataFrame:
-        return self.filled.where(F.col("series").isin(list(columns)))
-
     def usable(self, min_rows: int, limit: int | None = None) -> list[str]:
         """The first ``limit`` measures that hold a value, given a sequence of at least ``min_rows``."""
         names = self.columns[:limit] if limit else self.columns
@@ -203,25 +208,31 @@ def fill_gaps(long: DataFrame, block_rows: int) -> DataFrame:
     return joined.select("series", "pos", value.alias("y"))
 
 
-def lag_products(long: DataFrame, max_lag: int, block_rows: int, left: str, right: str) -> DataFrame:
-    """(series, lag, total): sum over t of left[t] * right[t - lag] for lag 0..max_lag.
+def lag_products(long: DataFrame, max_lag: int, block_rows: int, differences: bool = False) -> DataFrame:
+    """(series, kind, lag, total): sums over t of products ``lag`` rows apart, for lag 0..max_lag.
 
-    Blocks are bounded and carry their halo, so each task multiplies short arrays; only one number per block
-    and lag is shuffled for the sum. NULLs count as zero.
+    Kind ``yy`` multiplies y[t] * y[t-lag]; with ``differences`` also ``dd`` (d[t] * d[t-lag]) and ``yd``
+    (y[t] * d[t-lag]), where d[t] = y[t] - y[t-1]. Kind ``y`` is the plain sum at lag 0. Blocks are bounded and
+    carry their halo, so each task multiplies short arrays; one number per block, kind and lag is shuffled.
     """
-    spread, size = with_halo(long.select("series", "pos", left, right), max_lag, block_rows)
+    spread, _ = with_halo(long.select("series", "pos", "y"), max_lag + 1, block_rows)
+    kinds = ("yy", "dd", "yd") if differences else ("yy",)
 
-    def products(key, rows: pa.Table) -> pa.Table:
+    def products(key, rows):
         rows = rows.sort_by("pos")
-        a = np.nan_to_num(rows[left].to_numpy())
-        b = np.nan_to_num(rows[right].to_numpy())
-        borrowed = len(a) - int(np.count_nonzero(rows["own"].to_numpy()))
-        lags = np.arange(min(max_lag, len(a) - 1) + 1)
-        starts = np.maximum(lags, borrowed)
-        sums = [float(a[s:] @ b[s - k : len(b) - k]) for k, s in zip(lags, starts)]
-        return pa.table(
-            {"series": pa.array([key[0].as_py()] * len(lags)), "lag": lags.astype("int32"), "total": pa.array(sums)}
-        )
-
-    partial = spread.groupBy("series", "block").applyInArrow(products, "series string, lag int, total double")
-    return partial.groupBy("series", "lag").agg(F.sum("total").alias("total"))
+        y = rows["y"].to_numpy()
+        borrowed = len(y) - int(np.count_nonzero(rows["own"].to_numpy()))
+        values = {"y": y, "d": np.diff(y, prepend=y[:1])}  # the first row of the sequence has no difference
+        first = 1 if borrowed > max_lag else 0  # the halo row that only serves the difference after it
+        lags = np.arange(min(max_lag, len(y) - 1 - first) + 1)
+        starts = np.maximum(lags + first, borrowed)
+        out = [("y", 0, float(y[borrowed:].sum()))]
+        for kind in kinds:
+            a, b = values[kind[0]], values[kind[1]]
+            out += [(kind, int(k), float(a[s:] @ b[s - k : len(b) - k])) for k, s in zip(lags, starts)]
+        kind, lag, total = zip(*out)
+        series = pa.array([key[0].as_py()] * len(out), pa.string())
+        return pa.table({"series": series, "kind": pa.array(kind), "lag": pa.array(lag, pa.int32()), "total": pa.array(total)})
+
+    partial = spread.groupBy("series", "block").applyInArrow(products, "series string, kind string, lag int, total double")
+    return partial.groupBy("series", "kind", "lag").agg(F.sum("total").alias("total"))
