@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Level-stationarity critical values and their p-values.
 KPSS_CRITICAL = (0.347, 0.463, 0.574, 0.739)
@@ -74,13 +75,13 @@ def _vectorised(scalar, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(math.isnan(v) for v in row) else scalar(*row) for row in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic; applied to result rows only."""
     return _vectorised(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail p of an F statistic; applied to result rows only."""
     return _vectorised(f_upper, f, d1, d2)
