@@ -152,7 +152,8 @@ ORACLES["describe"] = union(
 _MOMENT_COLUMNS = ["user_id", "value", "sparse", "fixed", "empty"]
 for _name in ("skewness", "kurtosis"):
     ORACLES[_name] = f"WITH {FLAWED} " + union(
-        [f"SELECT '{c}' AS \"column\", {rnd(finite(f'{_name}(CAST({c} AS DOUBLE))'))} AS {_name} FROM dirty" for c in _MOMENT_COLUMNS]
+        [f"SELECT '{c}' AS \"column\", CASE WHEN count({c}) > 3 AND min({c}) = max({c}) THEN 0.0 ELSE "
+         f"{rnd(finite(f'{_name}(CAST({c} AS DOUBLE))'))} END AS {_name} FROM dirty" for c in _MOMENT_COLUMNS]
     )
 ORACLES["most_skewed"] = "SELECT \"column\", " + rnd("s", 5) + " AS skewness, " + rnd("k", 5) + " AS kurtosis FROM (" + union(
     [f"SELECT '{c}' AS \"column\", {i} AS o, skewness({c}) AS s, kurtosis({c}) AS k FROM lineitem" for i, c in enumerate(LINEITEM)]

@@ -92,24 +92,33 @@ def unpivot(
     return long.select(*[F.col(f"__key_{k}").alias(k) for k in keys], name, value)
 
 
-def safe_ratio(top: Column, bottom: Column) -> Column:
-    return F.try_divide(top, bottom)
+def is_constant(c: Column) -> Column:
+    """Aggregate: no two values differ. Merged partial moments leave a rounding residue, extremes do not."""
+    return F.min(c) == F.max(c)
 
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation over the rows where both sides are present; NULL where one side is constant."""
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a), F.when(both, b)
-    return safe_ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    r = F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    return F.when(~is_constant(a) & ~is_constant(b), r)
 
 
 def skewness_adjusted(c: Column) -> Column:
-    """Bias-adjusted skewness (G1) from Spark's population skewness; NULL under three values."""
+    """Bias-adjusted skewness (G1) from Spark's population skewness; NULL under three values, 0 without spread."""
     n = F.count(c).cast("double")
-    return F.when(n >= 3, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n >= 3, F.when(is_constant(c), 0.0).otherwise(F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
 def kurtosis_adjusted(c: Column) -> Column:
-    """Bias-adjusted excess kurtosis (G2) from Spark's population excess kurtosis; NULL under four values."""
+    """Bias-adjusted excess kurtosis (G2) from Spark's population excess kurtosis; NULL under four values, 0
+    without spread."""
     n = F.count(c).cast("double")
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
+    adjusted = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)
+    return F.when(n >= 4, F.when(is_constant(c), 0.0).otherwise(adjusted))
+
+
+def variance(c: Column) -> Column:
+    """Sample variance, exactly 0 without spread; NULL under two values."""
+    return F.when(F.count(c) >= 2, F.when(is_constant(c), 0.0).otherwise(F.var_samp(c)))

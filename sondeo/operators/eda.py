@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sondeo.functions.columns import (
-    aggregate_rows, as_double, chunks, col, correlation, kurtosis_adjusted, skewness_adjusted, union_all, unpivot,
+    aggregate_rows, as_double, chunks, col, correlation, is_constant, kurtosis_adjusted, skewness_adjusted, union_all, unpivot,
+    variance,
 )
 from sondeo.operators.profile import Profile, distinct_counts, kept_columns
 from sondeo.plans.quantiles import exact_quantiles, group_sizes, order_statistics
@@ -38,7 +39,7 @@ def univariate(df: DataFrame, columns: Sequence[str] | None = None, profile: Pro
         )
     v = F.col("value")
     found = unpivot(df, {c: as_double(c) for c in names}).groupBy("column").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.sqrt(variance(v)).alias("std"), F.min(v).alias("min"),
         F.max(v).alias("max"), skewness_adjusted(v).alias("skewness"), kurtosis_adjusted(v).alias("kurtosis"),
     )
     order = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "column string, ordinal int")
@@ -140,7 +141,7 @@ def _mirrored(pairs: DataFrame, diagonal: DataFrame) -> DataFrame:
 
 def _diagonal(df: DataFrame, names: Sequence[str]) -> DataFrame:
     def build(name):
-        return [F.lit(name).alias("a"), F.lit(name).alias("b"), F.when(F.var_pop(as_double(name)) > 0, 1.0).alias("r")]
+        return [F.lit(name).alias("a"), F.lit(name).alias("b"), F.when(~is_constant(as_double(name)), 1.0).alias("r")]
 
     return aggregate_rows(df, names, build, 1)
 

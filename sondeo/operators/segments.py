@@ -7,7 +7,7 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondeo.functions.columns import as_double, as_text, col, unpivot
+from sondeo.functions.columns import as_double, as_text, unpivot, variance
 from sondeo.functions.tails import f_p_value
 from sondeo.operators.profile import Profile, distinct_counts, kept_columns, screen_distinct
 from sondeo.plans.quantiles import exact_quantiles
@@ -56,7 +56,7 @@ def segment_moments(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> D
         y = F.col(f"m{i}")
         aggs.append(F.struct(
             F.lit(c).alias("num_col"), F.lit(i).alias("num_ordinal"), F.avg(y).alias("mean"),
-            F.stddev_samp(y).alias("std"), F.count(y).alias("n"),
+            F.sqrt(variance(y)).alias("std"), F.count(y).alias("n"),
         ))
     wide = long.groupBy("cat_col", "cat").agg(F.array(*aggs).alias("_m"))
     return wide.select("cat_col", "cat", F.inline("_m"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.functions.columns import as_double, safe_ratio, unpivot
+from sondeo.functions.columns import as_double, is_constant, unpivot, variance
 from sondeo.functions.tails import t_p_value
 from sondeo.plans.quantiles import exact_quantiles
 from sondeo.plans.sequence import Sequence, trailing_mean, with_lags
@@ -75,14 +75,14 @@ def trend_statistics(seq: Sequence, columns: Seq[str] | None = None) -> DataFram
     x = F.col("pos") - F.lit(centre)
     first, second = F.when(pos < mid, y), F.when(pos >= mid, y)
     sums = seq.series(usable).groupBy("series").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("vy"),
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("vy"), (~is_constant(y)).alias("varies"),
         F.covar_pop(x, y).alias("cxy"), F.var_pop(x).alias("vx"),
         F.min_by("y", "pos").alias("first"), F.max_by("y", "pos").alias("end"),
-        F.count(first).alias("n1"), F.avg(first).alias("m1"), F.var_samp(first).alias("v1"),
-        F.count(second).alias("n2"), F.avg(second).alias("m2"), F.var_samp(second).alias("v2"),
+        F.count(first).alias("n1"), F.avg(first).alias("m1"), variance(first).alias("v1"),
+        F.count(second).alias("n2"), F.avg(second).alias("m2"), variance(second).alias("v2"),
     )
     # a constant series has slope 0 and explains nothing
-    varies = F.col("vy") > 0
+    varies = F.col("varies")
     slope = F.when(varies, F.col("cxy") / F.col("vx")).otherwise(0.0)
     r2 = F.when(varies, F.least(F.lit(1.0), F.col("cxy") * F.col("cxy") / (F.col("vx") * F.col("vy")))).otherwise(0.0)
     start = F.when(F.col("first") == 0, ZERO_START).otherwise(F.col("first"))
