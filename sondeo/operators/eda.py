@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,16 @@ from sondeo.functions.columns import (
 from sondeo.operators.profile import Profile, distinct_counts, kept_columns
 from sondeo.plans.quantiles import exact_quantiles, group_sizes, order_statistics
 from sondeo.plans.ranks import average_ranks, with_ranks
+from sondeo.plans.scratch import stored
 
 # List lengths, column limits and bin counts of the report.
 TOP_SKEWED, TOP_PAIRS, TOP_CARDINALITY = 5, 10, 5
 INFORMATION_COLUMNS, INFORMATION_MIN_ROWS, INFORMATION_BINS = 15, 10, 16
 HISTOGRAM_COLUMNS, HISTOGRAM_BINS = 4, 30
 
+# Above this many columns, products are summed as matrices instead of one expression per pair.
+WIDE_COLUMNS = 64
+
 PAIR_SCHEMA = "a string, b string, ordinal_a int, ordinal_b int, r double"
 
 
@@ -111,6 +117,29 @@ def _labels(names: Sequence[str], i: int, j: int) -> list[Column]:
     return [F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.lit(i).alias("ordinal_a"), F.lit(j).alias("ordinal_b")]
 
 
+def _product_sums(df: DataFrame, names: Sequence[str], means: dict[int, float]) -> DataFrame:
+    """(ordinal_a, ordinal_b, s) for all pairs i <= j of many columns: one matrix product per Arrow batch.
+
+    A task adds its batches up and emits its matrix once, so a scan serves any number of pairs.
+    """
+    held = sorted(means)
+    centred = df.select(*[(as_double(names[k]) - F.lit(means[k])).alias(f"c{k}") for k in held])
+
+    def products(batches):
+        total = np.zeros((len(held), len(held)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            total += x.T @ x
+        a, b = np.triu_indices(len(held))
+        index = np.array(held, dtype="int32")
+        yield pa.RecordBatch.from_arrays([pa.array(index[a]), pa.array(index[b]), pa.array(total[a, b])], ["ordinal_a", "ordinal_b", "s"])
+
+    parts = centred.mapInArrow(products, "ordinal_a int, ordinal_b int, s double")
+    label = F.array(*[F.lit(c) for c in names])
+    sums = parts.groupBy("ordinal_a", "ordinal_b").agg(F.sum("s").alias("s"))
+    return sums.select(label[F.col("ordinal_a")].alias("a"), label[F.col("ordinal_b")].alias("b"), "ordinal_a", "ordinal_b", "s")
+
+
 def _centred_pairs(df: DataFrame, names: Sequence[str], means: dict[int, float], pairs: list[tuple[int, int]]) -> DataFrame:
     """Correlations of gap-free columns with known means: one sum per pair plus one per column."""
 
@@ -118,8 +147,15 @@ def _centred_pairs(df: DataFrame, names: Sequence[str], means: dict[int, float],
         left, right = (as_double(names[k]) - F.lit(means[k]) for k in pair)
         return [*_labels(names, *pair), F.sum(left * right).alias("s")]
 
-    sums = aggregate_rows(df, pairs + [(i, i) for i in sorted({k for p in pairs for k in p})], build, 1)
     shape = F.col("ordinal_a") == F.col("ordinal_b")
+    if len(means) > WIDE_COLUMNS:
+        sums = stored(_product_sums(df, names, means), "products")
+        squares = sums.where(shape).select(F.col("ordinal_a").alias("k"), F.sqrt("s").alias("root"))  # one per column
+        left, right = squares.toDF("ordinal_a", "root_a"), squares.toDF("ordinal_b", "root_b")
+        scaled = sums.where(~shape).join(F.broadcast(left), "ordinal_a").join(F.broadcast(right), "ordinal_b")
+        r = F.try_divide("s", F.col("root_a") * F.col("root_b"))
+        return scaled.select("a", "b", "ordinal_a", "ordinal_b", r.alias("r"))
+    sums = aggregate_rows(df, pairs + [(i, i) for i in sorted(means)], build, 1)
     gathered = sums.groupBy().agg(
         F.map_from_entries(F.collect_list(F.when(shape, F.struct("ordinal_a", F.sqrt("s"))))).alias("_scale"),
         F.collect_list(F.when(~shape, F.struct("a", "b", "ordinal_a", "ordinal_b", "s"))).alias("_pairs"),

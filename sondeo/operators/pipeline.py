@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ from sondeo.plans.sequence import Sequence, tie_break, time_order
 log = logging.getLogger(__name__)
 
 Check = Callable[[DataFrame, Profile], DataFrame]
+Tables = dict[str, Callable[[], DataFrame]]
+# Independent tables of a stage are submitted together, so their jobs share the cluster.
+CONCURRENT_TABLES = 4
 _checks: dict[str, Check] = {}
 
 
@@ -52,9 +56,14 @@ def analyze(df: DataFrame, max_trend_columns: int = trend.MAX_COLUMNS, store: bo
     out = Analysis()
     spark = df.sparkSession
 
-    def stage(name: str, build: Callable[[], dict[str, DataFrame]]) -> None:
+    def stage(name: str, build: Callable[[], Tables]) -> None:
+        def run(item):
+            key, make = item
+            return key, stored(make(), key) if store else make()
+
         try:
-            tables = {k: stored(v, k) if store else v for k, v in build().items()}
+            with ThreadPoolExecutor(CONCURRENT_TABLES) as pool:
+                tables = dict(pool.map(run, build().items()))
         except Exception as error:  # noqa: BLE001 - a stage must not stop the run
             log.warning("stage %s failed: %s", name, error)
             out.status.append((name, False, str(error).split("\n")[0]))
@@ -62,47 +71,51 @@ def analyze(df: DataFrame, max_trend_columns: int = trend.MAX_COLUMNS, store: bo
         out.results.update(tables)
         out.status.append((name, True, None))
 
-    def run_profile() -> dict[str, DataFrame]:
+    def run_profile() -> Tables:
         p = build_profile(df)
         out.profile = p
         return {
-            "profile": profile_table(df, p), "summary": profile_summary(df, p), "missing_profile": missing_profile(df),
+            "profile": lambda: profile_table(df, p), "summary": lambda: profile_summary(df, p),
+            "missing_profile": lambda: missing_profile(df),
         }
 
     stage("profile", run_profile)
     p = out.profile or Profile(columns=df.columns, kinds={})
     stage("quality", lambda: {
-        "duplicate_rows": quality.duplicate_rows(df), "high_missing": quality.high_missing(df),
-        "constant_columns": quality.constant_columns(df), "high_cardinality": quality.high_cardinality(df, profile=p),
-        "iqr_outliers": quality.iqr_outliers(df, profile=p), "case_inconsistency": quality.case_inconsistency(df, profile=p),
+        "duplicate_rows": lambda: quality.duplicate_rows(df), "high_missing": lambda: quality.high_missing(df),
+        "constant_columns": lambda: quality.constant_columns(df),
+        "high_cardinality": lambda: quality.high_cardinality(df, profile=p),
+        "iqr_outliers": lambda: quality.iqr_outliers(df, profile=p),
+        "case_inconsistency": lambda: quality.case_inconsistency(df, profile=p),
     })
     stage("exploration", lambda: {
-        "univariate": eda.univariate(df, profile=p), "top_correlations": eda.top_correlations(df, profile=p),
-        "pearson_matrix": eda.pearson_matrix(df, profile=p), "spearman_matrix": eda.spearman_matrix(df, profile=p),
-        "mutual_information": eda.mutual_information(df, profile=p),
-        "categorical_cardinality": eda.categorical_cardinality(df, profile=p),
+        "univariate": lambda: eda.univariate(df, profile=p), "top_correlations": lambda: eda.top_correlations(df, profile=p),
+        "pearson_matrix": lambda: eda.pearson_matrix(df, profile=p), "spearman_matrix": lambda: eda.spearman_matrix(df, profile=p),
+        "mutual_information": lambda: eda.mutual_information(df, profile=p),
+        "categorical_cardinality": lambda: eda.categorical_cardinality(df, profile=p),
     })
     stage("causality", lambda: {
-        "correlation_warnings": causal.correlation_warnings(df, profile=p, pairs=out.results.get("top_correlations")),
-        "binary_treatment": causal.binary_treatment(df, profile=p),
+        "correlation_warnings": lambda: causal.correlation_warnings(df, profile=p, pairs=out.results.get("top_correlations")),
+        "binary_treatment": lambda: causal.binary_treatment(df, profile=p),
     })
     for name, check in list(_checks.items()):
-        stage(name, lambda check=check, name=name: {name: check(df, p)})
+        stage(name, lambda check=check, name=name: {name: lambda: check(df, p)})
 
     if p.ordered:
         _sequence_stages(df, p, out, stage, max_trend_columns)
     else:
         _segment_stages(df, p, out, stage)
     stage("findings", lambda: {
-        "technical_findings": report.technical_findings(p, spark, out.results),
-        "business_findings": report.business_findings(p, spark, out.results),
+        "technical_findings": lambda: report.technical_findings(p, spark, out.results),
+        "business_findings": lambda: report.business_findings(p, spark, out.results),
     })
     return out
 
 
 def _sequence_stages(df: DataFrame, p: Profile, out: Analysis, stage, max_trend_columns: int) -> None:
-    def order() -> dict[str, DataFrame]:
+    def order() -> Tables:
         out.sequence = time_order(df, p.when(df), p.measures, tie_break(df, p.date_column))
+        out.sequence.fill()
         return {}
 
     stage("time_order", order)
@@ -110,38 +123,40 @@ def _sequence_stages(df: DataFrame, p: Profile, out: Analysis, stage, max_trend_
     if seq is None:
         return
     stage("trend", lambda: {
-        "trend_table": trend.trend_table(seq, trend.trend_columns(seq, max_trend_columns)),
-        "rolling_window": trend.infer_rolling_window(seq),
+        "trend_table": lambda: trend.trend_table(seq, trend.trend_columns(seq, max_trend_columns)),
+        "rolling_window": lambda: trend.infer_rolling_window(seq),
     })
     stage("seasonality", lambda: {
-        "month_means": seasonality.month_means(seq), "weekday_means": seasonality.weekday_means(seq),
-        "lag_correlation": seasonality.lag_correlation(seq), "seasonal_class": seasonality.seasonal_class(seq),
+        "month_means": lambda: seasonality.month_means(seq), "weekday_means": lambda: seasonality.weekday_means(seq),
+        "lag_correlation": lambda: seasonality.lag_correlation(seq), "seasonal_class": lambda: seasonality.seasonal_class(seq),
     })
-    stage("stationarity", lambda: {"stationarity_table": stationarity.stationarity_table(seq)})
+    stage("stationarity", lambda: {"stationarity_table": lambda: stationarity.stationarity_table(seq)})
 
-    def lags() -> dict[str, DataFrame]:
+    def lags() -> Tables:
         table = stored(autocorrelation.correlogram(seq), "correlogram")
         return {
-            "correlogram": table, "significant_lags": autocorrelation.significant_lags(seq, acf_values=table),
-            "arima_order_hint": autocorrelation.arima_order_hint(seq, lags=table),
+            "correlogram": lambda: table,
+            "significant_lags": lambda: autocorrelation.significant_lags(seq, acf_values=table),
+            "arima_order_hint": lambda: autocorrelation.arima_order_hint(seq, lags=table),
         }
 
     stage("autocorrelation", lags)
 
 
 def _segment_stages(df: DataFrame, p: Profile, out: Analysis, stage) -> None:
-    def compare() -> dict[str, DataFrame]:
+    def compare() -> Tables:
         groupings = segments.segment_names(df, profile=p)
         if not groupings or not p.measures:
             return {}
         scores = stored(segments.anova(df, groupings, p.measures), "anova")
-        tables = {
-            "segment_stats": segments.segment_stats(df, groupings, p.measures), "anova": scores,
-            "top_grouping": segments.top_grouping(df, groupings, p.measures, scores),
+        best = segments.top_grouping(df, groupings, p.measures, scores)
+        tables: Tables = {
+            "segment_stats": lambda: segments.segment_stats(df, groupings, p.measures), "anova": lambda: scores,
+            "top_grouping": lambda: best,
         }
-        best = tables["top_grouping"].first()
-        if best is not None:
-            tables["top_bottom_segments"] = segments.top_bottom_segments(df, best["top_grouping"], p.measures[0])
+        top = best.first()
+        if top is not None:
+            tables["top_bottom_segments"] = lambda: segments.top_bottom_segments(df, top["top_grouping"], p.measures[0])
         return tables
 
     stage("segments", compare)

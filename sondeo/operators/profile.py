@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondeo.functions.columns import (
-    aggregate_rows, as_text, col, columns_of_kind, is_integer, kind_of, union_all, unpivot,
+    DATETIME_TYPES, INTEGER_TYPES, aggregate_rows, as_text, col, columns_of_kind, is_integer, kind_of, unpivot,
 )
 
 # Date-like name fragments, the share of parsed rows that accepts a date column, the distinct
@@ -38,7 +38,8 @@ DATE_FORMATS = (
     ("month_day_year", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     ("month_year", r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
 )
-# No text of these formats is shorter or longer, so other texts skip the shape checks.
+# Every text of these formats has this shape and length; one cheap check stands for all of them at first.
+DATE_SHAPE = r"^[0-9A-Z][0-9A-Za-z ,:./-]*[0-9]$"
 SHORTEST_DATE, LONGEST_DATE = 7, 26
 # Fixed formats an integer date column may have: (label, low, high).
 INTEGER_DATES = (("yyyy", 1900, 2100), ("yyyymm", 190001, 210012), ("yyyymmdd", 19000101, 21001231))
@@ -143,32 +144,46 @@ def date_value(df: DataFrame, name: str, label: str | None) -> Column:
         pattern = {"yyyy": "yyyy", "yyyymm": "yyyyMM", "yyyymmdd": "yyyyMMdd"}[label]
         return F.when(c.between(low, high), F.try_to_timestamp(c.cast("string"), F.lit(pattern)).cast("timestamp_ntz"))
     _, form, pattern = next(f for f in DATE_FORMATS if f[0] == label)
-    text = F.when(F.octet_length(c).between(SHORTEST_DATE, LONGEST_DATE) & c.rlike(form), c)
+    text = F.when(_fits_length(c) & c.rlike(form), c)
     if pattern is None:
         return text.try_cast("timestamp_ntz")
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
-def date_candidates(df: DataFrame) -> list[tuple[str, str]]:
-    """(column, format) pairs to score, in order of preference."""
+def _fits_length(c: Column) -> Column:
+    return F.octet_length(c).between(SHORTEST_DATE, LONGEST_DATE)
+
+
+def date_columns(df: DataFrame) -> list[str]:
+    """Columns that may hold dates, in order of preference: by name, then typed ones, then texts."""
     named = [c for c in df.columns if any(w in c.lower() for w in DATE_WORDS)]
     typed = [c for c in columns_of_kind(df, "datetime") if c not in named]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in named]
-    out = []
-    for c in named + typed + texts:
-        data_type = df.schema[c].dataType
-        if kind_of(data_type) == "datetime":
-            out.append((c, "typed"))
-        elif is_integer(df, c):
-            out.extend((c, label) for label, _, _ in INTEGER_DATES)
-        elif isinstance(data_type, T.StringType):
-            out.extend((c, label) for label, _, _ in DATE_FORMATS)
-    return out
-
-
-def date_scores(df: DataFrame) -> DataFrame:
+    usable = (*DATETIME_TYPES, *INTEGER_TYPES, T.StringType)
+    return [c for c in named + typed + texts if isinstance(df.schema[c].dataType, usable)]
+
+
+def date_like(df: DataFrame, name: str) -> Column:
+    """Aggregate: an upper bound on the rows of the column that can parse under any format."""
+    c = col(name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.count_if(_fits_length(c) & c.rlike(DATE_SHAPE))
+    if is_integer(df, name):
+        return F.count_if(F.greatest(*[c.between(low, high).cast("int") for _, low, high in INTEGER_DATES]) == 1)
+    return F.count(c)
+
+
+def formats_of(df: DataFrame, name: str) -> list[str]:
+    data_type = df.schema[name].dataType
+    if kind_of(data_type) == "datetime":
+        return ["typed"]
+    return [f[0] for f in (INTEGER_DATES if is_integer(df, name) else DATE_FORMATS)]
+
+
+def date_scores(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(preference, column, format, share): share of all rows that parse, one scan for all candidates."""
-    pairs = date_candidates(df)
+    names = date_columns(df) if columns is None else columns
+    pairs = [(c, label) for c in names for label in formats_of(df, c)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "preference int, column string, format string, share double")
 
@@ -183,9 +198,17 @@ def date_scores(df: DataFrame) -> DataFrame:
     return aggregate_rows(df, list(enumerate(pairs)), build, 4)
 
 
+def _likely(rows: int, counts: dict[str, int]) -> list[str]:
+    """Columns that can still reach the accepted share; only these are parsed."""
+    return [c for c, n in counts.items() if rows and n / rows >= DATE_SHARE]
+
+
 def detect_date_column(df: DataFrame) -> DataFrame:
-    """The accepted date column and its format; no row if no column parses well enough."""
-    best = date_scores(df).where(F.col("share") > 0).orderBy(F.col("share").desc(), "preference").limit(1)
+    """The accepted date column and its format; no row if no column parses well enough. Runs one screening job."""
+    names = date_columns(df)
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[date_like(df, c).alias(f"t{i}") for i, c in enumerate(names)]).first()
+    scores = date_scores(df, _likely(row["n"], {c: row[f"t{i}"] for i, c in enumerate(names)}))
+    best = scores.where(F.col("share") > 0).orderBy(F.col("share").desc(), "preference").limit(1)
     return best.where(F.col("share") >= DATE_SHARE).select("column", "format", "share")
 
 
@@ -287,25 +310,26 @@ def identifier_columns(df: DataFrame, date_column: str | None = None) -> DataFra
 
 
 def build_profile(df: DataFrame) -> Profile:
-    """Profile a table: one scan for counts, sketches, sizes and date scores, then exact counts where needed."""
+    """Profile a table: one scan for counts, sketches, sizes and date-like shapes; parsing and exact counting only
+    for the columns that these leave open."""
     p = Profile(columns=df.columns, kinds={f.name: kind_of(f.dataType) for f in df.schema.fields})
     names = identifier_candidates(df)
-    pairs = date_candidates(df)
+    dates = date_columns(df)
     aggs = [F.count(F.lit(1)).alias("n"), logical_bytes(df).alias("bytes")]
     aggs += [F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
     aggs += [estimated_distinct(df, c).alias(f"d{i}") for i, c in enumerate(names)]
-    aggs += [F.count(date_value(df, c, label)).alias(f"t{i}") for i, (c, label) in enumerate(pairs)]
+    aggs += [date_like(df, c).alias(f"t{i}") for i, c in enumerate(dates)]
     row = df.agg(*aggs).first()
     p.rows, p.size_bytes = row["n"], row["bytes"]
     if p.rows:
         p.missing = {c: 100.0 * (p.rows - row[f"c{i}"]) / p.rows for i, c in enumerate(df.columns)}
-    best = 0.0
-    for i, (name, label) in enumerate(pairs):
-        share = row[f"t{i}"] / p.rows if p.rows else 0.0
-        if share > best:
-            best, p.date_column, p.date_format = share, name, label
-    if best < DATE_SHARE:
-        p.date_column = p.date_format = None
+    likely = _likely(p.rows, {c: row[f"t{i}"] for i, c in enumerate(dates)})
+    if likely and kind_of(df.schema[likely[0]].dataType) == "datetime" and p.missing[likely[0]] == 0:
+        p.date_column, p.date_format = likely[0], "typed"  # nothing can beat the first column with every row dated
+    elif likely:
+        best = date_scores(df, likely).orderBy(F.col("share").desc(), "preference").first()
+        if best["share"] >= DATE_SHARE:
+            p.date_column, p.date_format = best["column"], best["format"]
     estimates = {c: row[f"d{i}"] for i, c in enumerate(names) if c != p.date_column}
     if p.date_column is not None:
         p.dataset_type = classify_dataset(df, p.when(df)).first()["dataset_type"]

@@ -64,6 +64,11 @@ class Sequence:
             return self.table.sparkSession.createDataFrame([], "series string, pos bigint, y double")
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
+    def fill(self) -> None:
+        """Fill and store the gappy series now, before operators that share them run side by side."""
+        if any(0 < self.present[c] < self.n for c in self.columns):
+            self._gappy
+
     @property
     def filled(self) -> DataFrame:
         return self.series(self.columns)

@@ -102,6 +102,13 @@ def test_rank_join_with_hot_values_spread(frame, numbers, monkeypatch):
     assert eda.spearman_pairs(held).first()["r"] == pytest.approx(want)
 
 
+def test_wide_tables_use_matrix_products(frame, numbers, monkeypatch):
+    monkeypatch.setattr(eda, "WIDE_COLUMNS", 1)
+    want = numbers.corr()
+    for r in eda.pearson_pairs(frame.repartition(3)).collect():
+        assert r["r"] is None if np.isnan(want.loc[r["a"], r["b"]]) else r["r"] == pytest.approx(want.loc[r["a"], r["b"]])
+
+
 def test_top_lists(frame):
     best = eda.top_correlations(frame, top=2).collect()
     assert (best[0]["a"], best[0]["b"]) == ("a", "b")
