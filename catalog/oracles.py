@@ -420,3 +420,61 @@ ORACLES["segment_mean_bars"] = "SELECT c_mktsegment AS cat, round(avg(c_acctbal)
 ORACLES["kpis"] = f"""WITH {FLAWED} SELECT count(*) AS rows, CAST(9 AS BIGINT) AS columns, CAST(2 AS BIGINT) AS trends,
   round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty))) / count(*), 6) AS duplicate_pct,
   strftime(min(ts), '%b %Y') AS first_month, strftime(max(ts), '%b %Y') AS last_month FROM dirty"""
+
+# --- findings ----------------------------------------------------------------------------------------------
+
+ORACLES["preview"] = "SELECT * FROM events LIMIT 20"
+ORACLES["stage_status"] = union(
+    [f"SELECT '{s}' AS stage, true AS ok, CAST(NULL AS VARCHAR) AS error" for s in ("profile", "quality", "exploration", "causality", "segments", "findings")]
+)
+ORACLES["recommended_action"] = f"""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS y FROM orders),
+fit AS (SELECT count(*) AS n, regr_slope(y, pos) AS slope, regr_r2(y, pos) AS r2, arg_min(y, pos) AS a, arg_max(y, pos) AS b FROM o),
+judged AS (SELECT *, sign(slope) * sqrt(r2) * sqrt((n - 2) / (1 - r2)) AS t FROM fit)
+SELECT CASE WHEN (b - a) / abs(a) * 100 < -10 AND {t_tail('t', 'n - 2')} < 0.05 THEN 'Investigate the downward trend in o_totalprice'
+  ELSE 'Monitor the trends over the next reporting period' END AS action FROM judged"""
+ORACLES["business_findings"] = """WITH size AS (SELECT count(*) AS n FROM customer),
+copies AS (SELECT (SELECT n FROM size) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS d),
+link AS (SELECT round(corr(c_nationkey, c_acctbal), 3) AS r FROM customer),
+cells AS (SELECT c_mktsegment, avg(c_nationkey) AS m1, avg(c_acctbal) AS m2 FROM customer GROUP BY 1 HAVING count(*) >= 2),
+split AS (SELECT count(*) AS k, var_pop(m1) + var_pop(m2) AS v FROM cells)
+SELECT * FROM (
+  SELECT 1 AS ord, 'business' AS section, format('The data holds {:,} records in 5 fields', n) AS message FROM size
+  UNION ALL SELECT 2, 'business', format('{:,} rows are duplicates ({:.1f}%); consider removing them', d, 100.0 * d / n) FROM copies, size WHERE d > 0
+  UNION ALL SELECT 4, 'business', 'c_mktsegment makes the largest difference to the measures' FROM split WHERE k BETWEEN 2 AND 20 AND v > 0
+  UNION ALL SELECT 5, 'business', printf('c_nationkey and c_acctbal are closely linked (r=%.2f)', r) FROM link WHERE r IS NOT NULL
+  UNION ALL SELECT 6, 'business', 'Recommended action: ' || CASE WHEN abs(r) >= 0.7 THEN 'Validate the strong correlations with domain knowledge before acting on them'
+    ELSE 'Use the segment comparison to pick the groups worth targeting' END FROM link)"""
+
+_CLEAN = "CASE WHEN event_id % 10 <> 0 THEN value END AS value"
+
+
+def clean(cte: str, select: str) -> str:
+    """A subquery over the two measures of the untouched events table."""
+    return f"(WITH {cte.replace(_CLEAN, 'value')} {select})"
+
+
+_PAIR = "('user_id', 'value')"
+ORACLES["technical_findings"] = f"""WITH size AS (SELECT count(*) AS n FROM events),
+copies AS (SELECT (SELECT n FROM size) - (SELECT count(*) FROM (SELECT DISTINCT * FROM events)) AS d),
+long AS (SELECT 'user_id' AS c, CAST(user_id AS DOUBLE) AS v FROM events UNION ALL SELECT 'value', value FROM events),
+fence AS (SELECT c, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM long GROUP BY c),
+outside AS (SELECT count(DISTINCT c) AS k FROM long JOIN fence USING (c) WHERE q3 <> q1 AND (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1))),
+link AS (SELECT round(corr(user_id, value), 3) AS r FROM events),
+moves AS (SELECT count(*) FILTER (direction = 'upward') AS up, count(*) FILTER (direction = 'downward') AS down, count(*) AS k,
+  string_agg(series, ', ' ORDER BY ordinal) FILTER (structural_break) AS broken FROM {clean(STATS, f"SELECT * FROM trends WHERE series IN {_PAIR}")}),
+verdicts AS (SELECT count(*) FILTER (verdict = 'stationary') AS good, count(*) AS k, string_agg(series, ', ' ORDER BY series) FILTER (verdict <> 'stationary') AS moving
+  FROM {clean(ADF, f"SELECT * FROM joint WHERE series IN {_PAIR}")}),
+cycles AS (SELECT count(*) FILTER (round(m, 4) >= 0.3) AS hits, count(*) AS k FROM {clean(LAGGED, f"SELECT greatest(abs(weekly), abs(monthly), abs(quarterly)) AS m FROM rs WHERE series IN {_PAIR}")}),
+echoes AS (SELECT string_agg(DISTINCT series, ', ' ORDER BY series) AS names FROM {clean(ACF, f"SELECT series FROM both_ WHERE lag IN (1, 7, 14, 30) AND acf_significant AND series IN {_PAIR}")})
+SELECT ord, 'technical' AS section, message FROM (
+  SELECT 1 AS ord, format('Dataset: {{:,}} rows x 6 columns (time series)', n) AS message FROM size
+  UNION ALL SELECT 2, format('Quality: {{:,}} duplicate rows', d) FROM copies WHERE d > 0
+  UNION ALL SELECT 4, printf('Outliers: %d column(s) hold values outside the IQR fences', k) FROM outside WHERE k > 0
+  UNION ALL SELECT 5, printf('Strongest correlation: user_id and value (r=%.3f)', r) FROM link
+  UNION ALL SELECT 6, 'Causality: 1 strongly correlated pair(s); correlation is not causation' FROM link WHERE abs(r) >= 0.7
+  UNION ALL SELECT 7, printf('Trends: %d upward and %d downward of %d columns', up, down, k) FROM moves WHERE k > 0
+  UNION ALL SELECT 8, 'Structural breaks: ' || broken FROM moves WHERE broken IS NOT NULL
+  UNION ALL SELECT 9, printf('Stationarity: %d of %d series are stationary', good, k) FROM verdicts WHERE k > 0
+  UNION ALL SELECT 10, 'Non-stationary series: ' || moving FROM verdicts WHERE moving IS NOT NULL
+  UNION ALL SELECT 11, printf('Seasonality: %d of %d series are seasonal', hits, k) FROM cycles WHERE hits > 0
+  UNION ALL SELECT 12, 'Significant autocorrelation: ' || names FROM echoes WHERE names IS NOT NULL)"""
