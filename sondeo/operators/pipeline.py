@@ -48,13 +48,17 @@ class Analysis:
         return "\n".join(r["message"] for r in rows)
 
 
-def analyze(df: DataFrame, max_trend_columns: int = trend.MAX_COLUMNS, store: bool = True) -> Analysis:
+def analyze(
+    df: DataFrame, max_trend_columns: int = trend.MAX_COLUMNS, store: bool = True, store_input: bool = False
+) -> Analysis:
     """Run every stage that suits the table. A failing stage is recorded and its tables stay out of the rest.
 
-    Each stage's result tables are small and stored as they are made, so findings read results, not data.
+    Each stage's result tables are small and stored as they are made, so findings read results, not data. The
+    stages scan the input several times: pass ``store_input`` when it is a costly query and not a table.
     """
     out = Analysis()
     spark = df.sparkSession
+    df = stored(df, "input") if store_input else df
 
     def stage(name: str, build: Callable[[], Tables]) -> None:
         def run(item):

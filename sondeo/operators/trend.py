@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sondeo.functions.columns import as_double, is_constant, unpivot, variance
 from sondeo.functions.tails import t_p_value
 from sondeo.plans.quantiles import exact_quantiles
+from sondeo.plans.scratch import stored
 from sondeo.plans.sequence import Sequence, trailing_mean, with_lags
 
 # Series limit, change and significance that make a direction, minimum lengths, and the stand-in
@@ -38,6 +39,7 @@ def median_gap(seq: Sequence) -> DataFrame:
     gaps = gaps.where(F.col("gap").isNotNull())
     if seq.n < 2:
         return seq.table.sparkSession.createDataFrame([(None,)], "median_micros double")
+    gaps = stored(gaps, "gaps")  # the quantile scans would repeat the block windows
     return exact_quantiles(gaps, ["series"], "gap", [0.5]).select(F.col("q0").alias("median_micros"))
 
 
