@@ -38,3 +38,48 @@ ORACLES["op5_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def _url_sql() -> str:
+    level = "SELECT *, '' AS template FROM paths"
+    parts = [f"level0 AS ({level})"]
+    for k in range(4):
+        parts.append(f"""
+child{k} AS (SELECT host, template, segments[{k + 1}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked
+  FROM level{k} WHERE len(segments) > {k} GROUP BY ALL),
+node{k} AS (SELECT host, template, sum(n) AS node_n, CAST(sum(labelled) AS DOUBLE) AS nl, CAST(sum(blocked) AS DOUBLE) AS nb FROM child{k} GROUP BY ALL),
+kept{k} AS (SELECT c.host, c.template, c.segment FROM child{k} c JOIN node{k} USING (host, template)
+  WHERE n >= 8 AND n >= 0.01 * node_n AND (labelled = 0 OR (nl > labelled
+    AND pow(blocked * (nl - labelled) - (nb - blocked) * labelled, 2) > 2.576 * 2.576 * (nb / nl) * (1 - nb / nl) * nl * labelled * (nl - labelled)))),
+level{k + 1} AS (SELECT l.* REPLACE (l.template || CASE WHEN len(segments) <= {k} THEN '' WHEN x.segment IS NOT NULL THEN '/' || x.segment ELSE '/*' END AS template)
+  FROM level{k} l LEFT JOIN kept{k} x ON l.host = x.host AND l.template = x.template AND l.segments[{k + 1}] = x.segment)""")
+    return f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+    regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM parsed
+), decided AS (
+  SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM ruled
+), paths AS (
+  SELECT host, shape, list_filter(string_split(shape, '/'), lambda x: x <> '') AS segments, count(*) AS n, count(ruled) AS labelled,
+    count(*) FILTER (ruled = 'block') AS blocked FROM decided GROUP BY host, shape
+), {",".join(parts)}, named AS (
+  SELECT host, shape, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template, labelled, blocked FROM level4
+), pure AS (
+  SELECT host, template, (sum(blocked) + 4 * coalesce((SELECT sum(blocked) / nullif(sum(labelled), 0) FROM paths), 0)) / (sum(labelled) + 4.0) AS purity
+  FROM named GROUP BY host, template
+)
+SELECT page_id, host, path, rule, template, CASE WHEN ruled IS NOT NULL THEN ruled WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict
+FROM decided JOIN named USING (host, shape) JOIN pure USING (host, template)
+"""
+
+
+ORACLES["op4_url_filters"] = _url_sql()

@@ -7,28 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import exact_dedup, mixing, quality_rules
+from sondeo.llm import exact_dedup, license_scan, mixing, packing, quality_rules, url_filter
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scanned(table(spark, folder, "documents"))
+    return found.drop("spans")
+
+
 def op3_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.annotated(table(spark, folder, "documents"))
     return found.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages")).drop("purity")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup.annotated(docs, keep="largest").select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.annotated(table(spark, folder, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing_sources, op5_exact_dedup, op10_quality_rules)
+    f.__name__: f for f in (op2_license_scans, op3_mixing_sources, op4_url_filters, op5_exact_dedup, op6_packing, op10_quality_rules)
 }
