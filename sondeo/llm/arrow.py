@@ -34,15 +34,23 @@ def pieces(batch: pa.RecordBatch, sized: str | None) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
-def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, sized: str | None = "t") -> DataFrame:
-    """``df`` through the function that ``make()`` returns once for each task: a batch in, named columns out."""
+def mapped(df: DataFrame, make: Callable[[], Callable], schema: str, sized: str | None = "t") -> DataFrame:
+    """``df`` through the function that ``make()`` returns once for each task: a batch in, named columns out.
+
+    If that function has an attribute ``last``, it is called without arguments when the task has seen all its rows.
+    """
     out = schema_of(schema)
 
+    def batch_of(columns: dict) -> pa.RecordBatch:
+        arrays = [columns[f.name] for f in out]
+        return pa.RecordBatch.from_arrays([a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, out)], schema=out)
+
     def run(batches):
         work = make()
         for batch in batches:
             for part in pieces(batch, sized):
-                columns = work(part)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out], schema=out)
+                yield batch_of(work(part))
+        if hasattr(work, "last"):
+            yield batch_of(work.last())
 
     return df.mapInArrow(run, schema)

@@ -83,3 +83,42 @@ FROM decided JOIN named USING (host, shape) JOIN pure USING (host, template)
 
 
 ORACLES["op4_url_filters"] = _url_sql()
+
+
+ORACLES["op1_ngram_jaccard"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM worded)
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+), sides AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached(node, other) AS (
+  SELECT a, b FROM sides UNION SELECT r.node, t.b FROM reached r JOIN sides t ON r.other = t.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sized s USING (doc_id) LEFT JOIN (SELECT node, min(other) AS low FROM reached GROUP BY node) c ON c.node = d.doc_id
+"""
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM worded WHERE len(w) >= 50)
+), later AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM windows) WHERE doc_id > low
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM later) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(w) AS n, len(coalesce(ps, [])) AS k, CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END AS words
+  FROM worded LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n AS n_words, k AS n_removed, sha256(coalesce(array_to_string(words, ' '), '')) AS kept_sha256 FROM kept
+"""

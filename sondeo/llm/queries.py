@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import exact_dedup, license_scan, mixing, packing, quality_rules, url_filter
+from sondeo.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality_rules, url_filter
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.annotated(table(spark, folder, "documents"))
+
+
 def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.scanned(table(spark, folder, "documents"))
     return found.drop("spans")
@@ -49,5 +53,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scans, op3_mixing_sources, op4_url_filters, op5_exact_dedup, op6_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_license_scans, op3_mixing_sources, op4_url_filters, op5_exact_dedup, op6_packing, op10_quality_rules)
 }
