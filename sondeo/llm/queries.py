@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality_rules, substring_dedup, url_filter
+from sondeo.llm import exact_dedup, labelled, license_scan, mixing, nb_svm, ngram_join, packing, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -47,16 +47,31 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, excluded = table(spark, folder, "documents"), lambda key: labelled.held_out(key, 4, 2)
+    model = nb_svm.fit(docs, table(spark, folder, "labels"), "quality", excluded)
+    return nb_svm.scored(docs, model).select("doc_id", excluded(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, excluded = table(spark, folder, "documents"), lambda key: labelled.held_out(key, 3, 1)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), "toxic", excluded)
+    return toxicity.scored(docs, model).select("doc_id", excluded(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.annotated(table(spark, folder, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_license_scans, op3_mixing_sources, op4_url_filters, op5_exact_dedup, op6_packing, op8_substring_dedup, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_ngram_jaccard, op2_license_scans, op3_mixing_sources, op4_url_filters, op5_exact_dedup, op6_packing,
+        op7_quality_classifier, op8_substring_dedup, op9_toxicity, op10_quality_rules,
+    )
 }
