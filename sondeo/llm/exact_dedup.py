@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.store import partitions
-from sondeo.llm.words import text_or_empty
+from sondeo.llm.words import column, text_or_empty
 
 # Characters of the text that lead the sort key.
 LEAD_CHARS = 32
@@ -31,13 +31,13 @@ def annotated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     compare texts as they are. A null text counts as empty. A null id loses against any other; among rows that share
     text and id one stays. An empty table gives no rows. Any other columns, whatever their names, stay in ``row``.
     """
-    text = text_or_empty(docs[text_column])
+    text = text_or_empty(column(docs, text_column))
     text = normalise(text) if normalise else text
     best = {"smallest": F.min, "largest": F.max}[keep]
     base = docs.select(
-        F.struct(*(docs[c] for c in docs.columns if c != text_column)).alias("rest") if docs.columns != [text_column] else F.lit(None).alias("rest"),
-        docs[id_column].alias("id"), text.alias("t"),
-        *([docs[text_column].alias("raw")] if normalise else [docs[text_column].isNull().alias("gone")]),
+        F.struct(*(column(docs, c) for c in docs.columns if c != text_column)).alias("rest") if docs.columns != [text_column] else F.lit(None).alias("rest"),
+        column(docs, id_column).alias("id"), text.alias("t"),
+        *([column(docs, text_column).alias("raw")] if normalise else [column(docs, text_column).isNull().alias("gone")]),
     ).withColumn("sha", F.sha2(F.col("t").cast("binary"), 256))
     rows = docs.count()
     share = max(2, rows // (HOT_SHARE * min(MOST_PARTITIONS, partitions(docs))))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.words import text_or_empty
+from sondeo.llm.words import column, text_or_empty
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
@@ -20,10 +20,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, excluded,
     The labels with the smallest hashes of their ids are taken, so the sample does not depend on the order of rows; the
     chosen ids, at most ``rows`` of them, are broadcast. Null ids and labels, and ids that are not in ``docs``, give none.
     """
-    ids = labels.select(labels[id_column].alias("_id"), labels[label].cast("int").alias("label"))
+    ids = labels.select(column(labels, id_column).alias("_id"), column(labels, label).cast("int").alias("label"))
     ids = ids.filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~excluded(F.col("_id")))
     chosen = ids.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "label").limit(rows)
-    texts = docs.select(docs[id_column].alias("_key"), text_or_empty(docs[text_column]).cast("binary").alias("t"))
+    texts = docs.select(column(docs, id_column).alias("_key"), text_or_empty(column(docs, text_column)).cast("binary").alias("t"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(10)).cast("int")
     return texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("label", fold.alias("fold"), "t")
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from sondeo.llm.arrow import mapped
-from sondeo.llm.words import text_or_empty
+from sondeo.llm.words import column, text_or_empty
 
 #: Phrases that name a licence, and the label of each.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -145,5 +145,5 @@ def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
         return work
 
-    source = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs[text_column]).cast("binary").alias("t"))
+    source = docs.select(column(docs, id_column).alias("doc_id"), text_or_empty(column(docs, text_column)).cast("binary").alias("t"))
     return mapped(source, make, f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:long>>")

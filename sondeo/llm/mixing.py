@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.store import numbered, stored
-from sondeo.llm.words import text_or_empty, word_count
+from sondeo.llm.words import column, text_or_empty, word_count
 
 SEED = "mix"
 CAP = 3
@@ -88,8 +88,8 @@ def copies() -> Column:
 
 
 def sizes(docs: DataFrame, carry: list[str], id_column: str, text_column: str, source_column: str, seed: str) -> DataFrame:
-    size = word_count(text_or_empty(docs[text_column]))
-    return docs.select(F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("row"), docs[source_column].alias("source"), size.alias("size"), draws(seed, docs[id_column]).alias("draws"))
+    size = word_count(text_or_empty(column(docs, text_column)))
+    return docs.select(F.struct(F.lit(0).alias("_"), *(column(docs, c) for c in carry)).alias("row"), column(docs, source_column).alias("source"), size.alias("size"), draws(seed, column(docs, id_column)).alias("draws"))
 
 
 def annotated(docs: DataFrame, weigh=cycled_weights, cap: float = CAP, seed: str = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -106,6 +106,6 @@ def annotated(docs: DataFrame, weigh=cycled_weights, cap: float = CAP, seed: str
 def mixed(docs: DataFrame, weigh=cycled_weights, cap: float = CAP, seed: str = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken. Texts are read once for sizes, once for output."""
     sized = stored(sizes(docs, [], id_column, text_column, source_column, seed), "document-sizes")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[source_column].alias("source"), draws(seed, docs[id_column]).alias("draws"))
+    whole = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), column(docs, source_column).alias("source"), draws(seed, column(docs, id_column)).alias("draws"))
     many = joined(whole, rated(sized, weigh, cap)).withColumn("copies", copies()).filter("copies > 0")
     return many.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from sondeo.llm.arrow import mapped
 from sondeo.llm.labelled import logistic, sample, sigmoid
-from sondeo.llm.words import REMEMBERED, mixed, text_or_empty
+from sondeo.llm.words import REMEMBERED, column, mixed, text_or_empty
 
 TRAIN_ROWS = 12_000
 FEATURES = 1 << 18
@@ -167,5 +167,5 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
 
         return work
 
-    source = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs[text_column]).cast("binary").alias("t"))
+    source = docs.select(column(docs, id_column).alias("doc_id"), text_or_empty(column(docs, text_column)).cast("binary").alias("t"))
     return mapped(source, make, f"doc_id {id_type}, score double, predicted int")

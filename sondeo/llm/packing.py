@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sondeo.llm.arrow import mapped, schema_of
 from sondeo.llm.store import partitions, stored
-from sondeo.llm.words import text_or_empty
+from sondeo.llm.words import column, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
@@ -110,7 +110,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END
     an empty or null text is one piece of one token. The type of the id is kept; it may be null or repeat.
     """
     id_type = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs[text_column]).cast("binary").alias("t"))
+    source = docs.select(column(docs, id_column).alias("doc_id"), text_or_empty(column(docs, text_column)).cast("binary").alias("t"))
 
     def make():
         tokens, end = ByteTokens(tokenizer), little_endian([end_id])

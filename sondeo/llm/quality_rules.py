@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.store import stored
-from sondeo.llm.words import BLANK, WORD, text_or_empty
+from sondeo.llm.words import BLANK, WORD, column, text_or_empty
 
 # Base rules.
 LEAST_WORDS = 50
@@ -75,8 +75,8 @@ def repeated_words(words: Column) -> Column:
 def measured(docs: DataFrame, text_column: str, lang_column: str, source_column: str, carry: list[str]) -> DataFrame:
     """row (struct of ``carry``), lang, source, the base counts, base_failed and z0.. in units of 1/1024."""
     raw = docs.select(
-        F.struct(*(docs[c] for c in carry)).alias("row"), docs[lang_column].alias("lang"), docs[source_column].alias("source"),
-        text_or_empty(docs[text_column]).alias("t"),
+        F.struct(*(column(docs, c) for c in carry)).alias("row"), column(docs, lang_column).alias("lang"), column(docs, source_column).alias("source"),
+        text_or_empty(column(docs, text_column)).alias("t"),
     )
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
     counted = raw.select(

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sondeo.llm.arrow import mapped
 from sondeo.llm.components import beside
 from sondeo.llm.store import stored
-from sondeo.llm.words import WordHashes, text_or_empty, window_hashes
+from sondeo.llm.words import WordHashes, column, text_or_empty, window_hashes
 
 WINDOW = 50
 BLOCK = 6
@@ -215,7 +215,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, id_c
     if blocks_held(window, block) < 1:
         raise ValueError("a window must hold a whole block at any offset: block <= (window + 1) / 2")
     id_type = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(docs[id_column].alias("id"), text_or_empty(docs[text_column]).cast("binary").alias("t"))
+    source = docs.select(column(docs, id_column).alias("id"), text_or_empty(column(docs, text_column)).cast("binary").alias("t"))
     hot = hot_passages(source, window, block)
 
     group = Window.partitionBy("hash")

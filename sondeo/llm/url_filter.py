@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.store import stored
+from sondeo.llm.words import column
 
 #: Verdict and host with path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -84,9 +85,9 @@ def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str =
     A template of which no page is labelled has the overall share of blocked labels as purity (0 without any label).
     Rows that repeat count as often as they stand; ids may be null or repeat.
     """
-    host, path = host_and_path(pages[url_column])
+    host, path = host_and_path(column(pages, url_column))
     rule, verdict = fitting_rule(rules)
-    parsed = pages.select(pages[id_column].alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": verdict})
+    parsed = pages.select(column(pages, id_column).alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": verdict})
     shaped = parsed.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
     flag = F.col("ruled").isNotNull().cast("long")
     paths = shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(flag).alias("labelled"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"))

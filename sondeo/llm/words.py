@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words: space and the control characters 9 to 13. ``bytes.split()`` uses the same six.
@@ -15,6 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 REMEMBERED = 300_000
 
 
+def column(frame: DataFrame, name: str) -> Column:
+    """The column of that very name, dots and quotes included."""
+    return frame["`" + name.replace("`", "``") + "`"]
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
