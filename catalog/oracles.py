@@ -214,8 +214,8 @@ _WIDE_PAIRS = union(
 )
 ORACLES["correlation_warnings"] = f"WITH {_WIDE.format(sign='+')} SELECT a, b, r + 0.0 AS r, CASE WHEN abs(r) >= 0.7 THEN 'strong' ELSE 'moderate' END AS level FROM ({_WIDE_PAIRS}) WHERE abs(r) >= 0.4"
 ORACLES["relationship_statements"] = f"""WITH {_WIDE.format(sign='-')} SELECT a, b,
-  printf('%s and %s move %s %s (r = %.2f)', a, b, CASE WHEN abs(r) >= 0.7 THEN 'strongly' WHEN abs(r) >= 0.4 THEN 'moderately' ELSE 'weakly' END,
-    CASE WHEN r > 0 THEN 'together' ELSE 'inversely' END, r) AS statement FROM ({_WIDE_PAIRS}) ORDER BY abs(r) DESC, i, j LIMIT 5"""
+  printf('%s ~ %s: %s %s, r %.2f', a, b, CASE WHEN abs(r) >= 0.7 THEN 'strongly' WHEN abs(r) >= 0.4 THEN 'moderately' ELSE 'weakly' END,
+    CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END, r) AS statement FROM ({_WIDE_PAIRS}) ORDER BY abs(r) DESC, i, j LIMIT 5"""
 ORACLES["binary_treatment"] = "SELECT \"column\", o = min(o) OVER () AS is_first FROM (" + union(
     [f"SELECT '{c}' AS \"column\", {i} AS o, count(DISTINCT {c}) AS k, bool_and(lower(CAST({c} AS VARCHAR)) IN "
      f"('a', 'b', '0', '1', 'control', 'treatment', 'yes', 'no', 'true', 'false')) AS fits FROM labels" for i, c in enumerate(("doc_id", "quality", "toxic"))]
@@ -268,10 +268,10 @@ SELECT 'o_totalprice' AS series, pos, {rnd('y', 3)} AS y, {rnd('i + s * pos', 3)
 ORACLES["break_marker"] = f"""WITH {STATS} SELECT t.series, f.pos, strftime(f.ts, '%Y-%m-%d %H:%M:%S') AS "at"
   FROM trends t JOIN filled f ON f.pos = t.n // 2 WHERE t.structural_break"""
 ORACLES["trend_statements"] = f"""WITH {STATS} SELECT series AS "column", CASE
-  WHEN p_value >= 0.05 THEN printf('%s: %s movement of %+.1f%%, not statistically significant', series, direction, pct_change)
-  WHEN direction = 'upward' THEN printf('%s grew by %.1f%%', series, pct_change)
-  WHEN direction = 'downward' THEN printf('%s declined by %.1f%%', series, abs(pct_change))
-  ELSE printf('%s remained stable (%+.1f%%)', series, pct_change) END AS statement FROM trends"""
+  WHEN p_value >= 0.05 THEN printf('%s: %+.1f%%, within chance', series, pct_change)
+  WHEN direction = 'upward' THEN printf('%s: up %.1f%%', series, pct_change)
+  WHEN direction = 'downward' THEN printf('%s: down %.1f%%', series, abs(pct_change))
+  ELSE printf('%s: stable, %+.1f%%', series, pct_change) END AS statement FROM trends"""
 
 ORACLES["month_means"] = f"""SELECT 'o_totalprice' AS series, month(o_orderdate) AS period, strftime(any_value(o_orderdate), '%b') AS label,
   {rnd('avg(o_totalprice)', 4)} AS mean FROM orders GROUP BY month(o_orderdate)"""
@@ -430,20 +430,20 @@ ORACLES["stage_status"] = union(
 ORACLES["recommended_action"] = f"""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS y FROM orders),
 fit AS (SELECT count(*) AS n, regr_slope(y, pos) AS slope, regr_r2(y, pos) AS r2, arg_min(y, pos) AS a, arg_max(y, pos) AS b FROM o),
 judged AS (SELECT *, sign(slope) * sqrt(r2) * sqrt((n - 2) / (1 - r2)) AS t FROM fit)
-SELECT CASE WHEN (b - a) / abs(a) * 100 < -10 AND {t_tail('t', 'n - 2')} < 0.05 THEN 'Investigate the downward trend in o_totalprice'
-  ELSE 'Monitor the trends over the next reporting period' END AS action FROM judged"""
+SELECT CASE WHEN (b - a) / abs(a) * 100 < -10 AND {t_tail('t', 'n - 2')} < 0.05 THEN 'Find what makes o_totalprice fall'
+  ELSE 'Run the report again on newer rows' END AS action FROM judged"""
 ORACLES["business_findings"] = """WITH size AS (SELECT count(*) AS n FROM customer),
 copies AS (SELECT (SELECT n FROM size) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS d),
 link AS (SELECT round(corr(c_nationkey, c_acctbal), 3) AS r FROM customer),
 cells AS (SELECT c_mktsegment, avg(c_nationkey) AS m1, avg(c_acctbal) AS m2 FROM customer GROUP BY 1 HAVING count(*) >= 2),
 split AS (SELECT count(*) AS k, var_pop(m1) + var_pop(m2) AS v FROM cells)
 SELECT * FROM (
-  SELECT 1 AS ord, 'business' AS section, format('The data holds {:,} records in 5 fields', n) AS message FROM size
-  UNION ALL SELECT 2, 'business', format('{:,} rows are duplicates ({:.1f}%); consider removing them', d, 100.0 * d / n) FROM copies, size WHERE d > 0
-  UNION ALL SELECT 4, 'business', 'c_mktsegment makes the largest difference to the measures' FROM split WHERE k BETWEEN 2 AND 20 AND v > 0
-  UNION ALL SELECT 5, 'business', printf('c_nationkey and c_acctbal are closely linked (r=%.2f)', r) FROM link WHERE r IS NOT NULL
-  UNION ALL SELECT 6, 'business', 'Recommended action: ' || CASE WHEN abs(r) >= 0.7 THEN 'Validate the strong correlations with domain knowledge before acting on them'
-    ELSE 'Use the segment comparison to pick the groups worth targeting' END FROM link)"""
+  SELECT 1 AS ord, 'business' AS section, format('{:,} records of 5 fields', n) AS message FROM size
+  UNION ALL SELECT 2, 'business', format('{:,} records repeat another one ({:.1f}%)', d, 100.0 * d / n) FROM copies, size WHERE d > 0
+  UNION ALL SELECT 4, 'business', 'Groups differ most by c_mktsegment' FROM split WHERE k BETWEEN 2 AND 20 AND v > 0
+  UNION ALL SELECT 5, 'business', printf('Closest pair: c_nationkey ~ c_acctbal, r %.2f', r) FROM link WHERE r IS NOT NULL
+  UNION ALL SELECT 6, 'business', 'Next step: ' || CASE WHEN abs(r) >= 0.7 THEN 'Have someone who knows the field explain the strong pairs'
+    ELSE 'Start from the groups with the highest and lowest means' END FROM link)"""
 
 _CLEAN = "CASE WHEN event_id % 10 <> 0 THEN value END AS value"
 
@@ -467,14 +467,14 @@ verdicts AS (SELECT count(*) FILTER (verdict = 'stationary') AS good, count(*) A
 cycles AS (SELECT count(*) FILTER (round(m, 4) >= 0.3) AS hits, count(*) AS k FROM {clean(LAGGED, f"SELECT greatest(abs(weekly), abs(monthly), abs(quarterly)) AS m FROM rs WHERE series IN {_PAIR}")}),
 echoes AS (SELECT string_agg(DISTINCT series, ', ' ORDER BY series) AS names FROM {clean(ACF, f"SELECT series FROM both_ WHERE lag IN (1, 7, 14, 30) AND acf_significant AND series IN {_PAIR}")})
 SELECT ord, 'technical' AS section, message FROM (
-  SELECT 1 AS ord, format('Dataset: {{:,}} rows x 6 columns (time series)', n) AS message FROM size
-  UNION ALL SELECT 2, format('Quality: {{:,}} duplicate rows', d) FROM copies WHERE d > 0
-  UNION ALL SELECT 4, printf('Outliers: %d column(s) hold values outside the IQR fences', k) FROM outside WHERE k > 0
-  UNION ALL SELECT 5, printf('Strongest correlation: user_id and value (r=%.3f)', r) FROM link
-  UNION ALL SELECT 6, 'Causality: 1 strongly correlated pair(s); correlation is not causation' FROM link WHERE abs(r) >= 0.7
-  UNION ALL SELECT 7, printf('Trends: %d upward and %d downward of %d columns', up, down, k) FROM moves WHERE k > 0
-  UNION ALL SELECT 8, 'Structural breaks: ' || broken FROM moves WHERE broken IS NOT NULL
-  UNION ALL SELECT 9, printf('Stationarity: %d of %d series are stationary', good, k) FROM verdicts WHERE k > 0
-  UNION ALL SELECT 10, 'Non-stationary series: ' || moving FROM verdicts WHERE moving IS NOT NULL
-  UNION ALL SELECT 11, printf('Seasonality: %d of %d series are seasonal', hits, k) FROM cycles WHERE hits > 0
-  UNION ALL SELECT 12, 'Significant autocorrelation: ' || names FROM echoes WHERE names IS NOT NULL)"""
+  SELECT 1 AS ord, format('Table of type time series: {{:,}} rows, 6 columns', n) AS message FROM size
+  UNION ALL SELECT 2, format('Rows that repeat an earlier one: {{:,}}', d) FROM copies WHERE d > 0
+  UNION ALL SELECT 4, printf('Columns with values beyond the quartile fences: %d', k) FROM outside WHERE k > 0
+  UNION ALL SELECT 5, printf('Largest coefficient: user_id ~ value, r %.3f', r) FROM link
+  UNION ALL SELECT 6, 'Pairs at the strong level: 1; none of them proves a cause' FROM link WHERE abs(r) >= 0.7
+  UNION ALL SELECT 7, printf('Direction over time: %d up, %d down, %d in all', up, down, k) FROM moves WHERE k > 0
+  UNION ALL SELECT 8, 'Mean shifts at half time: ' || broken FROM moves WHERE broken IS NOT NULL
+  UNION ALL SELECT 9, printf('Series that both tests call stationary: %d of %d', good, k) FROM verdicts WHERE k > 0
+  UNION ALL SELECT 10, 'Series that they do not: ' || moving FROM verdicts WHERE moving IS NOT NULL
+  UNION ALL SELECT 11, printf('Series with a season: %d of %d', hits, k) FROM cycles WHERE hits > 0
+  UNION ALL SELECT 12, 'Echo at a reported lag: ' || names FROM echoes WHERE names IS NOT NULL)"""

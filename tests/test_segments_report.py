@@ -74,11 +74,11 @@ def test_trend_statements(spark):
     t = trends(spark, [("a", 30.0, 0.01, "upward", False, 1), ("b", -30.0, 0.01, "downward", True, 2), ("c", 1.0, 0.01, "stable", False, 3),
                        ("d", 90.0, 0.2, "stable", False, 4)])
     text = {r["column"]: r["statement"] for r in report.trend_statements(t).collect()}
-    assert text["a"] == "a grew by 30.0%" and text["b"] == "b declined by 30.0%" and "stable" in text["c"]
-    assert "not statistically significant" in text["d"]
+    assert text["a"] == "a: up 30.0%" and text["b"] == "b: down 30.0%" and "stable" in text["c"]
+    assert "within chance" in text["d"]
 
 
-@pytest.mark.parametrize("r,words", [(0.9, "strongly together"), (-0.7, "strongly inversely"), (0.5, "moderately together"), (-0.1, "weakly inversely")])
+@pytest.mark.parametrize("r,words", [(0.9, "strongly positive"), (-0.7, "strongly negative"), (0.5, "moderately positive"), (-0.1, "weakly negative")])
 def test_relationship_words(spark, r, words):
     pairs = spark.createDataFrame([("a", "b", 0, 1, r)], "a string, b string, ordinal_a int, ordinal_b int, r double")
     assert words in report.relationship_statements(pairs).first()["statement"]
@@ -90,19 +90,19 @@ def test_action_order(spark):
     still = spark.createDataFrame([("a", "unit_root"), ("b", "stationary")], "series string, verdict string")
     calm = still.where("verdict = 'stationary'")
     act = lambda tables: report.recommended_action(p, spark, tables).first()["action"]
-    assert act({"stationarity_table": still, "trend_table": falling}).startswith("Difference or detrend a")
-    assert act({"stationarity_table": calm, "trend_table": falling}) == "Investigate the downward trend in a"
-    assert act({"stationarity_table": calm, "trend_table": falling.limit(0)}).startswith("Monitor")
+    assert act({"stationarity_table": still, "trend_table": falling})== "Model changes of a, not levels"
+    assert act({"stationarity_table": calm, "trend_table": falling}) == "Find what makes a fall"
+    assert act({"stationarity_table": calm, "trend_table": falling.limit(0)}).startswith("Run the report again")
     p.dataset_type = "cross_sectional"
     level = spark.createDataFrame([("strong",)], "level string")
-    assert act({"correlation_warnings": level}).startswith("Validate") and act({}).startswith("Use the segment")
+    assert act({"correlation_warnings": level}).startswith("Have someone") and act({}).startswith("Start from the groups")
 
 
 def test_stable_trend_is_not_called_a_decline(spark):
     p = Profile(columns=["a"], kinds={}, rows=10, numeric=["a"])
     t = trends(spark, [("a", 50.0, 0.5, "stable", False, 1)])
     messages = [r["message"] for r in report.business_findings(p, spark, {"trend_table": t}).orderBy("ord").collect()]
-    assert "a was broadly stable over the period" in messages
+    assert "Largest change: none clear, a is stable" in messages
 
 
 def test_routed_runs(spark, tables):
@@ -110,7 +110,7 @@ def test_routed_runs(spark, tables):
     assert events.profile.dataset_type == "time_series" and events.profile.date_column == "ts"
     assert all(ok for _, ok, _ in events.status)
     assert {"trend_table", "seasonal_class", "stationarity_table", "correlogram"} <= set(events.results)
-    assert events.text().startswith("The data holds 1,000 records in 6 fields")
+    assert events.text().startswith("1,000 records of 6 fields")
     segmented = pipeline.analyze(tables("customer"))
     assert segmented.profile.dataset_type == "cross_sectional" and "segment_stats" in segmented.results
     assert "trend_table" not in segmented.results
