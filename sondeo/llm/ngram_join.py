@@ -1,11 +1,13 @@
 """Near duplicates: similarity self-join on sets of word n-grams by prefix filtering, and the components of its links.
 
 Two sets with Jaccard similarity of at least 3/4 share a member among the first quarter (and one) of either, in any order
-that all sets keep. The order here is rare first: members are ranked by the number of documents in their hash class,
-counted over all documents in a table of fixed size, then by hash. Steps:
+that all sets keep. The order here is rare first: frequent members come last, by the number of documents that have them,
+all others first, by hash. Steps:
 
-1. One pass counts classes and set sizes. A second emits each document's prefix; a document whose set another one of
-   the same task has is linked to it and emits nothing more. Prefix members of a single document drop out.
+1. One pass over all documents counts set sizes and, in every task, the members that repeat there (lossy counting: a
+   count may miss one document for each task). The most frequent ones, a bounded number, make the order. A second pass
+   emits each document's prefix; a document whose set another one of the same task has is linked to it and emits
+   nothing more. Prefix members of a single document drop out.
 2. The rest is small. Per member, the document with the fewest members of its own leads; every other document is paired
    with its leaders, filtered by length, position and class counts (suffix filter), and verified once by its whole set.
 3. Links make components. Members whose documents are now all in one component are done; for the others, leaders are
@@ -28,14 +30,16 @@ from pyspark.sql import functions as F
 from sondeo.llm.arrow import mapped
 from sondeo.llm.components import beside, components
 from sondeo.llm.store import stored
-from sondeo.llm.words import WordHashes, text_or_empty, window_hashes
+from sondeo.llm.words import WordHashes, column, text_or_empty, window_hashes
 
 WORDS = 5
 LEAST = Fraction(3, 4)
-# Hash classes whose documents are counted, and the suffix filter's classes.
-CLASSES = 1 << 16
+# Frequent members that the order tells apart, 16 bytes each in every task, and members counted at a time in a task.
+FREQUENT = 1 << 20
+COUNTED = 1 << 22
+# Classes of the suffix filter.
 SUFFIX_CLASSES = 16
-# A class with more than 1/HOT_SHARE of the documents is spread over so many salts.
+# A member of more than 1/HOT_SHARE of the documents is spread over so many salts.
 HOT_SHARE = 32
 SALTS = 64
 # Pairs between components, for each prefix row, that are compared without another round of leaders.
@@ -62,26 +66,61 @@ def needed(a: Column, b: Column, least: Fraction = LEAST) -> Column:
 
 
 def counted(source: DataFrame, id_type: str, words: int) -> DataFrame:
-    """id, n_shingles and class counts of each row, and for each task a row of ``documents``, the counts of its classes."""
+    """id, n_shingles and class counts of each row; in rows of their own, members that repeat in a task and how often."""
     def make():
-        hashes, total = WordHashes(), np.zeros(CLASSES, np.int64)
+        hashes, held = WordHashes(), []
+
+        def repeated() -> dict:
+            values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            return {"members": values[n > 1].view(np.int64), "documents": n[n > 1]}
 
         def work(batch: pa.RecordBatch) -> dict:
-            nonlocal total
             found = [shingles(hashes, data, words) for data in batch.column("t").to_pylist()]
-            whole = np.concatenate([np.empty(0, np.uint64), *found])
-            total += np.bincount((whole & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-            sizes = [len(grams) for grams in found]
+            held.append(np.concatenate([np.empty(0, np.uint64), *found]))
+            more = [repeated()] if sum(map(len, held)) >= COUNTED else []
             suffix = [np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=SUFFIX_CLASSES) for grams in found]
-            return {"id": batch.column("id"), "n_shingles": sizes, "suffix": suffix, "documents": [None] * len(sizes)}
+            return {
+                "id": pa.concat_arrays([batch.column("id"), pa.nulls(len(more), batch.schema.field("id").type)]),
+                "n_shingles": [len(grams) for grams in found] + [None] * len(more), "suffix": suffix + [None] * len(more), "often": [None] * len(found) + more,
+            }
 
-        work.last = lambda: {"id": [None], "n_shingles": [None], "suffix": [None], "documents": [total.tolist()]}
+        work.last = lambda: {"id": [None], "n_shingles": [None], "suffix": [None], "often": [repeated()]}
         return work
 
-    return mapped(source, make, f"id {id_type}, n_shingles long, suffix array<int>, documents array<long>")
+    return mapped(source, make, f"id {id_type}, n_shingles long, suffix array<int>, often struct<members:array<long>,documents:array<long>>")
+
+
+def frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, sorted, of at most FREQUENT of the most frequent members, and the documents counted for each."""
+    pairs = first.filter("often is not null").select(F.explode(F.arrays_zip("often.members", "often.documents")).alias("x"))
+    sums = stored(pairs.groupBy(F.col("x.members").alias("member")).agg(F.sum("x.documents").alias("n")), "frequent-members")
+    # how many members there are of each count below a bound, to find the least count that keeps the table small
+    heights = sorted(((r["k"], r["c"]) for r in sums.groupBy(F.floor(F.log2("n") * 64).alias("k")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    least, total = None, 0
+    for k, c in heights:
+        total += c
+        if total > FREQUENT:
+            break
+        least = k
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    table = sums.filter(F.floor(F.log2("n") * 64) >= least).toArrow()
+    members = np.asarray(table.column("member").to_numpy(), np.int64).view(np.uint64)
+    order = np.argsort(members)
+    return members[order], np.asarray(table.column("n").to_numpy(), np.int64)[order]
+
+
+def looked_up(values: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The documents counted for each of ``values``, 0 for those that are not frequent."""
+    members, documents = often
+    if not len(members):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(members, values), len(members) - 1)
+    return np.where(members[at] == values, documents[at], 0)
 
 
-def prefixes(source: DataFrame, id_type: str, words: int, counts: np.ndarray, hot: int, least: Fraction) -> DataFrame:
+def prefixes(source: DataFrame, id_type: str, words: int, often, hot: int, least: Fraction) -> DataFrame:
     """member, salt, id, size, place of every prefix member; or copy_of, the id of an equal set in the same task."""
     def make():
         hashes, seen = WordHashes(), {}
@@ -100,7 +139,7 @@ def prefixes(source: DataFrame, id_type: str, words: int, counts: np.ndarray, ho
                 if first != ids[i]:
                     copies.append(i), copy_of.append(first)
                     continue
-                documents = counts[grams & np.uint64(CLASSES - 1)]
+                documents = looked_up(grams, often.value)
                 length = n - -(-n * least.numerator // least.denominator) + 1
                 order = np.lexsort((grams, documents))[:length]
                 member.append(grams[order]), size.append(np.full(length, n)), place.append(np.arange(length)), row.append(np.full(length, i))
@@ -151,14 +190,15 @@ def sets(source: DataFrame, id_type: str, words: int) -> DataFrame:
 def candidates(rows: DataFrame, others: DataFrame, shared, least: Fraction) -> DataFrame:
     """Distinct (a, b) of ``rows`` and ``others`` (columns with a leading o_) that share a member and pass the filters.
 
-    Length: neither set is too small for the other. Position: what stands before and after a shared member in the two
-    orders bounds the intersection, and prefix members that no other document has (``own``) are lost to it.
+    Length: neither set is too small for the other. Position: nothing in common stands before the first shared member,
+    so it must come early enough in both orders for the rest to suffice, at sizes closer than the limit much earlier
+    than in the prefix of either alone. Prefix members that no other document has (``own``) are lost to the intersection.
     """
     need = needed(F.col("size"), F.col("o_size"), least)
     fits = (
         (F.least("size", "o_size") >= least_part(F.greatest("size", "o_size"), least))
         & (F.col("size") - F.col("own") >= need) & (F.col("o_size") - F.col("o_own") >= need)
-        & (F.least("place", "o_place") + 1 + F.least(F.col("size") - F.col("place") - 1, F.col("o_size") - F.col("o_place") - 1) >= need)
+        & (F.col("size") - F.col("place") >= need) & (F.col("o_size") - F.col("o_place") >= need)
     )
     pairs = rows.join(others, shared & fits).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
     return pairs.distinct()
@@ -188,16 +228,13 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     64-bit hash. An empty table gives two empty tables.
     """
     id_type = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(docs[id_column].alias("id"), text_or_empty(docs[text_column]).cast("binary").alias("t"))
+    source = docs.select(column(docs, id_column).alias("id"), text_or_empty(column(docs, text_column)).cast("binary").alias("t"))
     first = stored(counted(source, id_type, words), "shingle-counts")
     sizes = first.filter("n_shingles is not null")
-    classes = first.filter("documents is not null").select(F.posexplode("documents").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(CLASSES, np.int64)
-    for r in classes:  # one row for each class, whatever the table
-        counts[r["k"]] = r["n"]
+    often = docs.sparkSession.sparkContext.broadcast(frequent(first))  # at most FREQUENT entries
     hot = max(100, sizes.count() // HOT_SHARE)
 
-    emitted = prefixes(source, id_type, words, counts, hot, least)
+    emitted = prefixes(source, id_type, words, often, hot, least)
     whole = Window.partitionBy("member", "salt")
     spread = emitted.repartition("member", "salt").withColumns({"lowest": F.min("id").over(whole), "highest": F.max("id").over(whole)})
     kept = stored(spread.filter((F.col("lowest") < F.col("highest")) | (F.col("salt") >= 0) | F.col("copy_of").isNotNull()).drop("lowest", "highest", "salt"), "prefix-rows")
@@ -248,4 +285,4 @@ def kept_rows(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFram
     _, labels = linked(docs, id_column=id_column, **options)
     gone = labels.filter("node <> component").select(F.col("node").alias("_gone"))
     side = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
-    return docs.join(side, docs[id_column] == F.col("_gone"), "left_anti")
+    return docs.join(side, column(docs, id_column) == gone["_gone"], "left_anti")
