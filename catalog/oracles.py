@@ -73,7 +73,20 @@ def f_tail(f: str, a: str, b: str) -> str:
 # --- sources and profile -----------------------------------------------------------------------------------
 
 ORACLES["csv_scan"] = """SELECT count(*) AS n, count(CASE WHEN event_id % 10 <> 0 THEN value END) AS n_values,
-  round(sum(CASE WHEN event_id % 10 <> 0 THEN value END), 2) AS total, 'bigint' AS id_type, 'double' AS value_type FROM events"""
+  round(sum(CASE WHEN event_id % 10 <> 0 THEN value END), 2) AS total, 'bigint' AS id_type, 'double' AS value_type,
+  count(DISTINCT event_id) AS long_ids, CAST(9000000000000000000 + max(event_id) AS VARCHAR) AS last_long_id,
+  CAST(CAST(100000000000000000000 AS HUGEINT) + max(event_id) AS VARCHAR) AS last_wide_id, count(*) AS broken_lines,
+  strftime(date_trunc('second', min(ts)) - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS first_at FROM events"""
+KINDS = """CASE WHEN column_type IN ('INTEGER', 'BIGINT', 'DOUBLE', 'FLOAT') THEN 'numeric' WHEN column_type = 'VARCHAR' THEN 'categorical'
+  WHEN column_type IN ('DATE', 'TIMESTAMP') THEN 'datetime' ELSE 'unsupported' END"""
+_KIND_COLUMNS = {
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "events": "event_id ts user_id event_type value props",
+    "embeddings": "vec_id embedding label",
+}
+ORACLES["column_kinds"] = "SELECT \"table\", \"column\", " + KINDS + " AS kind, n FROM (" + union([
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", any_value(typeof({c})) AS column_type, count({c}) AS n FROM {t}" for t, cs in _KIND_COLUMNS.items() for c in cs.split()
+]) + ")"
 ORACLES["shape"] = "SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns FROM lineitem"
 ORACLES["size_estimate"] = """SELECT bytes, round(bytes / 1048576.0, 6) AS megabytes FROM (
   SELECT CAST(count(*) * 16 + sum(strlen(text)) + sum(strlen(lang)) + sum(strlen(source)) AS BIGINT) AS bytes FROM documents)"""
@@ -136,6 +149,10 @@ ORACLES["case_variants"] = f"WITH {FLAWED}, long AS (" + union(
     [f"SELECT '{c}' AS \"column\", lower({c}) AS folded, {c} AS value, count(*) AS n FROM dirty GROUP BY 1, 2, 3" for c in ("event_type", "props")]
 ) + """) SELECT * FROM long WHERE ("column", folded) IN (SELECT ("column", folded) FROM long GROUP BY "column", folded HAVING count(*) > 1)"""
 
+ORACLES["case_variants_long"] = """WITH long AS (SELECT 'text' AS "column", lower(text) AS folded, text AS value, count(*) AS n FROM (
+  SELECT text FROM documents UNION ALL SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM documents WHERE doc_id % 7 = 0) GROUP BY 2, 3)
+SELECT "column", sha256(folded) AS folded, sha256(value) AS value, n FROM long WHERE folded IN (SELECT folded FROM long GROUP BY folded HAVING count(*) > 1)"""
+
 # --- exploration -------------------------------------------------------------------------------------------
 
 ORACLES["univariate"] = union(
@@ -200,7 +217,7 @@ ORACLES["categorical_cardinality"] = union(
     [f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in ("l_returnflag", "l_linestatus")]
 )
 ORACLES["histogram"] = "WITH long AS (" + union(
-    [f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM lineitem" for c in ("l_partkey", "l_quantity", "l_extendedprice", "l_orderkey")]
+    [f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM lineitem" for c in ("l_partkey", "l_quantity", "l_extendedprice", "l_orderkey", "l_suppkey", "l_tax")]
 ) + """), edge AS (SELECT "column", min(v) AS lo, max(v) AS hi FROM long GROUP BY 1),
 held AS (SELECT "column", least(30, CAST(floor(30 * (v - lo) / (hi - lo)) AS BIGINT) + 1) AS bin, count(*) AS n FROM long JOIN edge USING ("column") GROUP BY 1, 2)
 SELECT e."column", g.bin, round(lo + (hi - lo) / 30 * (g.bin - 1), 4) AS low, round(lo + (hi - lo) / 30 * g.bin, 4) AS high, coalesce(h.n, 0) AS n
@@ -275,6 +292,7 @@ ORACLES["trend_statements"] = f"""WITH {STATS} SELECT series AS "column", CASE
 
 ORACLES["month_means"] = f"""SELECT 'o_totalprice' AS series, month(o_orderdate) AS period, strftime(any_value(o_orderdate), '%b') AS label,
   {rnd('avg(o_totalprice)', 4)} AS mean FROM orders GROUP BY month(o_orderdate)"""
+ORACLES["sink_round_trip"] = f"SELECT m.*, format FROM ({ORACLES['month_means']}) m, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS format)"
 _RAW = union([f"SELECT '{c}' AS series, ts, pos, {c} AS y FROM placed" for c in SERIES])
 ORACLES["weekday_means"] = f"""WITH {GAPPY} SELECT series, isodow(ts) - 1 AS period, strftime(any_value(ts), '%a') AS label,
   {rnd('avg(y)', 4)} AS mean FROM ({_RAW}) GROUP BY series, isodow(ts) HAVING avg(y) IS NOT NULL"""
@@ -402,7 +420,7 @@ ORACLES["usable_segments"] = "SELECT * FROM (" + union(
 ORACLES["segment_stats"] = union(
     [f"SELECT '{g}' AS cat_col, {g} AS cat, '{m}' AS num_col, {rnd(f'avg({m})', 4)} AS mean, {rnd(f'stddev_samp({m})', 4)} AS std, count({m}) AS n, "
      f"{rnd(f'quantile_cont({m}, 0.5)', 4)} AS median FROM lineitem GROUP BY {g}"
-     for g in ("l_returnflag", "l_linestatus") for m in ("l_quantity", "l_extendedprice", "l_tax")]
+     for g in ("l_returnflag", "l_linestatus") for m in ("l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
 )
 _SCORES = "cells AS (" + union(
     [f"SELECT '{g}' AS cat_col, '{m}' AS num_col, {i} AS i, {j} AS j, {g} AS cat, avg({m}) AS mean, var_samp({m}) AS v, count({m}) AS n FROM orders GROUP BY {g} HAVING count({m}) >= 2"
@@ -425,7 +443,7 @@ ORACLES["kpis"] = f"""WITH {FLAWED} SELECT count(*) AS rows, CAST(9 AS BIGINT) A
 
 ORACLES["preview"] = "SELECT * FROM events LIMIT 20"
 ORACLES["stage_status"] = union(
-    [f"SELECT '{s}' AS stage, true AS ok, CAST(NULL AS VARCHAR) AS error" for s in ("profile", "quality", "exploration", "causality", "segments", "findings")]
+    [f"SELECT '{s}' AS stage, true AS ok, CAST(NULL AS VARCHAR) AS error" for s in ("profile", "quality", "exploration", "relationships", "causality", "segments", "key figures", "findings")]
 )
 ORACLES["recommended_action"] = f"""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS y FROM orders),
 fit AS (SELECT count(*) AS n, regr_slope(y, pos) AS slope, regr_r2(y, pos) AS r2, arg_min(y, pos) AS a, arg_max(y, pos) AS b FROM o),

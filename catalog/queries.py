@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 DIRTY_TEXT = ["event_type", "props"]
+EIGHT_MEASURES = ["l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 SERIES = ["user_id", "value", "cycle", "stepped"]
 # without the exactly periodic one, whose partial autocorrelations are a division by rounding error
 REAL_SERIES = ("user_id", "value", "stepped")
@@ -93,18 +94,49 @@ def order_sequence(spark: SparkSession, folder: str, measures=("o_totalprice",))
 def csv_scan(spark, folder):
     ev = table(spark, folder, "events")
     marked = ev.select(
-        "event_id", "event_type", F.when(F.col("event_id") % 10 == 0, "NA").otherwise(F.col("value").cast("string")).alias("value")
+        "event_id", "event_type", F.when(F.col("event_id") % 10 == 0, "NA").otherwise(F.col("value").cast("string")).alias("value"),
+        (F.col("event_id") + 9_000_000_000_000_000_000).alias("long_id"), (F.col("event_id") + F.lit(str(10**20)).cast("decimal(38,0)")).alias("wide_id"),
+        F.concat("event_type", F.lit("\n\"second\" line, "), "event_type").alias("note"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")).alias("at"),
     )
     path = f"{scratch_folder(spark)}/csv-{uuid.uuid4().hex}"
-    marked.write.csv(path, header=True)
-    back = sources.read_csv(spark, path)
+    marked.write.csv(path, header=True, escape='"')
+    back = sources.read_csv(spark, path, multi_line=True)
     types = {f.name: f.dataType.simpleString() for f in back.schema.fields}
     return tidy(back.agg(
         F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"),
         F.lit(types["event_id"]).alias("id_type"), F.lit(types["value"]).alias("value_type"),
+        F.count_distinct("long_id").alias("long_ids"), F.max("long_id").cast("string").alias("last_long_id"),
+        F.max("wide_id").cast("string").alias("last_wide_id"), F.count_if(F.col("note").contains("\n\"second\" line, ")).alias("broken_lines"),
+        F.min("at").cast("string").alias("first_at"),
     ), 2)
 
 
+@query
+def sink_round_trip(spark, folder):
+    """Result tables written to files of each format and read again."""
+    means = month_means(spark, folder)
+    out = None
+    for fmt in ("parquet", "orc", "json", "csv"):
+        path = f"{scratch_folder(spark)}/sink-{uuid.uuid4().hex}"
+        sources.write_result(means, path, fmt)
+        back = spark.read.schema(means.schema).format(fmt).load(path).withColumn("format", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query
+def column_kinds(spark, folder):
+    """The kind of every column of four tables, next to its values that are not missing."""
+    out = None
+    for name in ("lineitem", "orders", "events", "embeddings"):
+        df = table(spark, folder, name)
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n")
+        kinds = profile.column_kinds(df).join(counts, "column").select(F.lit(name).alias("table"), "column", "kind", "n")
+        out = kinds if out is None else out.unionByName(kinds)
+    return out
+
+
 @query
 def preview(spark, folder):
     return sources.preview(table(spark, folder, "events"))
@@ -201,6 +233,16 @@ def case_variants(spark, folder):
     return quality.case_variants(dirty_events(spark, folder), DIRTY_TEXT)
 
 
+@query
+def case_variants_long(spark, folder):
+    """Spellings far longer than what is grouped as it is; every seventh text stands there in capitals as well."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    loud = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    both = docs.unionByName(docs.where(F.col("doc_id") % 7 == 0).withColumn("text", loud))
+    found = quality.case_variants(both, ["text"])
+    return found.select("column", F.sha2("folded", 256).alias("folded"), F.sha2("value", 256).alias("value"), "n")
+
+
 # --- exploration -------------------------------------------------------------------------------------------
 
 
@@ -274,7 +316,7 @@ def categorical_cardinality(spark, folder):
 
 @query
 def histogram(spark, folder):
-    return tidy(eda.histogram(table(spark, folder, "lineitem"), ["l_partkey", "l_quantity", "l_extendedprice", "l_orderkey"]), 4)
+    return tidy(eda.histogram(table(spark, folder, "lineitem"), ["l_partkey", "l_quantity", "l_extendedprice", "l_orderkey", "l_suppkey", "l_tax"]), 4)
 
 
 # --- causality ---------------------------------------------------------------------------------------------
@@ -467,7 +509,7 @@ def usable_segments(spark, folder):
 @query
 def segment_stats(spark, folder):
     li = table(spark, folder, "lineitem")
-    return tidy(segments.segment_stats(li, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_tax"]), 4)
+    return tidy(segments.segment_stats(li, ["l_returnflag", "l_linestatus"], EIGHT_MEASURES), 4)
 
 
 @query

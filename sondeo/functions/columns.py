@@ -51,6 +51,31 @@ def as_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
+def hashable(c: Column, kind: T.DataType) -> Column:
+    """The value in a form that groups and hashes: a map, at any depth, as its sorted entries; a variant as text."""
+    if not holds(kind, (T.MapType, T.VariantType)):
+        return c
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(hashable(e["key"], kind.keyType).alias("key"), hashable(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(c), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: hashable(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [hashable(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return F.to_json(c)
+
+
+def holds(kind: T.DataType, wanted: tuple) -> bool:
+    if isinstance(kind, wanted):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return holds(kind.elementType, wanted)
+    if isinstance(kind, T.StructType):
+        return any(holds(f.dataType, wanted) for f in kind.fields)
+    return False
+
+
 def chunks(items: Sequence, size: int) -> Iterable[Sequence]:
     for start in range(0, len(items), size):
         yield items[start : start + size]

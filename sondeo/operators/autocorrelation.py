@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 from sondeo.functions.tails import partial_autocorrelations
 from sondeo.plans.sequence import Sequence, lag_products, with_lags
 
-# Series and lag limits, minimum length, reported lags, width of the 95 % band.
-MAX_COLUMNS, MAX_LAGS, MIN_ROWS = 5, 40, 15
+# Lags of a report, minimum length, reported lags, width of the 95 % band.
+MAX_LAGS, MIN_ROWS = 40, 15
 REPORTED_LAGS = (1, 7, 14, 30)
 BAND_Z, EMPTY_BAND = 1.96, 0.2
 DECIMALS = 4
 
 
 def _columns(seq: Sequence, columns: Seq[str] | None) -> list[str]:
-    names = seq.usable(MIN_ROWS, MAX_COLUMNS) if columns is None else list(columns)
-    return [c for c in names if c in seq.usable(MIN_ROWS)]
+    usable = seq.usable(MIN_ROWS)
+    return usable if columns is None else [c for c in columns if c in usable]
 
 
-def lag_count(n: int) -> int:
-    return min(MAX_LAGS, n // 2 - 1)
+def lag_count(n: int, max_lags: int = MAX_LAGS) -> int:
+    return min(max_lags, n // 2 - 1)
 
 
 def band(n: int) -> float:
@@ -38,21 +38,21 @@ def centred(series: DataFrame) -> DataFrame:
     return series.join(F.broadcast(means), "series").select("series", "pos", (F.col("y") - F.col("mean")).alias("y"))
 
 
-def acf(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def acf(seq: Sequence, columns: Seq[str] | None = None, max_lags: int = MAX_LAGS) -> DataFrame:
     """(series, lag, acf) for lag 0 up to the limit; NULL for a constant series."""
     names = _columns(seq, columns)
     if not names:
         return seq.table.sparkSession.createDataFrame([], "series string, lag int, acf double")
-    sums = lag_products(centred(seq.series(names)), lag_count(seq.n), seq.block_rows).where("kind = 'yy'")
-    # the window sees at most 41 rows per series
+    sums = lag_products(centred(seq.series(names)), lag_count(seq.n, max_lags), seq.block_rows).where("kind = 'yy'")
+    # the window sees a row per lag and series
     base = F.max(F.when(F.col("lag") == 0, F.col("total"))).over(Window.partitionBy("series"))
     return sums.select("series", "lag", F.try_divide("total", base).alias("acf"))
 
 
-def acf_and_pacf(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def acf_and_pacf(seq: Sequence, columns: Seq[str] | None = None, max_lags: int = MAX_LAGS) -> DataFrame:
     """(series, lag, acf, pacf). The partial values follow Yule-Walker with n - k denominators.
 
-    The recursion runs over at most 41 numbers per series; the data pass is the lag sums.
+    The recursion runs over at most ``max_lags`` + 1 numbers per series; the data pass is the lag sums.
     """
     n = seq.n
 
@@ -62,16 +62,16 @@ def acf_and_pacf(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
         out = partial_autocorrelations(adjusted) if rows["acf"].notna().all() else [None] * len(adjusted)
         return rows.assign(pacf=pd.Series(out, index=rows.index, dtype="float64"))
 
-    return acf(seq, columns).groupBy("series").applyInPandas(recursion, "series string, lag int, acf double, pacf double")
+    return acf(seq, columns, max_lags).groupBy("series").applyInPandas(recursion, "series string, lag int, acf double, pacf double")
 
 
-def pacf(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
-    return acf_and_pacf(seq, columns).select("series", "lag", "pacf")
+def pacf(seq: Sequence, columns: Seq[str] | None = None, max_lags: int = MAX_LAGS) -> DataFrame:
+    return acf_and_pacf(seq, columns, max_lags).select("series", "lag", "pacf")
 
 
-def confidence_band(seq: Sequence) -> DataFrame:
+def confidence_band(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
     """One row per usable series: rows and the half-width of the 95 % band."""
-    rows = [(c, seq.n, band(seq.n)) for c in _columns(seq, None)]
+    rows = [(c, seq.n, band(seq.n)) for c in _columns(seq, columns)]
     return seq.table.sparkSession.createDataFrame(rows, "series string, n bigint, band double")
 
 
@@ -88,9 +88,9 @@ def lag_pairs(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
     return pairs.where(F.col("pos") > 0).select("series", "pos", F.col("lag_1").alias("y_lag1"), "y")
 
 
-def correlogram(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def correlogram(seq: Sequence, columns: Seq[str] | None = None, max_lags: int = MAX_LAGS) -> DataFrame:
     """(series, lag, acf, pacf, band and both significance flags)."""
-    both = acf_and_pacf(seq, columns)
+    both = acf_and_pacf(seq, columns, max_lags)
     limit = band(seq.n)
     return both.select(
         "series", "lag", "acf", "pacf", F.lit(limit).alias("band"),

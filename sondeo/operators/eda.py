@@ -20,10 +20,10 @@ from sondeo.plans.quantiles import exact_quantiles, group_sizes, order_statistic
 from sondeo.plans.ranks import average_ranks, with_ranks
 from sondeo.plans.scratch import stored
 
-# List lengths, column limits and bin counts of the report.
+# List lengths and bin counts of the report.
 TOP_SKEWED, TOP_PAIRS, TOP_CARDINALITY = 5, 10, 5
-INFORMATION_COLUMNS, INFORMATION_MIN_ROWS, INFORMATION_BINS = 15, 10, 16
-HISTOGRAM_COLUMNS, HISTOGRAM_BINS = 4, 30
+INFORMATION_MIN_ROWS, INFORMATION_BINS = 10, 16
+HISTOGRAM_BINS = 30
 
 # Above this many columns, products are summed as matrices instead of one expression per pair.
 WIDE_COLUMNS = 64
@@ -241,7 +241,7 @@ def top_correlations(df: DataFrame, columns=None, profile: Profile | None = None
 
 
 def mutual_information(
-    df: DataFrame, columns=None, profile: Profile | None = None, max_columns: int | None = INFORMATION_COLUMNS,
+    df: DataFrame, columns=None, profile: Profile | None = None, max_columns: int | None = None,
     bins: int = INFORMATION_BINS, top: int | None = TOP_PAIRS,
 ) -> DataFrame:
     """Plug-in mutual information (nats) of each pair over equal-frequency rank bins.
@@ -249,7 +249,8 @@ def mutual_information(
     A value's bin is floor(bins * share of rows below it), which only needs the bin edges: exact order statistics,
     no ranking of the rows. The counts per pair and bin cell are fixed in number. Runs two small jobs first.
     """
-    names = _numeric(df, columns, profile)[:max_columns]
+    names = _numeric(df, columns, profile)
+    names = names[:max_columns] if columns is None else names  # named columns are never cut
     spark = df.sparkSession
     empty = spark.createDataFrame([], "a string, b string, mi double")
     if len(names) < 2:
@@ -310,11 +311,12 @@ def categorical_cardinality(df: DataFrame, columns=None, profile: Profile | None
 
 
 def histogram(
-    df: DataFrame, columns=None, profile: Profile | None = None, max_columns: int | None = HISTOGRAM_COLUMNS, bins: int = HISTOGRAM_BINS
+    df: DataFrame, columns=None, profile: Profile | None = None, max_columns: int | None = None, bins: int = HISTOGRAM_BINS
 ) -> DataFrame:
     """(column, bin, low, high, n): equal-width bins over each column's range, the top edge closed, empty bins
     included. A column with one value puts it all in bin 1."""
-    names = _numeric(df, columns, profile)[:max_columns]
+    names = _numeric(df, columns, profile)
+    names = names[:max_columns] if columns is None else names  # named columns are never cut
     if not names:
         return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n bigint")
     long = unpivot(df, {c: as_double(c) for c in names}).where(F.col("value").isNotNull())

@@ -13,6 +13,7 @@ from sondeo.operators import autocorrelation, causal, eda, quality, report, seas
 from sondeo.operators.profile import Profile, build_profile, missing_profile, profile_summary, profile_table
 from sondeo.plans.scratch import stored
 from sondeo.plans.sequence import Sequence, tie_break, time_order
+from sondeo.sources import normalize
 
 log = logging.getLogger(__name__)
 
@@ -49,7 +50,7 @@ class Analysis:
 
 
 def analyze(
-    df: DataFrame, max_trend_columns: int = trend.MAX_COLUMNS, store: bool = True, store_input: bool = False
+    df: DataFrame, max_trend_columns: int | None = trend.MAX_COLUMNS, store: bool = True, store_input: bool = False
 ) -> Analysis:
     """Run every stage that suits the table. A failing stage is recorded and its tables stay out of the rest.
 
@@ -58,6 +59,7 @@ def analyze(
     """
     out = Analysis()
     spark = df.sparkSession
+    df = normalize(df)  # NaN is missing, whatever the frame came from
     df = stored(df, "input") if store_input else df
 
     def stage(name: str, build: Callable[[], Tables]) -> None:
@@ -93,11 +95,14 @@ def analyze(
         "case_inconsistency": lambda: quality.case_inconsistency(df, profile=p),
     })
     stage("exploration", lambda: {
-        "univariate": lambda: eda.univariate(df, profile=p), "top_correlations": lambda: eda.top_correlations(df, profile=p),
+        "univariate": lambda: eda.univariate(df, profile=p), "describe": lambda: eda.describe(df, profile=p),
+        "most_skewed": lambda: eda.most_skewed(df, profile=p), "histogram": lambda: eda.histogram(df, profile=p), "top_correlations": lambda: eda.top_correlations(df, profile=p),
         "pearson_matrix": lambda: eda.pearson_matrix(df, profile=p), "spearman_matrix": lambda: eda.spearman_matrix(df, profile=p),
         "mutual_information": lambda: eda.mutual_information(df, profile=p),
         "categorical_cardinality": lambda: eda.categorical_cardinality(df, profile=p),
     })
+    if "top_correlations" in out.results:
+        stage("relationships", lambda: {"relationship_statements": lambda: report.relationship_statements(out.results["top_correlations"])})
     stage("causality", lambda: {
         "correlation_warnings": lambda: causal.correlation_warnings(df, profile=p, pairs=out.results.get("top_correlations")),
         "binary_treatment": lambda: causal.binary_treatment(df, profile=p),
@@ -109,6 +114,10 @@ def analyze(
         _sequence_stages(df, p, out, stage, max_trend_columns)
     else:
         _segment_stages(df, p, out, stage)
+    if "duplicate_rows" in out.results:
+        trends = out.results["trend_table"].count() if "trend_table" in out.results else 0
+        when = p.when(df) if p.date_column else None
+        stage("key figures", lambda: {"kpis": lambda: report.kpis(df, when, trends, out.results["duplicate_rows"])})
     stage("findings", lambda: {
         "technical_findings": lambda: report.technical_findings(p, spark, out.results),
         "business_findings": lambda: report.business_findings(p, spark, out.results),
@@ -126,13 +135,20 @@ def _sequence_stages(df: DataFrame, p: Profile, out: Analysis, stage, max_trend_
     seq = out.sequence
     if seq is None:
         return
+    chosen = trend.trend_columns(seq, max_trend_columns)
     stage("trend", lambda: {
-        "trend_table": lambda: trend.trend_table(seq, trend.trend_columns(seq, max_trend_columns)),
-        "rolling_window": lambda: trend.infer_rolling_window(seq),
+        "trend_table": lambda: trend.trend_table(seq, chosen), "rolling_window": lambda: trend.infer_rolling_window(seq),
+        "ols_fitted_line": lambda: trend.ols_fitted_line(seq, chosen), "break_marker": lambda: trend.break_marker(seq, chosen),
     })
+    if "rolling_window" in out.results:
+        stage("statements", lambda: {
+            "trend_statements": lambda: report.trend_statements(out.results["trend_table"]),
+            "rolling_mean": lambda: trend.rolling_mean(seq, out.results["rolling_window"].first()["rolling_window"], chosen),
+        })
     stage("seasonality", lambda: {
         "month_means": lambda: seasonality.month_means(seq), "weekday_means": lambda: seasonality.weekday_means(seq),
         "lag_correlation": lambda: seasonality.lag_correlation(seq), "seasonal_class": lambda: seasonality.seasonal_class(seq),
+        "calendar_box_stats": lambda: seasonality.calendar_box_stats(seq),
     })
     stage("stationarity", lambda: {"stationarity_table": lambda: stationarity.stationarity_table(seq)})
 
@@ -142,6 +158,7 @@ def _sequence_stages(df: DataFrame, p: Profile, out: Analysis, stage, max_trend_
             "correlogram": lambda: table,
             "significant_lags": lambda: autocorrelation.significant_lags(seq, acf_values=table),
             "arima_order_hint": lambda: autocorrelation.arima_order_hint(seq, lags=table),
+            "lag_pairs": lambda: autocorrelation.lag_pairs(seq),
         }
 
     stage("autocorrelation", lags)
@@ -161,6 +178,7 @@ def _segment_stages(df: DataFrame, p: Profile, out: Analysis, stage) -> None:
         top = best.first()
         if top is not None:
             tables["top_bottom_segments"] = lambda: segments.top_bottom_segments(df, top["top_grouping"], p.measures[0])
+            tables["segment_mean_bars"] = lambda: segments.segment_mean_bars(df, top["top_grouping"], p.measures[0])
         return tables
 
     stage("segments", compare)

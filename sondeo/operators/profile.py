@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sondeo.functions.columns import (
     DATETIME_TYPES, INTEGER_TYPES, aggregate_rows, as_text, col, columns_of_kind, is_integer, kind_of, unpivot,
 )
+from sondeo.functions.dates import ZONED, in_utc
 
 # Date-like name fragments, the share of parsed rows that accepts a date column, the distinct
 # share above which a column is an identifier, and the distinct dates up to which a table is cross-sectional.
@@ -22,6 +23,7 @@ TOP_MISSING = 5
 
 # Fixed formats a text date column may have: (label, shape, pattern). The shape check keeps the parser away
 # from texts it would reject, and an earlier format wins a tie.
+ZONE = "zone"  # not a pattern: such texts are cast with their zone
 DATE_FORMATS = (
     ("iso_date", r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     ("iso_datetime", r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$", None),
@@ -31,16 +33,24 @@ DATE_FORMATS = (
     ("slash_dmy", r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
     ("slash_mdy_time", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
     ("slash_mdy_seconds", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    ("slash_mdy_half_day", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a"),
+    ("slash_mdy_half_day_seconds", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$", "M/d/yyyy h:mm:ss a"),
+    ("iso_half_day", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2} [AP]M$", "yyyy-M-d h:mm a"),
+    ("iso_zone", ZONED, ZONE),
+    ("dash_dmy_time", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$", "d-M-yyyy H:mm"),
     ("dash_dmy", r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     ("dot_dmy", r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
     ("compact", r"^\d{8}$", "yyyyMMdd"),
     ("day_name_month", r"^\d{1,2}[ -][A-Z][a-z]{2}[ -]\d{4}$", "d[ ][-]MMM[ ][-]yyyy"),
     ("month_day_year", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    ("day_full_month_year", r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$", "d MMMM yyyy"),
+    ("full_month_day_year", r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    ("full_month_year", r"^[A-Z][a-z]{2,8} \d{4}$", "MMMM yyyy"),
     ("month_year", r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
 )
 # Every text of these formats has this shape and length; one cheap check stands for all of them at first.
-DATE_SHAPE = r"^[0-9A-Z][0-9A-Za-z ,:./-]*[0-9]$"
-SHORTEST_DATE, LONGEST_DATE = 7, 26
+DATE_SHAPE = r"^[0-9A-Z][0-9A-Za-z ,:./+-]*[0-9MZ]$"
+SHORTEST_DATE, LONGEST_DATE = 7, 32
 # Fixed formats an integer date column may have: (label, low, high).
 INTEGER_DATES = (("yyyy", 1900, 2100), ("yyyymm", 190001, 210012), ("yyyymmdd", 19000101, 21001231))
 
@@ -147,6 +157,8 @@ def date_value(df: DataFrame, name: str, label: str | None) -> Column:
     text = F.when(_fits_length(c) & c.rlike(form), c)
     if pattern is None:
         return text.try_cast("timestamp_ntz")
+    if pattern == ZONE:
+        return in_utc(text.try_cast("timestamp"))
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
@@ -239,28 +251,36 @@ def classify_dataset(df: DataFrame, when: Column | None) -> DataFrame:
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) over the non-missing values of all columns in one shuffle.
 
-    Long texts travel as a SHA-256 digest; see ``case_inconsistency`` for the one check that needs the text.
+    Long texts are grouped by a SHA-256 digest, and the text itself comes along as one plain value for each group.
     """
-    values = {}
-    for c in columns:
-        text = as_text(df, c)
-        if isinstance(df.schema[c].dataType, T.StringType):
-            digest = F.concat(F.lit("sha256:"), F.sha2(text, 256))
-            text = F.when(F.octet_length(text) > LONG_TEXT_BYTES, digest).otherwise(text)
-        values[c] = text
-    if not values:
+    if not columns:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    long = unpivot(df, values).where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    groups = value_groups(df, columns).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return groups.select("column", "value", "n")
+
+
+def value_groups(df: DataFrame, columns: list[str]):
+    """The non-missing values of all columns, grouped by column and ``key``: the text, or its digest if it is long."""
+    long = unpivot(df, {c: as_text(df, c) for c in columns}).where(F.col("value").isNotNull())
+    digest = F.concat(F.lit("sha256:"), F.sha2("value", 256))
+    key = F.when(F.octet_length("value") > LONG_TEXT_BYTES, digest).otherwise(F.col("value"))
+    return long.withColumn("key", key).groupBy("column", "key")
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_distinct) of non-missing values, exact; 0 for a column without values."""
-    found = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    found = _distinct(df, columns)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(F.broadcast(found), "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n_distinct"))
 
 
+def _distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): counting needs the keys only, so no long text is shuffled."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n bigint")
+    return value_groups(df, columns).agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
 def identifier_candidates(df: DataFrame, date_column: str | None = None) -> list[str]:
     texts = columns_of_kind(df, "categorical")
     whole = [c for c in columns_of_kind(df, "numeric") if is_integer(df, c)]

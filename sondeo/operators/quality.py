@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondeo.functions.columns import aggregate_rows, as_double, as_text, col, kind_of, unpivot
-from sondeo.operators.profile import LONG_TEXT_BYTES, Profile, kept_columns, missing_shares, value_counts
+from sondeo.functions.columns import aggregate_rows, as_double, as_text, col, hashable, kind_of, unpivot
+from sondeo.operators.profile import LONG_TEXT_BYTES, Profile, distinct_counts, kept_columns, missing_shares
 from sondeo.plans.quantiles import exact_quantiles, group_sizes
 from sondeo.plans.scratch import stored
 
@@ -23,17 +23,14 @@ TOP_OUTLIERS = 5
 NARROW_ROW_BYTES = 32
 
 
-def _groupable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: total rows and rows that repeat an earlier row (NULLs equal).
 
     Wide rows are first grouped by a 64-bit hash, which shuffles 8 bytes a row. Only rows whose hash repeats are
     then grouped by their full value, so hash collisions cannot count. Runs one job for wide tables.
     """
-    names = _groupable(df)
+    df = df.select(*[hashable(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    names = df.columns
     narrow = sum(8 if kind_of(df.schema[c].dataType) != "unsupported" else 64 for c in names) <= NARROW_ROW_BYTES
     fixed = not any(isinstance(df.schema[c].dataType, T.StringType) for c in names)
     whole = [col(c) for c in names]
@@ -73,7 +70,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
 def high_cardinality(df: DataFrame, columns: Sequence[str] | None = None, profile: Profile | None = None) -> DataFrame:
     """Categorical columns with more than max(50, 5 % of rows) distinct values."""
     names = list(columns) if columns is not None else kept_columns(df, "categorical", profile)
-    per = value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    per = distinct_counts(df, names)
     rows = df.agg(F.count(F.lit(1)).alias("_rows"))
     limit = F.greatest(F.lit(float(CARDINALITY_FLOOR)), F.col("_rows") * CARDINALITY_SHARE)
     return per.crossJoin(F.broadcast(rows)).where(F.col("n_distinct") > limit).select("column", "n_distinct")
@@ -117,17 +114,19 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, profile: P
 
 
 def _cased_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column, folded, value, n): text values with their lower-cased form, long ones as digests of both."""
+    """(column, folded_key, value_key, folded, value, n): text values with their lower-cased form.
+
+    Long texts are grouped by digests; the texts come along as plain values. Without a use for them they are not
+    computed, so a count alone shuffles the keys only.
+    """
 
     def short(text: Column) -> Column:
         return F.when(F.octet_length(text) > LONG_TEXT_BYTES, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), short(F.lower(as_text(df, c))).alias("folded"), short(as_text(df, c)).alias("value"))
-        for c in names
-    ])
-    long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-    return long.groupBy("column", "folded", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = unpivot(df, {c: as_text(df, c) for c in names}).where(F.col("value").isNotNull())
+    keyed = long.withColumns({"value_key": short(F.col("value")), "folded_key": short(F.lower("value"))})
+    groups = keyed.groupBy("column", "folded_key", "value_key")
+    return groups.agg(F.lower(F.min("value")).alias("folded"), F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def _text_columns(df: DataFrame, columns, profile) -> list[str]:
@@ -140,7 +139,7 @@ def case_inconsistency(df: DataFrame, columns: Sequence[str] | None = None, prof
     names = _text_columns(df, columns, profile)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_values bigint, n_folded bigint")
-    folded = _cased_values(df, names).groupBy("column", "folded").agg(F.count(F.lit(1)).alias("variants"))
+    folded = _cased_values(df, names).groupBy("column", "folded_key").agg(F.count(F.lit(1)).alias("variants"))
     per = folded.groupBy("column").agg(F.sum("variants").alias("n_values"), F.count(F.lit(1)).alias("n_folded"))
     return per.where(F.col("n_values") > F.col("n_folded"))
 
@@ -151,5 +150,5 @@ def case_variants(df: DataFrame, columns: Sequence[str] | None = None, profile:
     if not names:
         return df.sparkSession.createDataFrame([], "column string, folded string, value string, n bigint")
     values = _cased_values(df, names)
-    clashes = values.groupBy("column", "folded").agg(F.count(F.lit(1)).alias("variants")).where(F.col("variants") > 1)
-    return values.join(clashes.select("column", "folded"), ["column", "folded"]).select("column", "folded", "value", "n")
+    clashes = values.groupBy("column", "folded_key").agg(F.count(F.lit(1)).alias("variants")).where(F.col("variants") > 1)
+    return values.join(clashes.select("column", "folded_key"), ["column", "folded_key"]).select("column", "folded", "value", "n")

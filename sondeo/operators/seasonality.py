@@ -11,8 +11,7 @@ from sondeo.functions.columns import correlation, unpivot
 from sondeo.plans.quantiles import exact_quantiles
 from sondeo.plans.sequence import Sequence, with_lags
 
-# Series limit, lags in rows, class limits, boxed series, labels.
-MAX_COLUMNS, BOXED_COLUMNS = 8, 3
+# Lags in rows, class limits, labels.
 SEASONAL_LAGS = (("weekly", 7), ("monthly", 12), ("quarterly", 4))
 SEASONAL, WEAK = 0.30, 0.15
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -21,7 +20,7 @@ WHISKER = 1.5
 
 
 def _columns(seq: Sequence, columns: Seq[str] | None) -> list[str]:
-    return list(columns) if columns is not None else seq.usable(1, MAX_COLUMNS)
+    return list(columns) if columns is not None else seq.usable(1)
 
 
 def _month() -> tuple[Column, Column]:
@@ -82,14 +81,14 @@ def seasonal_class(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
 
 
 def calendar_box_stats(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
-    """Box statistics by month and by weekday for the first seasonal series (or the given ones).
+    """Box statistics by month and by weekday for every seasonal series (or the given ones).
 
     Columns: series, grain, period, label, n, low, q1, median, q3, high, whisker_low, whisker_high. The whisker is
     the furthest value within 1.5 IQR of the box. Runs the quantile jobs.
     """
     if columns is None:
         found = {r["series"] for r in seasonal_class(seq).where("seasonal_class <> 'not_seasonal'").collect()}
-        columns = [c for c in seq.columns if c in found][:BOXED_COLUMNS]
+        columns = [c for c in seq.columns if c in found]
     columns = list(columns)
     schema = "series string, grain string, period int, label string, n bigint, low double, q1 double, median double," \
              " q3 double, high double, whisker_low double, whisker_high double"

@@ -12,16 +12,15 @@ from sondeo.functions.tails import f_p_value
 from sondeo.operators.profile import Profile, distinct_counts, kept_columns, screen_distinct
 from sondeo.plans.quantiles import exact_quantiles
 
-# Category limits, column limits, list length.
+# Category limits, list length.
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 20
-MAX_GROUPINGS, MAX_MEASURES = 5, 6
 TOP_SEGMENTS = 5
 
 
 def usable_segments(
-    df: DataFrame, columns: Seq[str] | None = None, profile: Profile | None = None, limit: int | None = MAX_GROUPINGS
+    df: DataFrame, columns: Seq[str] | None = None, profile: Profile | None = None, limit: int | None = None
 ) -> DataFrame:
-    """(ordinal, column, n_distinct) of categoricals with 2 to 20 distinct values.
+    """(ordinal, column, n_distinct) of categoricals with 2 to 20 distinct values; ``limit`` keeps the first ones.
 
     A sketch rules out the large ones first, so only small columns are counted exactly. Runs one job.
     """
@@ -37,8 +36,10 @@ def usable_segments(
     return ranked.limit(limit) if limit else ranked
 
 
-def segment_names(df: DataFrame, columns: Seq[str] | None = None, profile: Profile | None = None) -> list[str]:
-    return [r["column"] for r in usable_segments(df, columns, profile).collect()]
+def segment_names(
+    df: DataFrame, columns: Seq[str] | None = None, profile: Profile | None = None, limit: int | None = None
+) -> list[str]:
+    return [r["column"] for r in usable_segments(df, columns, profile, limit).collect()]
 
 
 def _long(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> DataFrame:
@@ -63,11 +64,11 @@ def segment_moments(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> D
 
 
 def segment_stats(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> DataFrame:
-    """(cat_col, cat, num_col, mean, std, n, median) of the first measures per category value.
+    """(cat_col, cat, num_col, mean, std, n, median) of every measure per category value.
 
     Runs the quantile jobs; ``groupings`` come from ``usable_segments``, so the cells are few.
     """
-    measures = list(measures)[:MAX_MEASURES]
+    measures = list(measures)
     if not groupings or not measures:
         return df.sparkSession.createDataFrame(
             [], "cat_col string, cat string, num_col string, mean double, std double, n bigint, median double"
@@ -84,7 +85,7 @@ def segment_stats(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> Dat
 
 def anova(df: DataFrame, groupings: Seq[str], measures: Seq[str], moments: DataFrame | None = None) -> DataFrame:
     """(cat_col, num_col, groups, f_stat, p_value, degenerate) from the group moments alone."""
-    measures = list(measures)[:MAX_MEASURES]
+    measures = list(measures)
     if not groupings or not measures:
         return df.sparkSession.createDataFrame(
             [], "cat_col string, num_col string, df1 bigint, df2 bigint, f_stat double, p_value double, degenerate boolean"
@@ -109,7 +110,7 @@ def anova(df: DataFrame, groupings: Seq[str], measures: Seq[str], moments: DataF
 
 def top_grouping(df: DataFrame, groupings: Seq[str], measures: Seq[str], anova_table: DataFrame | None = None) -> DataFrame:
     """One row: the grouping column with the largest F over all measures; none if no F is above zero."""
-    measures = list(measures)[:MAX_MEASURES]
+    measures = list(measures)
     table = anova(df, groupings, measures) if anova_table is None else anova_table
     cat_order = F.array_position(F.array(*[F.lit(c) for c in groupings]).cast("array<string>"), F.col("cat_col"))
     num_order = F.array_position(F.array(*[F.lit(c) for c in measures]).cast("array<string>"), F.col("num_col"))

@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from sondeo.functions.tails import level_p, unit_root_p
 from sondeo.plans.sequence import Sequence, block_of, in_block, lag_products
 
-# Series limit, minimum length, significance, spread that suggests a log.
-MAX_COLUMNS, MIN_ROWS, SIGNIFICANCE, LOG_SPREAD = 10, 10, 0.05, 0.5
+# Minimum length, significance, spread that suggests a log.
+MIN_ROWS, SIGNIFICANCE, LOG_SPREAD = 10, 0.05, 0.5
 
 TEST_SCHEMA = "series string, statistic double, p_value double, lags int, stationary boolean, reason string"
 
 
 def _columns(seq: Sequence, columns: Seq[str] | None) -> list[str]:
-    names = seq.usable(MIN_ROWS, MAX_COLUMNS) if columns is None else list(columns)
-    return [c for c in names if c in seq.usable(MIN_ROWS)]
+    usable = seq.usable(MIN_ROWS)
+    return usable if columns is None else [c for c in columns if c in usable]
 
 
 @dataclass

@@ -7,13 +7,13 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.functions.columns import as_double, is_constant, unpivot, variance
+from sondeo.functions.columns import as_double, col, is_constant, unpivot, variance
 from sondeo.functions.tails import t_p_value
 from sondeo.plans.quantiles import exact_quantiles
 from sondeo.plans.scratch import stored
-from sondeo.plans.sequence import Sequence, trailing_mean, with_lags
+from sondeo.plans.sequence import Sequence, measure_column, trailing_mean, with_lags
 
-# Series limit, change and significance that make a direction, minimum lengths, and the stand-in
+# Series of a report (``top=None`` takes all), change and significance that make a direction, minimum lengths, and the stand-in
 # for a start of zero.
 MAX_COLUMNS = 5
 DIRECTION_PCT, SIGNIFICANCE = 10.0, 0.05
@@ -62,15 +62,16 @@ def rank_by_variance(df: DataFrame, columns: Seq[str], top: int | None = MAX_COL
 
 
 def trend_columns(seq: Sequence, top: int | None = MAX_COLUMNS) -> list[str]:
-    return [r["column"] for r in rank_by_variance(seq.table, seq.columns, top).collect()]
+    measures = seq.table.select(*[col(measure_column(c)).alias(c) for c in seq.columns])
+    return [r["column"] for r in rank_by_variance(measures, seq.columns, top).collect()]
 
 
-def trend_statistics(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def trend_statistics(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
     """One row per series from one aggregate: line fit, end points and both halves.
 
     Columns: series, n, slope, intercept, r2, t, t_df, start, end, pct_change, break_t, break_df.
     """
-    columns = trend_columns(seq) if columns is None else columns
+    columns = trend_columns(seq, top) if columns is None else columns
     usable = [c for c in columns if seq.present[c] and seq.n >= MIN_ROWS]
     y, pos, mid = F.col("y"), F.col("pos"), seq.n // 2
     centre = (seq.n - 1) / 2
@@ -107,27 +108,27 @@ def trend_statistics(seq: Sequence, columns: Seq[str] | None = None) -> DataFram
     )
 
 
-def ols_trend(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
-    stats = trend_statistics(seq, columns)
+def ols_trend(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
+    stats = trend_statistics(seq, columns, top)
     return stats.select("series", "slope", "intercept", "r2", "t", t_p_value(F.col("t"), F.col("t_df").cast("double")).alias("p_value"))
 
 
-def pct_change(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
-    return trend_statistics(seq, columns).select("series", "start", "end", "pct_change")
+def pct_change(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
+    return trend_statistics(seq, columns, top).select("series", "start", "end", "pct_change")
 
 
-def structural_break(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def structural_break(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
     """Welch test of the two halves; no verdict (false) when a half is short or nothing varies."""
-    stats = trend_statistics(seq, columns)
+    stats = trend_statistics(seq, columns, top)
     p = t_p_value(F.col("break_t"), F.col("break_df"))
     tested = stats.select("series", "break_t", "break_df", p.alias("break_p"))
     return tested.withColumn("structural_break", F.coalesce(F.col("break_p") < SIGNIFICANCE, F.lit(False)))
 
 
-def trend_table(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def trend_table(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
     """One row per series, largest variance first: fit, change, direction and break."""
-    columns = trend_columns(seq) if columns is None else list(columns)
-    stats = trend_statistics(seq, columns)
+    columns = trend_columns(seq, top) if columns is None else list(columns)
+    stats = trend_statistics(seq, columns, top)
     tested = stats.select(
         "*", t_p_value(F.col("t"), F.col("t_df").cast("double")).alias("p_value"),
         t_p_value(F.col("break_t"), F.col("break_df")).alias("break_p"),
@@ -142,27 +143,27 @@ def trend_table(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
     )
 
 
-def trend_direction(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
-    return trend_table(seq, columns).select("column", "pct_change", "p_value", "direction")
+def trend_direction(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
+    return trend_table(seq, columns, top).select("column", "pct_change", "p_value", "direction")
 
 
-def rolling_mean(seq: Sequence, window: int, columns: Seq[str] | None = None) -> DataFrame:
+def rolling_mean(seq: Sequence, window: int, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
     """(series, pos, y, rolling_mean) over the gap-filled series."""
-    columns = trend_columns(seq) if columns is None else columns
+    columns = trend_columns(seq, top) if columns is None else columns
     return trailing_mean(seq.series(columns), window, seq.block_rows)
 
 
-def ols_fitted_line(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def ols_fitted_line(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
     """(series, pos, y, fitted): the line of the trend fit at every row."""
-    columns = trend_columns(seq) if columns is None else columns
-    lines = trend_statistics(seq, columns).select("series", "slope", "intercept")
+    columns = trend_columns(seq, top) if columns is None else columns
+    lines = trend_statistics(seq, columns, top).select("series", "slope", "intercept")
     points = seq.series(columns).join(F.broadcast(lines), "series")  # one line per series
     return points.select("series", "pos", "y", (F.col("intercept") + F.col("slope") * F.col("pos")).alias("fitted"))
 
 
-def break_marker(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def break_marker(seq: Sequence, columns: Seq[str] | None = None, top: int | None = MAX_COLUMNS) -> DataFrame:
     """(series, pos, ts) of the middle row for every series with a break."""
-    broken = structural_break(seq, columns).where("structural_break").select("series")
+    broken = structural_break(seq, columns, top).where("structural_break").select("series")
     middle = seq.table.where(F.col("pos") == seq.n // 2).select("pos", "ts")
     if seq.n < MIN_ROWS:
         middle = middle.limit(0)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondeo.functions.columns import as_double, col, kind_of, unpivot
+from sondeo.functions.columns import as_double, col, hashable, kind_of, unpivot
 from sondeo.plans.scratch import stored
 
 # Positions per block, and the block count at which blocks grow instead, so block tables stay small.
@@ -29,10 +29,10 @@ def tie_break(df: DataFrame, date_column: str) -> list[Column]:
     """A deterministic order for rows of one date: fixed-width columns in table order, then a hash of the rest."""
     fixed, rest = [], []
     for f in df.schema.fields:
-        if f.name == date_column or isinstance(f.dataType, T.MapType):
+        if f.name == date_column:
             continue
         wide = kind_of(f.dataType) == "unsupported" or isinstance(f.dataType, T.StringType)
-        (rest if wide else fixed).append(col(f.name))
+        (rest if wide else fixed).append(hashable(col(f.name), f.dataType) if wide else col(f.name))
     return fixed + ([F.xxhash64(*rest)] if rest else [])
 
 
@@ -94,14 +94,15 @@ def time_order(
 ) -> Sequence:
     """Sort by time, number the rows and keep the narrow result in scratch storage.
 
-    Rows without a date are dropped and counted. ``ties`` orders rows of one date; the range partitioning uses
-    it too, so a date holding a third of the rows is split. Runs two jobs.
+    Rows without a date are dropped and counted. ``ties`` orders rows of one date, and a row number those that are equal
+    in all of it; the range partitioning uses both, so a date holding a third of the rows is split. Runs two jobs.
     """
-    order = ["_ts", *[f"_tie{i}" for i in range(len(ties))]]
+    order = ["_ts", *[f"_tie{i}" for i in range(len(ties))], "_row"]
     rows = df.select(
         when.cast("timestamp_ntz").alias("_ts"),
         *[t.alias(f"_tie{i}") for i, t in enumerate(ties)],
         *[as_double(c).alias(f"_m{i}") for i, c in enumerate(measures)],
+        F.monotonically_increasing_id().alias("_row"),
     )
     # dateless rows sort last and keep no position; storing them costs one pass less than counting them apart
     keys = [F.col("_ts").asc_nulls_last(), *[F.col(k).asc_nulls_first() for k in order[1:]]]
@@ -135,16 +136,21 @@ def time_order(
         .join(F.broadcast(before), "part")
         .select(
             (F.col("before") + F.col("place")).alias("pos"), "ts",
-            *[F.col(f"_m{i}").alias(c) for i, c in enumerate(measures)],
+            *[F.col(f"_m{i}").alias(measure_column(c)) for i, c in enumerate(measures)],
         )
     )
     size = block_rows or max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
     return Sequence(table, list(measures), n, present, sum(s["all"] for s in sizes) - n, size)
 
 
+def measure_column(name: str) -> str:
+    """The column of a sequence's table that holds a measure; one called like the position or the time gets another name."""
+    return f"_measure_{name}" if name.lower() in ("pos", "ts") else name
+
+
 def long_series(table: DataFrame, columns: Seq[str], with_time: bool = False) -> DataFrame:
     keys = {"pos": F.col("pos")} | ({"ts": F.col("ts")} if with_time else {})
-    long = unpivot(table, {c: col(c) for c in columns}, keys, "series", "y")
+    long = unpivot(table, {c: col(measure_column(c)) for c in columns}, keys, "series", "y")
     return long.select("series", *keys, "y")
 
 
