@@ -101,12 +101,22 @@ def level_p(statistic: float) -> float:
     return float(np.interp(statistic, KPSS_CRITICAL, KPSS_P_VALUES))
 
 
+# What is left of 1 after a perfect fit is rounding error; a division by it would be noise.
+SINGULAR = 1e-9
+
+
 def partial_autocorrelations(r: list[float]) -> list[float]:
-    """Levinson-Durbin on autocorrelations r[0..k] (r[0] = 1): the last coefficient of every order."""
+    """Levinson-Durbin on autocorrelations r[0..k] (r[0] = 1): the last coefficient of every order.
+
+    From the order on at which the values before explain the series completely, there is none: NaN.
+    """
     out, phi = [1.0], np.empty(0)
     for k in range(1, len(r)):
         past = np.asarray(r[1:k])
-        last = (r[k] - phi @ past[::-1]) / (1.0 - phi @ past)
+        rest = 1.0 - phi @ past
+        if abs(rest) <= SINGULAR * (1.0 + np.abs(phi) @ np.abs(past)):
+            return out + [math.nan] * (len(r) - k)
+        last = (r[k] - phi @ past[::-1]) / rest
         phi = np.append(phi - last * phi[::-1], last)
         out.append(float(last))
     return out

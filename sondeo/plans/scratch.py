@@ -40,9 +40,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables this process wrote; frames over them can no longer be read."""
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables this process wrote after ``since``, a ``mark()``, or all of them.
+
+    Frames over them can no longer be read. Take a mark before a run and release it after, and the tables of other runs
+    in the same process stay.
+    """
     jvm = spark.sparkContext._jvm
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

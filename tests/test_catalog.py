@@ -7,8 +7,8 @@ from conftest import DATA
 import __spark_entry__ as entry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# the long analyses run in test_pipeline
-LONG = {"technical_findings", "business_findings", "stage_status"}
+# queries of the optional text package that have no SQL are tested with that package
+OWN = set(entry.TEXT_QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert difference(QUERIES[name](spark, DATA), duck, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - OWN))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 

@@ -114,3 +114,26 @@ def test_equal_rows_are_spread(spark):
     seq = time_order(df.select(F.lit("2024-01-01").cast("timestamp_ntz").alias("d"), "a"), F.col("d"), ["a"], partitions=4)
     sizes = [r["count"] for r in seq.table.groupBy(F.spark_partition_id()).count().collect()]
     assert seq.n == 1000 and len(sizes) >= 1 and sorted(r.pos for r in seq.table.collect()) == list(range(1000))
+
+
+def test_partial_values_end_where_nothing_is_left_to_explain():
+    import math
+
+    from sondeo.functions.tails import partial_autocorrelations
+
+    values = partial_autocorrelations([math.cos(2 * math.pi * k / 7) for k in range(12)])  # one wave: two values explain it
+    assert values[:2] == [1.0, pytest.approx(math.cos(2 * math.pi / 7))] and values[2] == pytest.approx(-1.0)
+    assert all(math.isnan(v) for v in values[3:])
+
+
+def test_release_spares_other_runs(spark):
+    import os
+
+    from sondeo.plans import scratch
+
+    first = scratch.stored(spark.range(3), "first")
+    point = scratch.mark()
+    second = scratch.stored(spark.range(4), "second")
+    path = second.inputFiles()[0].removeprefix("file:")
+    scratch.release(spark, point)
+    assert not os.path.exists(path.removeprefix("//")) and first.count() == 3
