@@ -72,12 +72,12 @@ WITH cut AS (
   SELECT host, shape, list_filter(string_split(shape, '/'), lambda x: x <> '') AS segments, count(*) AS n, count(ruled) AS labelled,
     count(*) FILTER (ruled = 'block') AS blocked FROM decided GROUP BY host, shape
 ), {",".join(parts)}, named AS (
-  SELECT host, shape, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template, labelled, blocked FROM level4
+  SELECT host, shape, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template, n, labelled, blocked FROM level4
 ), pure AS (
-  SELECT host, template, (sum(blocked) + 4 * coalesce((SELECT sum(blocked) / nullif(sum(labelled), 0) FROM paths), 0)) / (sum(labelled) + 4.0) AS purity
+  SELECT host, template, (sum(blocked) + 4 * coalesce((SELECT sum(blocked) / nullif(sum(labelled), 0) FROM paths), 0)) / (sum(labelled) + 4.0) AS purity, sum(labelled) >= 0.95 * sum(n) AS covered
   FROM named GROUP BY host, template
 )
-SELECT page_id, host, path, rule, template, CASE WHEN ruled IS NOT NULL THEN ruled WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, template, CASE WHEN ruled IS NOT NULL THEN ruled WHEN purity >= 0.8 AND covered THEN 'block' ELSE 'allow' END AS verdict
 FROM decided JOIN named USING (host, shape) JOIN pure USING (host, template)
 """
 

@@ -7,8 +7,9 @@ scores the weights of what comes out, so a word is judged by what stands around
 
 The fixed word lists are short. Further insults, as words and as word beginnings, are learnt from a bounded sample of
 labelled rows (``train_rows``) by their log odds less one standard error, at most ``lexicon_size`` of them. A logistic
-curve over the strongest clause and the number of matched ones gives the score; it is fitted on folds left out, and with
-it the least log odds that a learnt term needs. Scoring is one map over the table.
+curve over the strongest clause, the number of matched ones and what they add up to in a text of this length gives the
+score; it is fitted on folds left out, and with it the least log odds that a learnt term needs. Scoring is one map over
+the table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ TRAIN_ROWS = 12_000
 LEXICON_SIZE = 5_000
 # A learnt term stands in so many toxic documents; the least log odds are chosen among these.
 LEAST_DOCUMENTS = 3
-LEAST_ODDS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5)
+LEAST_ODDS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5)
 PREFIXES = (4, 5, 6)
 CUT = 0.7
 
@@ -149,18 +150,19 @@ def clauses(tags: Tags, data: bytes) -> list[tuple[float, int, int]]:
     return out
 
 
-def summary(matched: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """The strongest clause and the logarithm of the number of matched ones."""
-    return max((c[0] for c in matched), default=0.0), float(np.log1p(len(matched)))
+def summary(matched: list[tuple[float, int, int]], data: bytes) -> tuple[float, float, float]:
+    """The strongest clause, the logarithm of the number of matched ones, and their sum for each hundred words or so."""
+    total = sum(c[0] for c in matched)
+    return max((c[0] for c in matched), default=0.0), float(np.log1p(len(matched))), 100 * total / (data.count(b" ") + 50)
 
 
 @dataclass
 class Model:
     learnt: dict[str, float]
-    weights: np.ndarray  # of strongest clause, number of clauses, constant
+    weights: np.ndarray  # of strongest clause, number of clauses, density, constant
 
-    def score(self, matched: list[tuple[float, int, int]]) -> float:
-        return float(sigmoid(np.append(summary(matched), 1.0) @ self.weights))
+    def score(self, matched: list[tuple[float, int, int]], data: bytes) -> float:
+        return float(sigmoid(np.append(summary(matched, data), 1.0) @ self.weights))
 
 
 def lexicon(rows: DataFrame, size: int) -> dict[str, float]:
@@ -208,19 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, excluded, train_rows: in
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = batch.column("t").to_pylist()
-            return {"label": batch.column("label"), "seen": [[v for tags in each for v in summary(clauses(tags, x))] for x in texts]}
+            return {"label": batch.column("label"), "seen": [[v for tags in each for v in summary(clauses(tags, x), x)] for x in texts]}
 
         return work
 
     seen = sorted((r["label"], r["seen"]) for r in mapped(rows.filter("fold < 3"), make, "label int, seen array<double>").collect())
     y = np.array([label for label, _ in seen], int)
     if len(set(y.tolist())) < 2:  # nothing to fit: a base word in a clause of its own is just toxic
-        return Model(above(LEAST_ODDS[-1]), np.array([1.0, 0.0, -0.6 * BASE_WEIGHT]))
+        return Model(above(LEAST_ODDS[-1]), np.array([1.0, 0.0, 0.0, -0.6 * BASE_WEIGHT]))
     fits = []
     for k, least in enumerate(LEAST_ODDS):
-        x = np.array([values[2 * k : 2 * k + 2] for _, values in seen])
-        weights = logistic(x, y)
-        weights[:2] = np.maximum(weights[:2], 0.0)
+        x = np.array([values[3 * k : 3 * k + 3] for _, values in seen])
+        weights = logistic(x, y, ridge=0.01)
+        weights[:3] = np.maximum(weights[:3], 0.0)
         p = np.clip(sigmoid(np.column_stack([x, np.ones(len(x))]) @ weights), 1e-6, 1 - 1e-6)
         fits.append((-float(np.where(y == 1, np.log(p), np.log(1 - p)).mean()), least, weights))
     _, least, weights = min(fits, key=lambda f: f[:2])
@@ -240,8 +242,9 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
         tags = Tags(known.learnt)
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = [clauses(tags, x) for x in batch.column("t").to_pylist()]
-            scores = [known.score(m) for m in found]
+            texts = batch.column("t").to_pylist()
+            found = [clauses(tags, x) for x in texts]
+            scores = [known.score(m, x) for m, x in zip(found, texts)]
             spans = [[{"score": s, "start": a, "end": b} for s, a, b in m] for m in found]
             return {"doc_id": batch.column("doc_id"), "score": scores, "predicted": [int(s >= cut) for s in scores], "clauses": spans}
 

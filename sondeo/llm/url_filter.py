@@ -5,7 +5,7 @@ runs of digits have become ``#``; from there on only distinct paths are worked o
 From the root down, a segment stays in its template if it is frequent under its node and its branch is labelled unlike
 its siblings (a two-proportion test) or not labelled at all; all other segments become ``*``, so rare values are
 generalised and branches that are statistically alike are merged. A template is rejected by its smoothed share of
-blocked labels. Every level is an aggregation and a join by (host, template); hot hosts are pre-aggregated.
+blocked labels, if nearly all of its pages are labelled: few labels say nothing about the rest. Every level is an aggregation and a join by (host, template); hot hosts are pre-aggregated.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ ERRORS = 2.576
 # Weight of the overall share of blocked labels in the purity of a template, and the purity that rejects it.
 SMOOTHING = 4.0
 REJECT = 0.8
+# The share of a template's pages that must be labelled for its purity to count.
+COVERED = 0.95
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,7 +98,8 @@ def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str =
     total = table.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
     overall = total["blocked"] / total["labelled"] if total["labelled"] else 0.0
     purity = (F.col("blocked") + F.lit(SMOOTHING * overall)) / (F.col("labelled") + F.lit(SMOOTHING))
-    pure = table.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).withColumn("purity", purity)
-    known = table.select("host", "template", "shape").join(pure.select("host", "template", "purity"), ["host", "template"])
+    sums = table.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).withColumn("purity", purity)
+    bad = (F.col("purity") >= REJECT) & (F.col("labelled") >= COVERED * F.col("n"))
+    known = table.select("host", "template", "shape").join(sums.select("host", "template", "purity", bad.alias("bad")), ["host", "template"])
     out = shaped.join(known, ["host", "shape"], "left")
-    return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import frame, messy_rows, prose
+from messy_tables import empty, frame, messy, messy_rows, prose  # noqa: F401
 from pyspark.sql import functions as F
 
 from sondeo.llm import exact_dedup, mixing, quality_rules

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest_llm import frame, messy_rows, prose, words
+from messy_tables import empty, frame, messy, messy_rows, prose, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from sondeo.llm import ngram_join, substring_dedup
@@ -80,7 +80,7 @@ def test_families_need_every_link(spark, per_row, rounds, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", per_row)  # only leaders until the last round, or all pairs in the second
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "HOT_SHARE", 1 << 20)
-    rows = families(3)
+    rows = [(1000 * seed + i, *rest) for seed in range(3, 8) for i, *rest in families(seed)]
     got = [tuple(r) for r in ngram_join.annotated(frame(spark, rows).repartition(5)).collect()]
     assert order(got) == order(plain_components(rows))
 
