@@ -5,11 +5,12 @@ that all sets keep. The order here is rare first: frequent members come last, by
 all others first, by hash. Steps:
 
 1. One pass over all documents counts set sizes and, in every task, the members that repeat there (lossy counting: a
-   count may miss one document for each task). The most frequent ones, a bounded number, make the order. A second pass
-   emits each document's prefix; a document whose set another one of the same task has is linked to it and emits
-   nothing more. Prefix members of a single document drop out.
-2. The rest is small. Per member, the document with the fewest members of its own leads; every other document is paired
-   with its leaders, filtered by length, position and class counts (suffix filter), and verified once by its whole set.
+   count may miss one document for each task). The most frequent ones, a bounded number, make the order. Documents with
+   equal sets are linked to the smallest id among them. A second pass emits the prefix of all others; members of a
+   single document drop out.
+2. The rest is small. Per member, the document in whose order it comes first leads, which is the one with the fewest rare
+   members; every other document is paired with its leaders, filtered by length, position and class counts (suffix
+   filter), and verified once by its whole set.
 3. Links make components. Members whose documents are now all in one component are done; for the others, leaders are
    compared and set aside until the pairs left between components are few for the size of the table, and these are
    compared as well. So every link between components is found, while a group of copies costs a few pairs for each.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.arrow import mapped
-from sondeo.llm.components import beside, components
+from sondeo.llm.components import BROADCAST_IDS, beside, components
 from sondeo.llm.store import stored
 from sondeo.llm.words import WordHashes, column, text_or_empty, window_hashes
 
@@ -66,7 +67,7 @@ def needed(a: Column, b: Column, least: Fraction = LEAST) -> Column:
 
 
 def counted(source: DataFrame, id_type: str, words: int) -> DataFrame:
-    """id, n_shingles and class counts of each row; in rows of their own, members that repeat in a task and how often."""
+    """id, n_shingles, a 128-bit hash of the set and class counts of each row; in rows of their own, members that repeat in a task and how often."""
     def make():
         hashes, held = WordHashes(), []
 
@@ -80,15 +81,17 @@ def counted(source: DataFrame, id_type: str, words: int) -> DataFrame:
             held.append(np.concatenate([np.empty(0, np.uint64), *found]))
             more = [repeated()] if sum(map(len, held)) >= COUNTED else []
             suffix = [np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=SUFFIX_CLASSES) for grams in found]
+            none = [None] * len(more)
             return {
                 "id": pa.concat_arrays([batch.column("id"), pa.nulls(len(more), batch.schema.field("id").type)]),
-                "n_shingles": [len(grams) for grams in found] + [None] * len(more), "suffix": suffix + [None] * len(more), "often": [None] * len(found) + more,
+                "n_shingles": [len(grams) for grams in found] + none, "set_hash": [hash_of(grams) if len(grams) else None for grams in found] + none,
+                "suffix": suffix + none, "often": [None] * len(found) + more,
             }
 
-        work.last = lambda: {"id": [None], "n_shingles": [None], "suffix": [None], "often": [repeated()]}
+        work.last = lambda: {"id": [None], "n_shingles": [None], "set_hash": [None], "suffix": [None], "often": [repeated()]}
         return work
 
-    return mapped(source, make, f"id {id_type}, n_shingles long, suffix array<int>, often struct<members:array<long>,documents:array<long>>")
+    return mapped(source, make, f"id {id_type}, n_shingles long, set_hash binary, suffix array<int>, often struct<members:array<long>,documents:array<long>>")
 
 
 def frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +114,15 @@ def frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return members[order], np.asarray(table.column("n").to_numpy(), np.int64)[order]
 
 
+def equal_sets(sizes: DataFrame) -> DataFrame:
+    """(a, b): ids and the smallest id with an equal set. An id that stands with several sets is left to the join."""
+    known = sizes.filter("id is not null and set_hash is not null").select("id", "set_hash")
+    heads = known.groupBy("set_hash").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
+    several = known.groupBy("id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).filter("low <> high").select("id")
+    copies = known.join(heads, "set_hash").filter("id <> head").join(several, "id", "left_anti")
+    return stored(copies.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "equal-sets")
+
+
 def looked_up(values: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The documents counted for each of ``values``, 0 for those that are not frequent."""
     members, documents = often
@@ -192,12 +204,11 @@ def candidates(rows: DataFrame, others: DataFrame, shared, least: Fraction) -> D
 
     Length: neither set is too small for the other. Position: nothing in common stands before the first shared member,
     so it must come early enough in both orders for the rest to suffice, at sizes closer than the limit much earlier
-    than in the prefix of either alone. Prefix members that no other document has (``own``) are lost to the intersection.
+    than in the prefix of either alone.
     """
     need = needed(F.col("size"), F.col("o_size"), least)
     fits = (
         (F.least("size", "o_size") >= least_part(F.greatest("size", "o_size"), least))
-        & (F.col("size") - F.col("own") >= need) & (F.col("o_size") - F.col("o_own") >= need)
         & (F.col("size") - F.col("place") >= need) & (F.col("o_size") - F.col("o_place") >= need)
     )
     pairs = rows.join(others, shared & fits).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
@@ -234,43 +245,47 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     often = docs.sparkSession.sparkContext.broadcast(frequent(first))  # at most FREQUENT entries
     hot = max(100, sizes.count() // HOT_SHARE)
 
-    emitted = prefixes(source, id_type, words, often, hot, least)
+    equal = equal_sets(sizes)
+    gone = equal.select(F.col("a").alias("id"))
+    # if they are too many to be broadcast, copies take part in the join like any other documents
+    single = source.join(F.broadcast(gone), "id", "left_anti") if gone.count() <= BROADCAST_IDS else source
+    emitted = prefixes(single, id_type, words, often, hot, least)
     whole = Window.partitionBy("member", "salt")
     spread = emitted.repartition("member", "salt").withColumns({"lowest": F.min("id").over(whole), "highest": F.max("id").over(whole)})
     kept = stored(spread.filter((F.col("lowest") < F.col("highest")) | (F.col("salt") >= 0) | F.col("copy_of").isNotNull()).drop("lowest", "highest", "salt"), "prefix-rows")
-    copies = kept.filter("copy_of is not null").select(F.col("id").alias("a"), F.col("copy_of").alias("b"))
+    links = equal.unionByName(kept.filter("copy_of is not null").select(F.col("id").alias("a"), F.col("copy_of").alias("b")))
     rows = kept.filter("copy_of is null").drop("copy_of")
-    degrees = rows.groupBy("id", "size").agg(F.count("*").alias("shared")).withColumn("own", F.col("size") - least_part(F.col("size"), least) + 1 - F.col("shared"))
-    alive = degrees.filter(F.col("size") - F.greatest("own", F.lit(0)) >= least_part(F.col("size"), least)).select("id", "size", F.greatest("own", F.lit(0)).alias("own"))
-    rows = stored(rows.join(alive, ["id", "size"]), "prefix-alive")
-    total, links, labels = rows.count(), copies, None
-
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            active = rows.withColumn("label", F.col("id"))
-        else:
-            active = rows.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
-        open_members = active.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("member")
-        active = stored(active.join(open_members, "member", "left_semi"), "prefix-open")
+    total = rows.count()
+
+    def led(active: DataFrame) -> DataFrame:
+        lead = active.groupBy(F.col("member").alias("o_member")).agg(F.min(F.struct("place", "id", "size", "label")).alias("lead"))
+        return stored(lead.select("o_member", *(F.col(f"lead.{c}").alias(f"o_{c}") for c in ("id", "size", "place", "label"))), "leaders")
+
+    shared = (F.col("member") == F.col("o_member")) & (F.col("label") != F.col("o_label"))
+    active = rows.withColumn("label", F.col("id"))
+    lead = led(active)
+    links = links.unionByName(verified(candidates(active, lead, shared, least), sizes, source, id_type, words, least))
+    for turn in range(1, ROUNDS + 1):
+        labels = components(links)
+        active = rows.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+        unsettled = active.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("member")
+        # a leader has met all documents of its member
+        past = lead.select("o_member", "o_id")
+        active = active.join(unsettled, "member", "left_semi").join(past, (F.col("member") == F.col("o_member")) & (F.col("id") == F.col("o_id")), "left_anti")
+        active = stored(active, "prefix-open")
         spots = active.groupBy("member", "label").agg(F.count("*").alias("n")).groupBy("member").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
         open_pairs = spots.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
         if not open_pairs:
-            break
-        last = turn == ROUNDS or (turn > 0 and open_pairs <= PAIRS_PER_ROW * total)
-        lead = active.groupBy(F.col("member").alias("o_member")).agg(F.min(F.struct("own", "id", "size", "place", "label")).alias("lead")).select("o_member", *(F.col(f"lead.{c}").alias(f"o_{c}") for c in ("own", "id", "size", "place", "label")))
-        shared = (F.col("member") == F.col("o_member")) & (F.col("label") != F.col("o_label"))
-        if last:
-            others = active.select(*(F.col(c).alias(f"o_{c}") for c in ("member", "own", "id", "size", "place", "label")))
+            return sizes.select("id", "n_shingles"), labels
+        if turn == ROUNDS or open_pairs <= PAIRS_PER_ROW * total:
+            others = active.select(*(F.col(c).alias(f"o_{c}") for c in ("member", "id", "size", "place", "label")))
             pairs = candidates(active, others, shared & (F.col("id") < F.col("o_id")), least)
-        else:
-            pairs = candidates(active, lead, shared, least)
-        links = links.unionByName(verified(pairs, sizes, source, id_type, words, least))
-        labels = components(links)
-        if last:
+            links = links.unionByName(verified(pairs, sizes, source, id_type, words, least))
             break
-        # a leader has met all documents of its member
-        rows = stored(active.drop("label").join(lead.select("o_member", "o_id"), (F.col("member") == F.col("o_member")) & (F.col("id") == F.col("o_id")), "left_anti"), "prefix-rest")
-    return sizes.select("id", "n_shingles"), labels if labels is not None else components(links)
+        lead = led(active)
+        links = links.unionByName(verified(candidates(active, lead, shared, least), sizes, source, id_type, words, least))
+        rows = active.drop("label")
+    return sizes.select("id", "n_shingles"), components(links)
 
 
 def annotated(docs: DataFrame, **options) -> DataFrame:
