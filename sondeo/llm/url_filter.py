@@ -1,11 +1,13 @@
 """URL verdicts from rules and from a tree of path templates per host.
 
-Rules decide the pages they fit, and the pages they decide are the labels of the tree. Paths are counted per host after
-runs of digits have become ``#``; from there on only distinct paths are worked on, which are few where pages are many.
+Rules decide the pages they fit. The pages they decide, and pages with a label of their own, are the labels of the tree.
+Paths are counted per host after runs of digits have become ``#``; from there on only distinct paths are worked on, which
+are few where pages are many.
 From the root down, a segment stays in its template if it is frequent under its node and its branch is labelled unlike
 its siblings (a two-proportion test) or not labelled at all; all other segments become ``*``, so rare values are
-generalised and branches that are statistically alike are merged. A template is rejected by its smoothed share of
-blocked labels, if nearly all of its pages are labelled: few labels say nothing about the rest. Every level is an aggregation and a join by (host, template); hot hosts are pre-aggregated.
+generalised and branches that are statistically alike are merged. A template is rejected if its smoothed share of blocked
+labels is high even at the lower end of its confidence interval: the number of labels counts, not how many of the
+template's pages have one. Every level is an aggregation and a join by (host, template); hot hosts are pre-aggregated.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ LEVELS = 4
 # A segment is frequent with so many pages and this share of its node.
 LEAST_PAGES = 8
 LEAST_SHARE = 0.01
-# Two branches differ above this many standard errors.
+# Two branches differ above this many standard errors, and a purity is trusted up to so many.
 ERRORS = 2.576
-# Weight of the overall share of blocked labels in the purity of a template, and the purity that rejects it.
+# Weight of the overall share of blocked labels in the purity of a template, and the lower bound of purity that rejects it.
 SMOOTHING = 4.0
 REJECT = 0.8
-# The share of a template's pages that must be labelled for its purity to count.
-COVERED = 0.95
+# Page labels up to which they are broadcast.
+BROADCAST_LABELS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,9 +82,33 @@ def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
     return table.withColumn("template", F.concat("template", F.when(F.size("segments") > levels, "/**").otherwise("")))
 
 
-def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def least_purity(purity: Column, n: Column) -> Column:
+    """The lower end of the Wilson interval of a share among ``n``, ERRORS standard errors wide to each side."""
+    z2 = ERRORS * ERRORS
+    spread = F.sqrt(purity * (1 - purity) / n + z2 / (4 * n * n))
+    return (purity + z2 / (2 * n) - ERRORS * spread) / (1 + z2 / n)
+
+
+def with_labels(parsed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``parsed`` with ``label``, block or allow, of the pages whose id has one and not both; ``page_id`` may be null or repeat."""
+    if labels is None:
+        return parsed.withColumn("label", F.lit(None).cast("string"))
+    found = labels.select(column(labels, "page_id").alias("_id"), column(labels, "verdict").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin("block", "allow"))
+    found = stored(found.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("last")).filter("label = last").drop("last"), "url-labels")
+    if found.count() <= BROADCAST_LABELS:
+        joined = parsed.join(F.broadcast(found), F.col("page_id") == F.col("_id"), "left")
+    else:
+        # pages without an id stay where they are
+        joined = parsed.filter("page_id is not null").join(found, F.col("page_id") == F.col("_id"), "left").unionByName(parsed.filter("page_id is null"), allowMissingColumns=True)
+    return stored(joined.drop("_id"), "url-labelled")
+
+
+def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str = "page_id", url_column: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, template, purity, verdict.
 
+    ``labels`` (page_id, verdict: block or allow) are known verdicts of pages besides the rules. A rule that fits goes
+    before the page's own label, and both before the template. Null ids, other verdicts and ids with both verdicts give none.
+
     A null url, or one without ``://``, has an empty host and path and belongs to the root template of the empty host.
     A template of which no page is labelled has the overall share of blocked labels as purity (0 without any label).
     Rows that repeat count as often as they stand; ids may be null or repeat.
@@ -90,6 +116,7 @@ def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str =
     host, path = host_and_path(column(pages, url_column))
     rule, verdict = fitting_rule(rules)
     parsed = pages.select(column(pages, id_column).alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": verdict})
+    parsed = with_labels(parsed, labels).withColumn("ruled", F.coalesce("ruled", "label")).drop("label")
     shaped = parsed.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
     flag = F.col("ruled").isNotNull().cast("long")
     paths = shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(flag).alias("labelled"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"))
@@ -98,8 +125,8 @@ def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str =
     total = table.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
     overall = total["blocked"] / total["labelled"] if total["labelled"] else 0.0
     purity = (F.col("blocked") + F.lit(SMOOTHING * overall)) / (F.col("labelled") + F.lit(SMOOTHING))
-    sums = table.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).withColumn("purity", purity)
-    bad = (F.col("purity") >= REJECT) & (F.col("labelled") >= COVERED * F.col("n"))
+    sums = table.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked"))).withColumn("purity", purity)
+    bad = least_purity(F.col("purity"), F.col("labelled") + F.lit(SMOOTHING)) >= REJECT
     known = table.select("host", "template", "shape").join(sums.select("host", "template", "purity", bad.alias("bad")), ["host", "template"])
     out = shaped.join(known, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

@@ -92,6 +92,39 @@ def test_url_templates_merge_and_reject(spark):
     assert verdict["http://h/rarea/z"][0].startswith("/*")
 
 
+def test_url_templates_reject_undecided_pages(spark):
+    rules = (("block", "h/es/"), ("block", "h/fr/"), ("block", "few/es/"))
+    rows = [f"http://h/{d}/x{i}" for d, n in (("es", 40), ("fr", 40), ("de", 5), ("it", 5)) for i in range(n)]  # 80 of 90 are decided
+    rows += [f"http://few/{d}/x{i}" for d, n in (("es", 7), ("de", 4)) for i in range(n)]
+    rows += [f"http://l/{i}" for i in range(60)]
+    pages = spark.createDataFrame([*enumerate(rows), (None, "http://l/7")], "page_id long, url string")
+    got = url_filter.judged(pages, rules=rules).collect()
+    verdict = {rows[r.page_id]: r.verdict for r in got if r.page_id is not None}
+    assert len(got) == len(rows) + 1
+    assert {v for u, v in verdict.items() if u.startswith("http://h/")} == {"block"}
+    assert verdict["http://few/es/x1"] == "block" and verdict["http://few/de/x1"] == verdict["http://l/1"] == "allow"
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_url_labels_besides_rules(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "BROADCAST_LABELS", few)
+    rows = [f"http://{h}/{i}" for h in ("bad", "thin", "mixed") for i in range(60)]
+    at = {u: i for i, u in enumerate(rows)}
+    pages = spark.createDataFrame([*enumerate(rows), (None, "http://bad/7"), (at["http://bad/1"], "http://bad/1")], "page_id long, url string")
+    known = [(at[f"http://bad/{i}"], "block") for i in range(40)] + [(at[f"http://thin/{i}"], "block") for i in range(9)] + [(at[f"http://mixed/{i}"], ("block", "allow")[i % 2]) for i in range(40)]
+    known += [(at["http://bad/1"], "block"), (at["http://mixed/50"], "block"), (at["http://mixed/50"], "allow"), (at["http://mixed/51"], "other"), (None, "block"), (9999, "allow")]
+    labels = spark.createDataFrame(known, "page_id long, verdict string")
+    got = url_filter.judged(pages, rules=(("allow", "bad/3"),), labels=labels).collect()
+    assert len(got) == len(rows) + 2
+    verdict = {r.path if r.page_id is None else rows[r.page_id]: r.verdict for r in got}
+    assert verdict["http://bad/1"] == "block" and verdict["http://bad/3"] == verdict["http://bad/30"] == "allow"
+    assert verdict["http://thin/8"] == "block" and verdict["http://thin/40"] == "allow"
+    assert verdict["http://mixed/2"] == "block" and verdict["http://mixed/3"] == verdict["http://mixed/50"] == verdict["http://mixed/51"] == "allow"
+    got = url_filter.judged(pages, rules=(), labels=labels).collect()
+    verdict = {r.path if r.page_id is None else rows[r.page_id]: r.verdict for r in got}
+    assert verdict["http://bad/50"] == verdict["/7"] == "block" and verdict["http://thin/40"] == verdict["http://mixed/50"] == "allow"
+
+
 def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
