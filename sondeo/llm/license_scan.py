@@ -87,10 +87,20 @@ class Scanner:
                 at = padded.find(inner, at + 1)
         return found
 
+    def matches(self, i: int, text: str, a: int, b: int):
+        """The matches of notice ``i`` in a stretch: the best one, then likewise in what is left on both sides of it."""
+        shortest, rest = len(self.notices[i].text) - self.notices[i].errors, [(a, b)]
+        while rest:
+            a, b = rest.pop()
+            if b - a >= shortest and (match := self.patterns[i].search(text, a, b)):
+                yield match
+                rest += [(a, match.start()), (match.end(), b)]
+
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of the notices that stand in ``text`` with few enough edits.
 
-        Candidate stretches of a notice that overlap are searched as one, and a stretch may hold several matches.
+        Candidate stretches of a notice that overlap are searched as one, and a stretch may hold several matches. Spans
+        of one notice do not overlap.
         """
         stretches: dict[int, list[list[int]]] = {}
         for last, (length, places) in self.automaton.iter(text):
@@ -108,7 +118,7 @@ class Scanner:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for match in self.patterns[i].finditer(text, a, b):
+                for match in self.matches(i, text, a, b):
                     found.append((self.notices[i].label, match.start(), match.end(), sum(match.fuzzy_counts)))
         return sorted(found)
 

@@ -60,6 +60,16 @@ def test_licence_spans_have_their_edits():
     assert len(spans) == 1 and spans[0][3] == 1 and text[spans[0][1] : spans[0][2]].startswith("licensed undr")
 
 
+def test_licence_spans_on_both_sides_of_the_best():
+    scanner = license_scan.Scanner()
+    reserved = lambda text: [s[1:] for s in scanner.fuzzy(text) if s[0] == "reserved"]
+    assert [s[2] for s in reserved("xx all rights reserve all rights reserved yy")] == [1, 0]
+    assert reserved("xx all rights reserve. all rights reserved and all rights reserves yy") == [(3, 22, 1), (23, 42, 0), (47, 66, 1)]
+    many = reserved("all rights reserve, " * 20 + "all rights reserved " + "all rights reservd, " * 20)
+    assert len(many) == 41 and sorted(s[2] for s in many) == [0] + [1] * 40
+    assert all(x[1] <= y[0] for x, y in zip(many, many[1:]))
+
+
 URLS = [
     (1, "http://A.example.COM/en/1"), (2, "https://www.example.com/en/2?x=/fr/"), (3, "http://x.net/es/3"), (4, "http://x.net/fr/4#a"), (5, "http://x.net/en/5"),
     (6, None), (7, "no scheme/en/"), (8, "ftp://net"), (9, "http://notexample.com/en/"), (10, "http://com/"), (11, "http://example.com"), (12, "a://b://c/d"),
