@@ -13,7 +13,8 @@ all others first, by hash. Steps:
    filter), and verified once by its whole set.
 3. Links make components. Members whose documents are now all in one component are done; for the others, leaders are
    compared and set aside until the pairs left between components are few for the size of the table, and these are
-   compared as well. So every link between components is found, while a group of copies costs a few pairs for each.
+   compared as well, in cells of bounded size: the documents outside the largest component of a member with all of
+   them. So every link between components is found, while a group of copies costs a few pairs for each.
 
 Members so frequent that a third of the documents may share them are salted before they are shuffled.
 """
@@ -46,6 +47,8 @@ SALTS = 64
 # Pairs between components, for each prefix row, that are compared without another round of leaders.
 PAIRS_PER_ROW = 500
 ROUNDS = 8
+# Rows of either side of a cell of the closing comparison, on average.
+CELL_ROWS = 1024
 
 
 def shingles(hashes: WordHashes, data: bytes, words: int) -> np.ndarray:
@@ -231,6 +234,31 @@ def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, id_type: str
     return stored(two.withColumn("common", common).filter(F.col("common") >= needed(F.size("x"), F.size("y"), least)).select("a", "b"), "verified-links")
 
 
+def spots_of(active: DataFrame) -> DataFrame:
+    """member, n, pairs between components, big (its largest component) and out (rows outside of that) of ``active``."""
+    sums = active.groupBy("member", "label").agg(F.count("*").alias("n")).groupBy("member").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.max(F.struct("n", "label")).alias("most"),
+    )
+    pairs = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2
+    return stored(sums.select("member", "n", pairs.alias("pairs"), F.col("most.label").alias("big"), (F.col("n") - F.col("most.n")).alias("out")), "open-members")
+
+
+def cells(active: DataFrame, spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``active``, and those outside the largest component of their member with a leading o_, by (member, block, slice).
+
+    The rows outside are dealt into blocks, all rows into slices, and each block meets each slice in one cell. Rows
+    outside against all are at most three times the pairs between components.
+    """
+    side = F.broadcast(spots) if spots.count() <= BROADCAST_IDS // 4 else spots
+    parts = lambda n: F.ceil(F.col(n) / CELL_ROWS)
+    dealt = active.join(side, "member").withColumns({"blocks": parts("out"), "slices": parts("n"), "at": F.xxhash64(F.monotonically_increasing_id())})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ("member", "id", "size", "place", "label")
+    rows = dealt.withColumn("slice", F.pmod("at", "slices")).select(*names, "big", "slice", every("blocks").alias("block"))
+    outside = dealt.filter(F.col("label") != F.col("big")).withColumn("block", F.pmod("at", "blocks")).select(*names, "block", every("slices").alias("slice"))
+    return rows, outside.select(*(F.col(c).alias(f"o_{c}") for c in (*names, "block", "slice")))
+
+
 def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, least: Fraction = LEAST) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles) of every row of ``docs``, and (node, component) of every id that is linked to another.
 
@@ -273,13 +301,15 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         past = lead.select("o_member", "o_id")
         active = active.join(unsettled, "member", "left_semi").join(past, (F.col("member") == F.col("o_member")) & (F.col("id") == F.col("o_id")), "left_anti")
         active = stored(active, "prefix-open")
-        spots = active.groupBy("member", "label").agg(F.count("*").alias("n")).groupBy("member").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
-        open_pairs = spots.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        spots = spots_of(active)
+        open_pairs = spots.agg(F.sum("pairs")).first()[0] or 0
         if not open_pairs:
             return sizes.select("id", "n_shingles"), labels
         if turn == ROUNDS or open_pairs <= PAIRS_PER_ROW * total:
-            others = active.select(*(F.col(c).alias(f"o_{c}") for c in ("member", "id", "size", "place", "label")))
-            pairs = candidates(active, others, shared & (F.col("id") < F.col("o_id")), least)
+            every, outside = cells(active, spots.filter("pairs > 0"))
+            cell = (F.col("block") == F.col("o_block")) & (F.col("slice") == F.col("o_slice"))
+            # two rows outside meet in both roles
+            pairs = candidates(every, outside, shared & cell & ((F.col("label") == F.col("big")) | (F.col("id") < F.col("o_id"))), least)
             links = links.unionByName(verified(pairs, sizes, source, id_type, words, least))
             break
         lead = led(active)

@@ -85,6 +85,30 @@ def test_families_need_every_link(spark, per_row, rounds, monkeypatch):
     assert order(got) == order(plain_components(rows))
 
 
+def test_families_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 10**9)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 3)
+    rows = [(1000 * seed + i, *rest) for seed in range(3, 6) for i, *rest in families(seed)]
+    got = [tuple(r) for r in ngram_join.annotated(frame(spark, rows).repartition(5)).collect()]
+    assert order(got) == order(plain_components(rows))
+
+
+def test_closing_meets_no_component_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 50)
+    members = {1: {10: 600, 11: 1}, 2: {20: 300, 21: 280, 22: 40}, 3: {30: 5}}
+    rows = [(m, 1000 * label + i, 90, 1, label) for m, labels in members.items() for label, n in labels.items() for i in range(n)]
+    active = spark.createDataFrame(rows, "member long, id long, size long, place int, label long")
+    spots = ngram_join.spots_of(active).filter("pairs > 0")
+    assert {r.member: (r.n, r.pairs, r.big, r.out) for r in spots.collect()} == {1: (601, 600, 10, 1), 2: (620, 107_200, 20, 320)}
+    every, outside = ngram_join.cells(active, spots)
+    met = every.join(outside, (F.col("member") == F.col("o_member")) & (F.col("block") == F.col("o_block")) & (F.col("slice") == F.col("o_slice")))
+    work = {r.member: (r.n, r.cells, r.most) for r in met.groupBy("member", "block", "slice").count().groupBy("member").agg(F.sum("count").alias("n"), F.count("*").alias("cells"), F.max("count").alias("most")).collect()}
+    assert work[1][0] == 601 and work[2][0] == 320 * 620 < 3 * 107_200 and 3 not in work
+    assert work[2][1] == 7 * 13 and work[2][2] < 4 * 50 * 50
+    differ = met.filter("label <> o_label").select(F.least("id", "o_id"), F.greatest("id", "o_id")).distinct()
+    assert differ.count() == 600 + 107_200
+
+
 def plain_removal(rows):
     found = [(i, (t or "").encode().split()) for i, t, *_ in rows]
     lowest = {}
