@@ -1,8 +1,8 @@
 """Pack documents into token windows of fixed length by best-fit decreasing.
 
 Documents are tokenised and cut where they stand: a document longer than a window is first cut into full windows, and
-what is left is one piece shorter than a window. Pieces are dealt by hash into blocks of a fixed expected size, and
-each block is packed on its own: a segment tree over remaining capacities finds the tightest open window in
+what is left is one piece shorter than a window. Pieces are numbered in the order of a hash and dealt by ranges of
+their numbers into blocks of a fixed size at most, whatever ids they have, and each block is packed on its own: a segment tree over remaining capacities finds the tightest open window in
 logarithmic time. A block leaves a few windows partly empty, a share that does not grow with the corpus. No token
 moves through a shuffle unless the ids themselves are asked for.
 """
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.arrow import mapped, schema_of
-from sondeo.llm.store import partitions, stored
+from sondeo.llm.store import numbered, partitions, stored
 from sondeo.llm.words import column, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
-# Pieces of a block, on average.
+# Pieces of a block, at most.
 BLOCK_PIECES = 16_384
 # Word pieces whose ids a task remembers.
 REMEMBERED = 300_000
@@ -190,13 +190,15 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, block_pieces: int = BLOCK_PIECES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The pieces of ``docs`` (see ``cut``) with sequence_id and offset: their window and their place in it, gapless from 0.
 
-    A window that is not full is padded by whoever reads it. Pieces of equal length are placed in the order of a hash of
-    id and start, so reruns agree; rows that repeat are placed as often as they stand. An empty table gives no rows.
+    A window that is not full is padded by whoever reads it. Pieces are dealt, and those of equal length placed, in the
+    order of a hash of all they hold, so reruns agree; rows that repeat are placed as often as they stand. An empty table gives no rows.
     """
     pieces = stored(cut(docs, tokenizer, window, end_id, with_ids, id_column, text_column), "token-pieces")
-    blocks = max(1, -(-pieces.count() // block_pieces))
-    tie = F.xxhash64("doc_id", "start", "ids_crc32")
-    dealt = pieces.withColumns({"tie": tie, "block": F.pmod(F.xxhash64(F.lit("block"), "doc_id", "start"), F.lit(blocks))})
+    total = pieces.count()
+    blocks = max(1, -(-total // block_pieces))
+    # equal pieces are told apart by where they stand, so that they do not make one range
+    marked = pieces.withColumns({"tie": F.xxhash64("doc_id", "start", "ids_crc32", "length", "doc_tokens"), "at": F.monotonically_increasing_id()})
+    dealt = numbered(marked, "number", "tie", "at").withColumn("block", F.expr(f"number * {blocks} div {max(1, total)}")).drop("number", "at")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     out = schema_of(fields)

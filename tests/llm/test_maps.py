@@ -166,6 +166,17 @@ def test_packing_round_trip(messy, empty):
     assert packing.packed(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_blocks_are_bounded(spark):
+    rows = [(None, prose(i, 5 + i % 30), "en", "a") for i in range(200)] + [(7, prose(1000 + i, 9), "en", "a") for i in range(200)]
+    rows += [(8, "the same text", "en", "a")] * 200 + [(10 + i, prose(2000 + i, 9), "en", "a") for i in range(200)]
+    docs = frame(spark, rows)
+    packs = [packing.packed(docs.repartition(n), tokenizer_path(), block_pieces=40).collect() for n in (3, 7)]
+    sizes = Counter(r.sequence_id >> 32 for r in packs[0])
+    assert sum(sizes.values()) == 800 and len(sizes) == 20 and max(sizes.values()) <= 40
+    one, two = (Counter((r.doc_id, r.start, r.ids_crc32, r.sequence_id, r.offset) for r in p) for p in packs)
+    assert one == two
+
+
 def test_best_fit_is_the_tightest():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 65, 400))[::-1]
