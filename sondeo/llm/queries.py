@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import exact_dedup, labelled, license_scan, mixing, nb_svm, ngram_join, packing, quality_rules, substring_dedup, toxicity, url_filter
+from sondeo.llm import exact_dedup, filter_audit, html_extraction, labelled, license_scan, mixing, nb_svm, ngram_join, packing, quality_rules, runs, substring_dedup, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -69,9 +69,29 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page, by a field fitted on pages whose markup labels their blocks."""
+    pages = table(spark, folder, "pages")
+    return html_extraction.extracted(pages, html_extraction.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of the five filters removes in every order of the five, for each source of ``documents``."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    """The maximal periodic runs of every document, a tenth of them with planted runs, and the texts without the repeats."""
+    found = runs.detected(runs.planted(table(spark, folder, "documents")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        runs.digest(F.col("runs")).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard, op2_license_scans, op3_mixing_sources, op4_url_filters, op5_exact_dedup, op6_packing,
-        op7_quality_classifier, op8_substring_dedup, op9_toxicity, op10_quality_rules,
+        op7_quality_classifier, op8_substring_dedup, op9_toxicity, op10_quality_rules, op11_html_extraction, op12_filter_audit, op13_run_detection,
     )
 }
