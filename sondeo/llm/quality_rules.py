@@ -1,19 +1,20 @@
 """Quality rules with a robust multivariate test, with DataFrame functions only.
 
-Every document gets a vector of transformed statistics. For each language and source the centre and covariance of the
-least scattered three quarters of the documents are estimated (minimum covariance determinant by concentration
-steps), and a document far from its centre by Mahalanobis distance is rejected.
+Every document gets a vector of transformed statistics. For each language and source, each language and all documents
+together the centre and covariance of the least scattered three quarters of the documents are estimated (minimum
+covariance determinant by concentration steps). The estimate of a language and source is mixed with that of its language, and that
+with the one of all documents, in proportion to its number of documents, so a group may be of any size and no verdict turns on
+a count. A document far from its mixed centre by Mahalanobis distance is rejected.
 
 Statistics are whole numbers of 1/1024, so their sums and products are exact in 64 bits and do not depend on task
 order. A concentration step is one aggregation by (group, distance bin): rows are summed in every task before they move,
-whatever a group holds, and the bins up to the wanted share give the next centre and covariance. Covariances are
-factored and distances solved in unrolled column expressions; nothing is collected.
+whatever a group holds, and the bins up to the wanted share give the next centre and covariance. Covariances are arrays of
+arrays, inverted by elimination steps in array functions, so plans stay short; nothing is collected.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +31,15 @@ WINDOW_WORDS = 3
 UNIT = 1024
 #: Statistic and the standard deviation added to its spread, in its own units: differences below it mean nothing.
 STATISTICS = {"symbols": 0.08, "repeats": 0.08, "capitals": 0.06, "word_length": 0.12, "marks": 0.15, "copied_lines": 0.08}
-# Share of a group that the estimate rests on, its concentration steps, and the rows a group of its own needs.
+# Share of a group that the estimate rests on, its concentration steps, and the documents that the estimate of the group above counts for.
 SHARE = 0.75
 STEPS = 4
-LEAST_ROWS = 200
+PRIOR_ROWS = 200
 # Rejected above this squared distance. Text statistics have heavier tails than a normal distribution, so it is far out.
 FAR = 80.0
-# Groups up to which the estimates are broadcast: about 400 bytes each. Above, the join shuffles.
-BROADCAST_GROUPS = 20_000
+# Groups up to which the estimates are broadcast: about 1 KB each. Above, only those of more than 1/HOT_SHARE of the rows are.
+BROADCAST_GROUPS = 10_000
+HOT_SHARE = 64
 BIN_PER_LOG = 64
 
 
@@ -115,88 +117,114 @@ def inner_share(dims: int, share: float) -> float:
     return share / below(low, dims + 2)
 
 
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def times(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a * b)
+
+
+def inverse(matrix: Column, p: int) -> Column:
+    """The inverse of a positive definite matrix, an array of rows, by elimination without row exchanges."""
+    def step(m: Column, k: Column) -> Column:
+        def cleared(pivot: Column) -> Column:
+            return F.transform(m, lambda row, i: F.when(i == k, pivot).otherwise(F.zip_with(row, pivot, lambda x, y: x - F.get(row, k) * y)))
+
+        return let(F.transform(F.get(m, k), lambda x: x / F.get(F.get(m, k), k)), cleared)
+
+    units = F.array(*(F.array(*(F.lit(float(i == j)) for j in range(p))) for i in range(p)))
+    both = F.zip_with(matrix, units, lambda row, unit: F.concat(row, unit))
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), both, step), lambda row: F.slice(row, p + 1, p))
+
+
 def squared_distance(p: int) -> Column:
-    """Mahalanobis distance of z from the centre m under the covariance c, factored by Cholesky column by column."""
-    c = {(i, j): F.col(f"c{i}_{j}") for i in range(p) for j in range(i + 1)}
-    z = [F.col(f"z{i}") / float(UNIT) - F.col(f"m{i}") for i in range(p)]
-    factors = [F.col(f"l{i}_{j}") for i in range(p) for j in range(i + 1)]
-    at = {(i, j): factors[i * (i + 1) // 2 + j] for i, j in c}
-    y: list[Column] = []
-    for i in range(p):
-        y.append((z[i] - sum((at[i, k] * y[k] for k in range(i)), F.lit(0.0))) / at[i, i])
-    return reduce(lambda a, b: a + b, (v * v for v in y))
-
-
-def factored(estimates: DataFrame, p: int) -> DataFrame:
-    """Adds l{i}_{j}, the lower factor of the covariance. The added spread keeps it well above zero."""
-    for j in range(p):
-        head = F.sqrt(F.col(f"c{j}_{j}") - sum((F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0)))
-        estimates = estimates.withColumn(f"l{j}_{j}", head)
-        for i in range(j + 1, p):
-            rest = F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            estimates = estimates.withColumn(f"l{i}_{j}", rest / F.col(f"l{j}_{j}"))
-    return estimates
+    """Mahalanobis distance of z0.. from the centre m under the inverse covariance v."""
+    off = F.zip_with(F.array(*(F.col(f"z{i}") / float(UNIT) for i in range(p))), "m", lambda x, y: x - y)
+    return let(off, lambda d: F.greatest(F.lit(0.0), total(F.zip_with(d, "v", lambda x, row: x * total(times(row, d))))))
 
 
 def joined(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with the estimate of their group, under names that no statistic has."""
-    side = F.broadcast(estimates) if estimates.count() <= BROADCAST_GROUPS else estimates
-    return rows.join(side, "group", "left")
+    """Rows with the estimate of their group (column ``group``), those without one too."""
+    if estimates.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(estimates), "group", "left")
+    every = estimates.agg(F.max("n")).first()[0]
+    hot = F.broadcast(estimates.filter(F.col("n") > every / HOT_SHARE))  # at most HOT_SHARE groups of each of three levels
+    return rows.join(hot, "group").unionByName(rows.join(hot.select("group"), "group", "left_anti").join(estimates, "group", "left"))
 
 
 def concentrated(rows: DataFrame, p: int) -> DataFrame:
-    """group, m{i}, c{i}_{j}: the minimum covariance determinant estimate of every group of ``rows``."""
+    """group, n, m (centre), c (covariance): the minimum covariance determinant estimate of every group of ``rows``."""
     floor, widen = [s * s for s in STATISTICS.values()], inner_share(p, SHARE)
-    middle = rows.groupBy("group").agg(*(F.percentile(f"z{i}", F.lit(0.5)).alias(f"m{i}") for i in range(p)))
+    middle = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile(f"z{i}", F.lit(0.5)).alias(f"m{i}") for i in range(p)))
     off = joined(rows, stored(middle, "mcd-median")).groupBy("group").agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
+        F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
         *(F.percentile(F.abs(F.col(f"z{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(p)),
     )
-    start = off.select(
-        "group", *((F.col(f"m{i}") / float(UNIT)).alias(f"m{i}") for i in range(p)),
-        *((F.pow(F.col(f"s{i}") * 1.4826 / float(UNIT), F.lit(2.0)) + floor[i] if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)),
-    )
-    estimate = stored(factored(start, p), "mcd")
+
+    def estimated(table: DataFrame, centre: list[Column], covariance: list[list[Column]]) -> DataFrame:
+        c = F.array(*(F.array(*row) for row in covariance))
+        whole = table.select("group", "n", F.array(*centre).alias("m"), c.alias("c"))
+        return stored(whole.withColumn("v", inverse(F.col("c"), p)), "mcd")
+
+    spread = [F.pow(F.col(f"s{i}") * 1.4826 / float(UNIT), F.lit(2.0)) + floor[i] for i in range(p)]
+    estimate = estimated(off, [F.col(f"m{i}") / float(UNIT) for i in range(p)], [[spread[i] if i == j else F.lit(0.0) for j in range(p)] for i in range(p)])
     for _ in range(STEPS):
-        near = joined(rows, estimate).withColumn("bin", F.floor(BIN_PER_LOG * F.log1p(squared_distance(p))))
+        near = joined(rows, estimate.drop("c")).withColumn("bin", F.floor(BIN_PER_LOG * F.log1p(squared_distance(p))))
         sums = near.groupBy("group", "bin").agg(
-            F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"a{i}") for i in range(p)),
+            F.count("*").alias("k"), F.first("n").alias("n"), *(F.sum(f"z{i}").alias(f"a{i}") for i in range(p)),
             *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"b{i}_{j}") for i in range(p) for j in range(i + 1)),
         )
-        group = Window.partitionBy("group")
-        inner = sums.withColumns({"all": F.sum("n").over(group), "before": F.sum("n").over(group.orderBy("bin")) - F.col("n")}).filter(F.col("before") < F.col("all") * SHARE)
+        inner = sums.withColumn("before", F.sum("k").over(Window.partitionBy("group").orderBy("bin")) - F.col("k")).filter(F.col("before") < F.col("n") * SHARE)
         # whole numbers beyond 64 bits add up as decimals
-        exact = inner.groupBy("group").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in sums.columns if c not in ("group", "bin")))
-        mean = [F.col(f"a{i}") / F.col("n") / float(UNIT) for i in range(p)]
-        spread = exact.select(
-            "group", *(mean[i].alias(f"m{i}") for i in range(p)),
-            *((widen * (F.col(f"b{i}_{j}") / F.col("n") / float(UNIT * UNIT) - mean[i] * mean[j]) + (floor[i] if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)),
+        exact = inner.groupBy("group").agg(
+            F.first("n").alias("n"), F.sum("k").cast("double").alias("k"),
+            *(F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in sums.columns if c[0] in "ab" and c != "bin"),
         )
-        estimate = stored(factored(spread, p), "mcd")
-    return estimate
-
-
-def annotated(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", carry: list[str] | None = None, least_rows: int = LEAST_ROWS, far: float = FAR) -> DataFrame:
+        mean = [F.col(f"a{i}") / F.col("k") / float(UNIT) for i in range(p)]
+        square = lambda i, j: F.col(f"b{max(i, j)}_{min(i, j)}") / F.col("k") / float(UNIT * UNIT)
+        estimate = estimated(exact, mean, [[widen * (square(i, j) - mean[i] * mean[j]) + (floor[i] if i == j else 0.0) for j in range(p)] for i in range(p)])
+    return estimate.drop("v")
+
+
+def mixed(groups: DataFrame, above: DataFrame, p: int, prior: int) -> DataFrame:
+    """``groups`` (group, parent, n, m, c), each mixed with its parent's row in ``above`` as if that stood for ``prior`` more documents."""
+    side = above.select(F.col("group").alias("parent"), F.col("m").alias("pm"), F.col("c").alias("pc"))
+    both = groups.join(side, "parent").withColumn("w", F.col("n") / (F.col("n") + prior))
+    own, other = F.col("w"), 1 - F.col("w")
+    m = F.zip_with("m", "pm", lambda x, y: own * x + other * y)
+    # the covariance of a mixture: those of both, and the distance of their centres
+    off = F.zip_with("m", "pm", lambda x, y: x - y)
+    between = F.transform(off, lambda x: F.transform(off, lambda y: x * y * own * other))
+    within = F.zip_with("c", "pc", lambda a, b: F.zip_with(a, b, lambda x, y: own * x + other * y))
+    c = F.zip_with(within, between, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    # under new names first: within one projection, "m" inside a lambda could be taken for the column made beside it
+    return both.withColumns({"mixed_m": m, "mixed_c": c}).select("group", "n", F.col("mixed_m").alias("m"), F.col("mixed_c").alias("c"))
+
+
+def annotated(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", carry: list[str] | None = None, prior: int = PRIOR_ROWS, far: float = FAR) -> DataFrame:
     """One row for each row of ``docs``: ``row`` (struct of ``carry``, all columns by default), the base counts, distance, kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows. Only documents that pass the
-    base rules are used for estimates. A language and source (null is a value of its own) with fewer than
-    ``least_rows`` of them is judged with all other such small ones together; if those are too few as well, by the base
-    rules alone (distance null). A null text counts as empty and fails. Repeated rows count as often as they stand.
+    base rules are used for estimates. The estimate of a language and source (null is a value of its own) with n of them has weight
+    n / (n + ``prior``) against that of its language, and that one likewise against the one of all documents. Where no
+    document of a language and source passes, the distance is null. A null text counts as empty and fails. Repeated rows
+    count as often as they stand. Very long texts are read whole. An empty table gives no rows. Columns of ``docs`` come
+    back inside ``row`` only, so their names clash with none.
     """
     p = len(STATISTICS)
-    table = stored(measured(docs, text_column, lang_column, source_column, docs.columns if carry is None else carry), "quality-statistics")
-    sizes = table.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")).filter(F.col("n") >= least_rows)
-    sizes = stored(sizes.select(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), F.to_json(F.struct("lang", "source")).alias("own")), "quality-groups")
-    side = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
-    grouped = table.join(side, table["lang"].eqNullSafe(side["own_lang"]) & table["source"].eqNullSafe(side["own_source"]), "left")
-    grouped = grouped.withColumn("group", F.coalesce("own", F.lit("rest"))).drop("own", "own_lang", "own_source")
-    counted = grouped.filter(~F.col("base_failed")).select("group", *(f"z{i}" for i in range(p)))
-    estimate = concentrated(counted, p)
-    # the collected small groups need as many documents as any other
-    enough = counted.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= least_rows).select("group")
-    estimate = stored(estimate.join(enough, "group", "left_semi"), "mcd-used")
-    judged = joined(grouped, estimate).withColumn("distance", F.when(F.col("m0").isNotNull(), squared_distance(p)))
+    keyed = measured(docs, text_column, lang_column, source_column, docs.columns if carry is None else carry)
+    keyed = keyed.withColumns({"language": F.concat(F.lit("1"), F.to_json(F.struct("lang"))), "group": F.concat(F.lit("2"), F.to_json(F.struct("lang", "source")))})
+    table = stored(keyed, "quality-statistics")
+    passed = table.filter(~F.col("base_failed"))
+    levels = F.array(F.lit("0"), "language", "group")
+    found = concentrated(passed.select(F.explode(levels).alias("group"), *(f"z{i}" for i in range(p))), p)
+    parents = passed.select("language", "group").distinct()
+    languages = found.join(parents.select(F.col("language").alias("group")).distinct(), "group").withColumn("parent", F.lit("0"))
+    sources = found.join(parents.withColumnRenamed("language", "parent"), "group")
+    estimate = mixed(sources, mixed(languages, found.filter("group = '0'"), p, prior), p, prior)
+    estimate = stored(estimate.withColumn("v", inverse(F.col("c"), p)).drop("c"), "mcd-mixed")
+    judged = joined(table, estimate).withColumn("distance", F.when(F.col("m").isNotNull(), squared_distance(p)))
     return judged.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & ~F.coalesce(F.col("distance") > far, F.lit(False))).alias("kept"),

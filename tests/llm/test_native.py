@@ -105,38 +105,65 @@ def test_base_counts(messy, empty):
     assert quality_rules.kept_rows(messy).columns == messy.columns
 
 
-def plain_distances(z: np.ndarray) -> np.ndarray:
+def plain_estimate(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same estimate with numpy: medians, then concentration steps to whole bins of distance."""
     floor = np.square(list(quality_rules.STATISTICS.values()))
     widen = quality_rules.inner_share(len(floor), quality_rules.SHARE)
     mean = np.median(z, axis=0)
     cov = np.diag((np.median(np.abs(z - mean), axis=0) * 1.4826) ** 2 + floor)
-
-    def squared(mean, cov):
-        d = z - mean
-        return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
-
     for _ in range(quality_rules.STEPS):
-        bins = np.floor(quality_rules.BIN_PER_LOG * np.log1p(squared(mean, cov)))
+        bins = np.floor(quality_rules.BIN_PER_LOG * np.log1p(plain_squared(z, mean, cov)))
         rank = np.array([(bins < b).sum() for b in bins])
         inner = z[rank < quality_rules.SHARE * len(z)]
         mean = inner.mean(axis=0)
         cov = widen * (inner.T @ inner / len(inner) - np.outer(mean, mean)) + np.diag(floor)
-    return squared(mean, cov)
+    return mean, cov
+
+
+def plain_squared(z, mean, cov):
+    d = z - mean
+    return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
+
 
+def plain_mixed(own, above, n, prior):
+    w, off = n / (n + prior), own[0] - above[0]
+    return w * own[0] + (1 - w) * above[0], w * own[1] + (1 - w) * above[1] + w * (1 - w) * np.outer(off, off)
 
-def test_robust_distances(spark):
+
+def plain_distances(table, prior):
+    """Distances of the passing rows of a table with lang, source and z0.., by group, language and all."""
+    z = table[[f"z{i}" for i in range(len(quality_rules.STATISTICS))]].to_numpy() / quality_rules.UNIT
+    keys = [("", "")] * len(z), [(str(g), "") for g in table["lang"]], [(str(g), str(s)) for g, s in zip(table["lang"], table["source"])]
+    out = np.empty(len(z))
+    for key in set(keys[2]):
+        rows = {level: np.array([k == want for k in keys[level]]) for level, want in ((0, ("", "")), (1, (key[0], "")), (2, key))}
+        estimate = plain_estimate(z)
+        for level in (1, 2):
+            estimate = plain_mixed(plain_estimate(z[rows[level]]), estimate, rows[level].sum(), prior)
+        out[rows[2]] = plain_squared(z[rows[2]], *estimate)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 2])
+def test_robust_distances(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", broadcast)  # with few, only hot groups are broadcast
     rows = [(i, prose(i, 60 + i % 30), "en", "a") for i in range(240)]
     odd = [(1000 + i, prose(i, 80).upper().replace(" ", "!! "), "en", "a") for i in range(20)]
-    few = [(2000 + i, prose(i, 80), "de", "b") for i in range(10)]
+    few = [(2000 + i, prose(i, 80), "de" if i % 2 else None, f"b{i % 3}" if i % 5 else None) for i in range(14)]
     docs = frame(spark, rows + odd + few)
-    got = quality_rules.annotated(docs, carry=["doc_id"], least_rows=50).collect()
+    got = quality_rules.annotated(docs, carry=["doc_id"], prior=50).collect()
     kept = {r.row.doc_id: r.kept for r in got}
-    assert all(kept[i] for i, *_ in rows) and not any(kept[i] for i, *_ in odd)
-    assert all(r.kept and r.distance is None for r in got if r.row.doc_id >= 2000)
-    table = quality_rules.measured(docs, "text", "lang", "source", ["doc_id"]).filter("not base_failed and source = 'a'").toPandas()
-    z = table[[f"z{i}" for i in range(6)]].to_numpy() / quality_rules.UNIT
-    wanted = dict(zip((r["doc_id"] for r in table["row"]), plain_distances(z)))
+    assert all(kept[i] for i, *_ in rows + few) and not any(kept[i] for i, *_ in odd)
+    table = quality_rules.measured(docs, "text", "lang", "source", ["doc_id"]).filter("not base_failed").toPandas()
+    wanted = dict(zip((r["doc_id"] for r in table["row"]), plain_distances(table, 50)))
+    assert len(wanted) == len(rows + odd + few)
     for r in got:
-        if r.row.doc_id in wanted:
-            assert math.isclose(r.distance, wanted[r.row.doc_id], rel_tol=1e-6, abs_tol=1e-6)
+        assert math.isclose(r.distance, wanted[r.row.doc_id], rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_no_verdict_turns_on_the_size_of_a_group(spark):
+    """A source grows from 190 to 210 documents: the distances of the documents that were there move by little."""
+    base = [(i, prose(i, 60 + i % 30) + " #" * (i % 4), "en", "a" if i < 190 else "b") for i in range(600)]
+    more = [(5000 + i, prose(7000 + i, 70) + " #" * (i % 4), "en", "a") for i in range(20)]
+    before, after = ({r.row.doc_id: r.distance for r in quality_rules.annotated(frame(spark, rows), carry=["doc_id"]).collect()} for rows in (base, base + more))
+    assert max(abs(after[i] - before[i]) / (1 + before[i]) for i in before) < 0.2
