@@ -39,8 +39,8 @@ LEAST = Fraction(3, 4)
 # Frequent members that the order tells apart, 16 bytes each in every task, and members counted at a time in a task.
 FREQUENT = 1 << 20
 COUNTED = 1 << 22
-# Classes of the suffix filter.
-SUFFIX_CLASSES = 16
+# Members of a set for each class of its suffix filter, about: what two unrelated sets share by class falls well below the limit.
+CLASS_MEMBERS = 2
 # A member of more than 1/HOT_SHARE of the documents is spread over so many salts.
 HOT_SHARE = 32
 SALTS = 64
@@ -83,7 +83,7 @@ def counted(source: DataFrame, id_type: str, words: int) -> DataFrame:
             found = [shingles(hashes, data, words) for data in batch.column("t").to_pylist()]
             held.append(np.concatenate([np.empty(0, np.uint64), *found]))
             more = [repeated()] if sum(map(len, held)) >= COUNTED else []
-            suffix = [np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=SUFFIX_CLASSES) for grams in found]
+            suffix = [class_counts(grams) for grams in found]
             none = [None] * len(more)
             return {
                 "id": pa.concat_arrays([batch.column("id"), pa.nulls(len(more), batch.schema.field("id").type)]),
@@ -97,6 +97,19 @@ def counted(source: DataFrame, id_type: str, words: int) -> DataFrame:
     return mapped(source, make, f"id {id_type}, n_shingles long, set_hash binary, suffix array<int>, often struct<members:array<long>,documents:array<long>>")
 
 
+def class_counts(grams: np.ndarray) -> np.ndarray:
+    """Members by their first bits, in a power of two of classes that grows with the set."""
+    bits = (len(grams) // CLASS_MEMBERS).bit_length()
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64), minlength=1 << bits)
+
+
+def most_common(x: Column, y: Column) -> Column:
+    """The most members that sets with these class counts can share; null if one has over twice the classes of the other."""
+    halved = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2).cast("int") - 1), lambda i: F.get(c, 2 * i) + F.get(c, 2 * i + 1))
+    least = lambda a, b: F.aggregate(F.zip_with(a, b, lambda m, n: F.least(m, n)), F.lit(0), lambda s, n: s + n)
+    return F.when(F.size(x) == F.size(y), least(x, y)).when(F.size(x) == 2 * F.size(y), least(halved(x), y)).when(2 * F.size(x) == F.size(y), least(x, halved(y)))
+
+
 def frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The hashes, sorted, of at most FREQUENT of the most frequent members, and the documents counted for each."""
     pairs = first.filter("often is not null").select(F.explode(F.arrays_zip("often.members", "often.documents")).alias("x"))
@@ -117,12 +130,18 @@ def frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return members[order], np.asarray(table.column("n").to_numpy(), np.int64)[order]
 
 
-def equal_sets(sizes: DataFrame) -> DataFrame:
-    """(a, b): ids and the smallest id with an equal set. An id that stands with several sets is left to the join."""
+def equal_sets(sizes: DataFrame, hot: int) -> DataFrame:
+    """(a, b): ids and the smallest id with an equal set. An id that stands with several sets is left to the join.
+
+    The heads of groups of more than ``hot`` rows are few and go to the rows; only the others' rows are shuffled.
+    """
     known = sizes.filter("id is not null and set_hash is not null").select("id", "set_hash")
-    heads = known.groupBy("set_hash").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
+    heads = known.groupBy("set_hash").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("rows")).filter("head < last").drop("last")
+    heads = stored(heads, "equal-heads")
+    large = F.broadcast(heads.filter(F.col("rows") > hot))
+    headed = known.join(large, "set_hash").unionByName(known.join(large.select("set_hash"), "set_hash", "left_anti").join(heads, "set_hash"))
     several = known.groupBy("id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).filter("low <> high").select("id")
-    copies = known.join(heads, "set_hash").filter("id <> head").join(several, "id", "left_anti")
+    copies = headed.filter("id <> head").join(several, "id", "left_anti")
     return stored(copies.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "equal-sets")
 
 
@@ -220,9 +239,12 @@ def candidates(rows: DataFrame, others: DataFrame, shared, least: Fraction) -> D
 
 def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, id_type: str, words: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; the suffix filter spares most others the comparison."""
+    pairs = stored(pairs, "candidate-pairs")
+    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sizes = sizes.join(F.broadcast(met) if met.count() <= BROADCAST_IDS else met, "id", "left_semi")
     left = sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("a_size"), F.col("suffix").alias("a_suffix"))
     right = sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("b_size"), F.col("suffix").alias("b_suffix"))
-    most = F.aggregate(F.zip_with("a_suffix", "b_suffix", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    most = F.coalesce(most_common(F.col("a_suffix"), F.col("b_suffix")), F.greatest("a_size", "b_size"))
     likely = pairs.join(left, "a").join(right, "b").filter(most >= needed(F.col("a_size"), F.col("b_size"), least)).select("a", "b").distinct()
     likely = stored(likely, "likely-pairs")
     ids = stored(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct(), "likely-ids")
@@ -273,7 +295,7 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     often = docs.sparkSession.sparkContext.broadcast(frequent(first))  # at most FREQUENT entries
     hot = max(100, sizes.count() // HOT_SHARE)
 
-    equal = equal_sets(sizes)
+    equal = equal_sets(sizes, hot)
     gone = equal.select(F.col("a").alias("id"))
     # if they are too many to be broadcast, copies take part in the join like any other documents
     single = source.join(F.broadcast(gone), "id", "left_anti") if gone.count() <= BROADCAST_IDS else source
@@ -281,6 +303,7 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     whole = Window.partitionBy("member", "salt")
     spread = emitted.repartition("member", "salt").withColumns({"lowest": F.min("id").over(whole), "highest": F.max("id").over(whole)})
     kept = stored(spread.filter((F.col("lowest") < F.col("highest")) | (F.col("salt") >= 0) | F.col("copy_of").isNotNull()).drop("lowest", "highest", "salt"), "prefix-rows")
+    often.destroy()
     links = equal.unionByName(kept.filter("copy_of is not null").select(F.col("id").alias("a"), F.col("copy_of").alias("b")))
     rows = kept.filter("copy_of is null").drop("copy_of")
     total = rows.count()
