@@ -15,6 +15,8 @@ arrays, inverted by elimination steps in array functions, so plans stay short; n
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,16 +119,8 @@ def inner_share(dims: int, share: float) -> float:
     return share / below(low, dims + 2)
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
-def times(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a * b)
-
-
 def inverse(matrix: Column, p: int) -> Column:
-    """The inverse of a positive definite matrix, an array of rows, by elimination without row exchanges."""
+    """The inverse of a positive definite matrix, an array of rows, by elimination without row exchanges; its rows end to end."""
     def step(m: Column, k: Column) -> Column:
         def cleared(pivot: Column) -> Column:
             return F.transform(m, lambda row, i: F.when(i == k, pivot).otherwise(F.zip_with(row, pivot, lambda x, y: x - F.get(row, k) * y)))
@@ -135,13 +129,19 @@ def inverse(matrix: Column, p: int) -> Column:
 
     units = F.array(*(F.array(*(F.lit(float(i == j)) for j in range(p))) for i in range(p)))
     both = F.zip_with(matrix, units, lambda row, unit: F.concat(row, unit))
-    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), both, step), lambda row: F.slice(row, p + 1, p))
+    return F.flatten(F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), both, step), lambda row: F.slice(row, p + 1, p)))
+
 
+def with_distance(rows: DataFrame, p: int) -> DataFrame:
+    """``rows`` with ``distance``, the squared Mahalanobis distance of z0.. from the centre m under the inverse covariance v; null without one.
 
-def squared_distance(p: int) -> Column:
-    """Mahalanobis distance of z0.. from the centre m under the inverse covariance v."""
-    off = F.zip_with(F.array(*(F.col(f"z{i}") / float(UNIT) for i in range(p))), "m", lambda x, y: x - y)
-    return let(off, lambda d: F.greatest(F.lit(0.0), total(F.zip_with(d, "v", lambda x, row: x * total(times(row, d))))))
+    Elements are added one by one in compiled code: every row passes here once for each level and step.
+    """
+    off = rows.withColumns({f"_d{i}": F.col(f"z{i}") / float(UNIT) - F.get("m", F.lit(i)) for i in range(p)})
+    d = [F.col(f"_d{i}") for i in range(p)]
+    terms = (d[i] * reduce(add, ((1.0 if i == j else 2.0) * F.get("v", F.lit(p * i + j)) * d[j] for j in range(i + 1))) for i in range(p))
+    square = reduce(add, terms)
+    return off.withColumn("distance", F.when(square < 0, 0.0).otherwise(square)).drop(*(f"_d{i}" for i in range(p)))
 
 
 def joined(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def concentrated(rows: DataFrame, p: int) -> DataFrame:
     spread = [F.pow(F.col(f"s{i}") * 1.4826 / float(UNIT), F.lit(2.0)) + floor[i] for i in range(p)]
     estimate = estimated(off, [F.col(f"m{i}") / float(UNIT) for i in range(p)], [[spread[i] if i == j else F.lit(0.0) for j in range(p)] for i in range(p)])
     for _ in range(STEPS):
-        near = joined(rows, estimate.drop("c")).withColumn("bin", F.floor(BIN_PER_LOG * F.log1p(squared_distance(p))))
+        near = with_distance(joined(rows, estimate.drop("c")), p).withColumn("bin", F.floor(BIN_PER_LOG * F.log1p("distance")))
         sums = near.groupBy("group", "bin").agg(
             F.count("*").alias("k"), F.first("n").alias("n"), *(F.sum(f"z{i}").alias(f"a{i}") for i in range(p)),
             *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"b{i}_{j}") for i in range(p) for j in range(i + 1)),
@@ -224,7 +224,7 @@ def annotated(docs: DataFrame, text_column: str = "text", lang_column: str = "la
     sources = found.join(parents.withColumnRenamed("language", "parent"), "group")
     estimate = mixed(sources, mixed(languages, found.filter("group = '0'"), p, prior), p, prior)
     estimate = stored(estimate.withColumn("v", inverse(F.col("c"), p)).drop("c"), "mcd-mixed")
-    judged = joined(table, estimate).withColumn("distance", F.when(F.col("m").isNotNull(), squared_distance(p)))
+    judged = with_distance(joined(table, estimate), p)
     return judged.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & ~F.coalesce(F.col("distance") > far, F.lit(False))).alias("kept"),
