@@ -412,6 +412,29 @@ ORACLES["confidence_band"] = f"WITH {GAPPY} " + union([f"SELECT '{c}' AS series,
 ORACLES["lag_pairs"] = f"""WITH {FILLED}, pairs AS (SELECT series, pos, lag(y) OVER (PARTITION BY series ORDER BY pos) AS x, y FROM series WHERE series IN ('value', 'user_id'))
 SELECT series, pos, {rnd('x', 4)} AS y_lag1, {rnd('y', 4)} AS y FROM pairs WHERE pos > 0"""
 
+# --- panels ------------------------------------------------------------------------------------------------
+
+PANEL = """placed AS (SELECT o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS v,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders),
+near AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS lv, last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS lp,
+    first_value(v IGNORE NULLS) OVER b AS rv, first_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS rp
+  FROM placed WINDOW a AS (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    b AS (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT o_custkey, pos, CASE WHEN v IS NOT NULL THEN v WHEN lp IS NULL THEN rv WHEN rp IS NULL THEN lv ELSE lv + (rv - lv) / (rp - lp) * (pos - lp) END AS y
+  FROM near WHERE lp IS NOT NULL OR rp IS NOT NULL)"""
+ORACLES["panel_trend"] = f"""WITH {PANEL}, fits AS (SELECT o_custkey, count(*) AS n, regr_slope(y, pos) AS slope, regr_intercept(y, pos) AS intercept, regr_r2(y, pos) AS r2,
+    arg_min(y, pos) AS "start", arg_max(y, pos) AS "end" FROM filled GROUP BY 1 HAVING count(*) >= 4),
+tested AS (SELECT *, sign(slope) * sqrt(r2 * (n - 2) / (1 - r2)) AS t, ("end" - "start") / abs("start") * 100 AS pct FROM fits),
+judged AS (SELECT *, {t_tail('t', 'n - 2')} AS p FROM tested)
+SELECT o_custkey, 'price' AS "column", n, {rnd('slope')} AS slope, {rnd('intercept')} AS intercept, {rnd('r2', 5)} AS r2, {rnd('p', 5)} AS p_value, {rnd('"start"')} AS "start", {rnd('"end"')} AS "end",
+  {rnd('pct', 2)} AS pct_change, CASE WHEN abs(pct) > 10 AND p < 0.05 AND pct > 0 THEN 'upward' WHEN abs(pct) > 10 AND p < 0.05 THEN 'downward' ELSE 'stable' END AS direction FROM judged"""
+ORACLES["panel_acf"] = f"""WITH {PANEL}, dev AS (SELECT o_custkey, pos, y - avg(y) OVER w AS e, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY o_custkey)),
+sums AS (SELECT a.o_custkey, k.lag, sum(a.e * b.e) AS g FROM (SELECT unnest(range(0, 6)) AS lag) k JOIN dev a ON a.n >= 15 AND k.lag <= a.n // 2 - 1
+  JOIN dev b ON b.o_custkey = a.o_custkey AND b.pos = a.pos - k.lag GROUP BY 1, 2)
+SELECT o_custkey, 'price' AS "column", lag, {rnd('g / max(CASE WHEN lag = 0 THEN g END) OVER (PARTITION BY o_custkey)')} AS acf FROM sums"""
+ORACLES["panel_rolling_mean"] = f"""WITH {PANEL} SELECT o_custkey, 'price' AS "column", pos, {rnd('y')} AS y,
+  {rnd('avg(y) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_mean FROM filled"""
+
 # --- segments ----------------------------------------------------------------------------------------------
 
 ORACLES["usable_segments"] = "SELECT * FROM (" + union(

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from sondeo import sources
 from sondeo.operators import autocorrelation as ac
-from sondeo.operators import causal, eda, profile, quality, report, seasonality, segments, stationarity, trend
+from sondeo.operators import causal, eda, panel, profile, quality, report, seasonality, segments, stationarity, trend
 from sondeo.operators.pipeline import analyze
+from sondeo.plans.panel import Panel, panel_order
 from sondeo.plans.scratch import scratch_folder, stored
 from sondeo.plans.sequence import Sequence, long_series, time_order, with_lags
 
@@ -498,6 +499,31 @@ def correlogram(spark, folder):
     return tidy(ac.correlogram(event_sequence(spark, folder, REAL_SERIES)))
 
 
+# --- panels ------------------------------------------------------------------------------------------------
+
+
+def customer_panel(spark: SparkSession, folder: str) -> Panel:
+    """The orders of each customer in time, a tenth of the prices missing."""
+    orders = table(spark, folder, "orders").withColumn("price", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")))
+    return panel_order(orders, ["o_custkey"], F.col("o_orderdate"), ["price"], [F.col("o_orderkey")])
+
+
+@query
+def panel_trend(spark, folder):
+    found = to_cents(panel.panel_trend(customer_panel(spark, folder)))
+    return tidy(found.withColumns({c: F.round(c, 5) for c in ("r2", "p_value")}), 6)
+
+
+@query
+def panel_acf(spark, folder):
+    return tidy(panel.panel_acf(customer_panel(spark, folder), max_lags=5))
+
+
+@query
+def panel_rolling_mean(spark, folder):
+    return tidy(panel.panel_rolling_mean(customer_panel(spark, folder), 3), 6)
+
+
 # --- segments ----------------------------------------------------------------------------------------------
 
 
