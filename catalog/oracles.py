@@ -316,7 +316,7 @@ SELECT b.series, b.grain, b.period, b.label, b.n, round(b.low, 4) AS low, round(
 FROM box b JOIN cells c USING (series, grain, period, label) GROUP BY 1, 2, 3, 4, 5, b.low, b.q1, b.median, b.q3, b.high"""
 
 # level stationarity: bandwidth from the first lag products, then the weighted long-run variance
-_TESTED = ("user_id", "value", "stepped")
+_TESTED = tuple(SERIES)
 LEVEL = FILLED + f""",
 dev AS MATERIALIZED (SELECT series, pos, n, y - avg(y) OVER (PARTITION BY series) AS e FROM sized WHERE series IN {_TESTED}),
 runs AS (SELECT series, n, sum(e) OVER (PARTITION BY series ORDER BY pos) AS s FROM dev),
@@ -359,7 +359,9 @@ wide_x AS MATERIALIZED (
   UNION ALL SELECT series, pos, 0, 1.0 FROM step WHERE pos BETWEEN m + 1 AND n - 1),
 {gram('wide_gram', 'wide_x')},
 {eliminated('scan', 'wide_gram', 'len(mat) - 1')},
-scored AS (SELECT series, k - 2 AS p, mat[len(mat)][len(mat)] AS rss, mat[1][1] AS rows FROM scan WHERE k >= 2),
+-- a regressor that adds nothing to those before it: the series explains itself
+singular AS MATERIALIZED (SELECT s.series FROM scan s JOIN wide_gram g USING (series) WHERE k < stop AND s.mat[k + 1][k + 1] <= 1e-9 * g.mat[k + 1][k + 1] GROUP BY 1),
+scored AS (SELECT series, k - 2 AS p, mat[len(mat)][len(mat)] AS rss, mat[1][1] AS rows FROM scan WHERE k >= 2 AND series NOT IN (SELECT series FROM singular)),
 aic AS (SELECT series, p, rows * (ln(2 * pi() * rss / rows) + 1) + 2 * (p + 2) AS aic FROM scored),
 chosen AS MATERIALIZED (SELECT series, arg_min(p, aic) AS p FROM aic GROUP BY series),
 own_x AS MATERIALIZED (
@@ -372,19 +374,19 @@ own_x AS MATERIALIZED (
 corner AS (SELECT series, len(mat) - 3 AS p, mat[1][1] AS rows, mat[len(mat) - 1][len(mat) - 1] AS a, mat[len(mat) - 1][len(mat)] AS b, mat[len(mat)][len(mat)] AS c FROM solve WHERE k = stop),
 unit AS (SELECT series, p AS lags, b / a / sqrt((c - b * b / a) / (rows - p - 2) / a) AS tau FROM corner),
 unit_z AS (SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau ** 2 ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau ** 2 - 0.010368 * tau ** 3 END AS z FROM unit),
-unit_p AS (SELECT series, lags, tau, CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 OR z < -8 THEN 0.0 ELSE
+unit_q AS (SELECT series, lags, tau, CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 OR z < -8 THEN 0.0 ELSE
     0.5 + sign(z) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
       * exp(-0.5 * (abs(z) * i / 2000.0) ** 2))) * abs(z) / 2000.0 / 3 / sqrt(2 * pi()) END AS p FROM unit_z),
+unit_p AS (SELECT * FROM unit_q UNION ALL SELECT series, NULL, NULL, NULL FROM singular),
 joint AS (SELECT u.series, u.p < 0.05 AS adf_stationary, l.p > 0.05 AS kpss_stationary,
-    CASE WHEN u.p < 0.05 AND l.p > 0.05 THEN 'stationary' WHEN u.p < 0.05 THEN 'trend_stationary' WHEN l.p > 0.05 THEN 'difference_stationary' ELSE 'unit_root' END AS verdict
+    CASE WHEN u.p IS NULL THEN NULL WHEN u.p < 0.05 AND l.p > 0.05 THEN 'stationary' WHEN u.p < 0.05 THEN 'trend_stationary' WHEN l.p > 0.05 THEN 'difference_stationary' ELSE 'unit_root' END AS verdict
   FROM unit_p u JOIN level_p l USING (series))"""
-ORACLES["adf_test"] = f"WITH {ADF} SELECT series, {rnd('tau', 4)} AS statistic, {rnd('p', 4)} AS p_value, lags, p < 0.05 AS stationary, CAST(NULL AS VARCHAR) AS reason FROM unit_p"
+ORACLES["adf_test"] = f"WITH {ADF} SELECT series, {rnd('tau', 4)} AS statistic, {rnd('p', 4)} AS p_value, lags, p < 0.05 AS stationary, CASE WHEN tau IS NULL THEN 'singular' END AS reason FROM unit_p"
 ORACLES["joint_verdict"] = f"WITH {ADF} SELECT series, adf_stationary, kpss_stationary, verdict FROM joint"
-ORACLES["stationarity_table"] = f"""WITH {ADF} SELECT series, verdict, any_value(CASE verdict WHEN 'stationary' THEN 'none' WHEN 'trend_stationary' THEN 'detrend' ELSE 'first_difference' END)
+ORACLES["stationarity_table"] = f"""WITH {ADF} SELECT series, verdict, CASE verdict WHEN 'stationary' THEN 'none' WHEN 'trend_stationary' THEN 'detrend' WHEN 'unit_root' THEN 'first_difference' WHEN 'difference_stationary' THEN 'first_difference' END
   || CASE WHEN verdict <> 'stationary' AND min(y) > 0 AND stddev_samp(y) / avg(y) > 0.5 THEN ' + log_transform' ELSE '' END AS transform
   FROM joint JOIN sized USING (series) GROUP BY series, verdict"""
-ORACLES["recommend_transform"] = f"""WITH {FILLED} SELECT series, 'unit_root' AS verdict, 'first_difference' ||
-  CASE WHEN min(y) > 0 AND stddev_samp(y) / avg(y) > 0.5 THEN ' + log_transform' ELSE '' END AS transform FROM series WHERE series IN ('value', 'stepped') GROUP BY series"""
+ORACLES["recommend_transform"] = ORACLES["stationarity_table"]
 
 # autocorrelation: lag products, then Levinson-Durbin as a recursive query over lists
 ACF = "RECURSIVE " + FILLED + """,
@@ -394,20 +396,23 @@ g AS (SELECT a.series, CAST(k.lag AS BIGINT) AS lag, any_value(a.n) AS n, sum(a.
 acf AS (SELECT series, lag, n, g / max(CASE WHEN lag = 0 THEN g END) OVER (PARTITION BY series) AS acf FROM g),
 adj AS (SELECT series, list(acf * n / (n - lag) ORDER BY lag) AS r FROM acf GROUP BY series),
 lev AS (
-  SELECT series, 1 AS k, r, [r[2]] AS phi FROM adj
+  SELECT series, 1 AS k, r, [r[2]] AS phi FROM adj WHERE abs(r[2]) <= 1
   UNION ALL
   SELECT series, k + 1, r, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - p * phi[k + 1 - j]), p) FROM (
-    SELECT *, (r[k + 2] - list_dot_product(phi, list_reverse(r[2:k + 1]))) / (1 - list_dot_product(phi, r[2:k + 1])) AS p FROM lev WHERE k + 1 < len(r))),
-pacf AS (SELECT series, CAST(0 AS BIGINT) AS lag, CAST(1 AS DOUBLE) AS pacf FROM adj UNION ALL SELECT series, k, phi[k] FROM lev),
+    SELECT *, (r[k + 2] - list_dot_product(phi, list_reverse(r[2:k + 1]))) / (1 - list_dot_product(phi, r[2:k + 1])) AS p FROM lev WHERE k + 1 < len(r)
+      AND 1 - list_dot_product(phi, r[2:k + 1]) > 1e-9 * (1 + list_dot_product(list_transform(phi, lambda x: abs(x)), list_transform(r[2:k + 1], lambda x: abs(x))))) WHERE abs(p) <= 1),
+-- from the lag on that has no partial value, there is none
+pacf AS (SELECT series, a.lag, CASE WHEN a.lag = 0 THEN 1.0 ELSE phi[k] END AS pacf FROM acf a LEFT JOIN lev USING (series) WHERE a.lag = 0 AND coalesce(k, 1) = 1 OR k = a.lag
+  UNION ALL SELECT series, lag, NULL FROM acf a WHERE lag > 0 AND NOT EXISTS (SELECT 1 FROM lev WHERE lev.series = a.series AND lev.k = a.lag)),
 both_ AS (SELECT series, lag, acf, pacf, 1.96 / sqrt(n) AS band, abs(round(acf, 4)) > 1.96 / sqrt(n) AS acf_significant,
   abs(round(pacf, 4)) > 1.96 / sqrt(n) AS pacf_significant FROM acf JOIN pacf USING (series, lag))"""
 ORACLES["acf"] = f"WITH {ACF} SELECT series, lag, {rnd('acf')} AS acf FROM acf"
-ORACLES["pacf"] = f"WITH {ACF} SELECT series, lag, {rnd('pacf')} AS pacf FROM pacf WHERE series <> 'cycle'"
-ORACLES["correlogram"] = f"WITH {ACF} SELECT series, lag, {rnd('acf')} AS acf, {rnd('pacf')} AS pacf, {rnd('band')} AS band, acf_significant, pacf_significant FROM both_ WHERE series <> 'cycle'"
+ORACLES["pacf"] = f"WITH {ACF} SELECT series, lag, {rnd('pacf')} AS pacf FROM pacf"
+ORACLES["correlogram"] = f"WITH {ACF} SELECT series, lag, {rnd('acf')} AS acf, {rnd('pacf')} AS pacf, {rnd('band')} AS band, acf_significant, pacf_significant FROM both_"
 ORACLES["significant_lags"] = f"WITH {ACF} SELECT series, lag, {rnd('acf')} AS acf FROM both_ WHERE lag IN (1, 7, 14, 30) AND acf_significant"
 ORACLES["arima_order_hint"] = f"""WITH {ACF}, runs AS (SELECT series,
-  coalesce(min(CASE WHEN NOT pacf_significant THEN lag END) - 1, max(lag)) AS p, coalesce(min(CASE WHEN NOT acf_significant THEN lag END) - 1, max(lag)) AS q
-  FROM both_ WHERE lag >= 1 AND series <> 'cycle' GROUP BY series) SELECT series, p, q, printf('(%d, d, %d)', p, q) AS hint FROM runs"""
+  coalesce(min(CASE WHEN NOT coalesce(pacf_significant, false) THEN lag END) - 1, max(lag)) AS p, coalesce(min(CASE WHEN NOT acf_significant THEN lag END) - 1, max(lag)) AS q
+  FROM both_ WHERE lag >= 1 GROUP BY series) SELECT series, p, q, printf('(%d, d, %d)', p, q) AS hint FROM runs"""
 ORACLES["confidence_band"] = f"WITH {GAPPY} " + union([f"SELECT '{c}' AS series, count(*) AS n, {rnd('1.96 / sqrt(count(*))')} AS band FROM gappy" for c in SERIES])
 ORACLES["lag_pairs"] = f"""WITH {FILLED}, pairs AS (SELECT series, pos, lag(y) OVER (PARTITION BY series ORDER BY pos) AS x, y FROM series WHERE series IN ('value', 'user_id'))
 SELECT series, pos, {rnd('x', 4)} AS y_lag1, {rnd('y', 4)} AS y FROM pairs WHERE pos > 0"""
@@ -458,7 +463,7 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY mean DESC, cat) AS d, row_numbe
 SELECT 'top' AS side, d AS place, cat, round(mean, 4) AS mean, n FROM ranked WHERE d <= 5
 UNION ALL SELECT 'bottom', u, cat, round(mean, 4), n FROM ranked WHERE u <= 5"""
 ORACLES["segment_mean_bars"] = "SELECT c_mktsegment AS cat, round(avg(c_acctbal), 4) AS mean, count(c_acctbal) AS n FROM customer GROUP BY 1"
-ORACLES["kpis"] = f"""WITH {FLAWED} SELECT count(*) AS rows, CAST(9 AS BIGINT) AS columns, CAST(2 AS BIGINT) AS trends,
+ORACLES["kpis"] = f"""WITH {FLAWED}, {STATS} SELECT count(*) AS rows, CAST(9 AS BIGINT) AS columns, (SELECT count(*) FROM trends) AS trends,
   round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty))) / count(*), 6) AS duplicate_pct,
   strftime(min(ts), '%b %Y') AS first_month, strftime(max(ts), '%b %Y') AS last_month FROM dirty"""
 
@@ -468,11 +473,19 @@ ORACLES["preview"] = "SELECT * FROM events LIMIT 20"
 ORACLES["stage_status"] = union(
     [f"SELECT '{s}' AS stage, true AS ok, CAST(NULL AS VARCHAR) AS error" for s in ("profile", "quality", "exploration", "relationships", "causality", "segments", "key figures", "findings")]
 )
+_EVENT_ACTIONS = f"""WITH {ADF}{STATS[len(FILLED):]},
+kinds AS (SELECT j.series, spreads.o, CASE verdict WHEN 'trend_stationary' THEN 'detrend' WHEN 'unit_root' THEN 'difference' WHEN 'difference_stationary' THEN 'difference' END AS kind FROM joint j JOIN spreads USING (series)),
+placed_kinds AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o) AS r FROM kinds WHERE kind IS NOT NULL),
+listed AS (SELECT string_agg(series, ', ' ORDER BY o) FILTER (kind = 'difference') AS d, string_agg(series, ', ' ORDER BY o) FILTER (kind = 'detrend') AS t FROM placed_kinds WHERE r <= 2),
+falling AS (SELECT arg_min(series, ordinal) AS f FROM trends WHERE direction = 'downward'),
+rest AS (SELECT CASE WHEN f IS NOT NULL THEN 'Find what makes ' || f || ' fall' ELSE 'Run the report again on newer rows' END AS action FROM falling)
+SELECT 'events' AS source, coalesce(nullif(concat_ws('; ', 'Model changes of ' || d || ', not levels', 'Take the trend out of ' || t || ' before modelling'), ''), action) AS action FROM listed, rest
+UNION ALL SELECT 'events at rest', action FROM rest"""
 ORACLES["recommended_action"] = f"""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS y FROM orders),
 fit AS (SELECT count(*) AS n, regr_slope(y, pos) AS slope, regr_r2(y, pos) AS r2, arg_min(y, pos) AS a, arg_max(y, pos) AS b FROM o),
 judged AS (SELECT *, sign(slope) * sqrt(r2) * sqrt((n - 2) / (1 - r2)) AS t FROM fit)
-SELECT CASE WHEN (b - a) / abs(a) * 100 < -10 AND {t_tail('t', 'n - 2')} < 0.05 THEN 'Find what makes o_totalprice fall'
-  ELSE 'Run the report again on newer rows' END AS action FROM judged"""
+SELECT 'orders' AS source, CASE WHEN (b - a) / abs(a) * 100 < -10 AND {t_tail('t', 'n - 2')} < 0.05 THEN 'Find what makes o_totalprice fall'
+  ELSE 'Run the report again on newer rows' END AS action FROM judged UNION ALL SELECT * FROM ({_EVENT_ACTIONS})"""
 ORACLES["business_findings"] = """WITH size AS (SELECT count(*) AS n FROM customer),
 copies AS (SELECT (SELECT n FROM size) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS d),
 link AS (SELECT round(corr(c_nationkey, c_acctbal), 3) AS r FROM customer),

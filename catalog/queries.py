@@ -24,8 +24,6 @@ LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
 DIRTY_TEXT = ["event_type", "props"]
 EIGHT_MEASURES = ["l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 SERIES = ["user_id", "value", "cycle", "stepped"]
-# without the exactly periodic one, whose partial autocorrelations are a division by rounding error
-REAL_SERIES = ("user_id", "value", "stepped")
 
 
 def query(build: Query) -> Query:
@@ -437,30 +435,30 @@ def calendar_box_stats(spark, folder):
 
 @query
 def adf_test(spark, folder):
-    return tidy(stationarity.adf_test(event_sequence(spark, folder, REAL_SERIES)), 4)
+    return tidy(stationarity.adf_test(event_sequence(spark, folder)), 4)
 
 
 @query
 def kpss_test(spark, folder):
-    return tidy(stationarity.kpss_test(event_sequence(spark, folder, REAL_SERIES)), 5)
+    return tidy(stationarity.kpss_test(event_sequence(spark, folder)), 5)
 
 
 @query
 def joint_verdict(spark, folder):
-    seq = event_sequence(spark, folder, REAL_SERIES)
+    seq = event_sequence(spark, folder)
     sums = stationarity.sequence_sums(seq)
     return stationarity.joint_verdict(stationarity.adf_test(seq, sums=sums), stationarity.kpss_test(seq, sums=sums))
 
 
 @query
 def stationarity_table(spark, folder):
-    return stationarity.stationarity_table(event_sequence(spark, folder, REAL_SERIES))
+    return stationarity.stationarity_table(event_sequence(spark, folder))
 
 
 @query
 def recommend_transform(spark, folder):
-    seq = event_sequence(spark, folder, ("value", "stepped"))
-    verdicts = seq.raw().groupBy("series").agg(F.when(F.avg("y") > 0, "unit_root").alias("verdict"))
+    seq = event_sequence(spark, folder)
+    verdicts = stationarity.joint_verdict(stationarity.adf_test(seq), stationarity.kpss_test(seq)).select("series", "verdict")
     return stationarity.recommend_transform(seq, verdicts)
 
 
@@ -471,7 +469,7 @@ def acf(spark, folder):
 
 @query
 def pacf(spark, folder):
-    return tidy(ac.pacf(event_sequence(spark, folder, REAL_SERIES)))
+    return tidy(ac.pacf(event_sequence(spark, folder)))
 
 
 @query
@@ -491,12 +489,12 @@ def significant_lags(spark, folder):
 
 @query
 def arima_order_hint(spark, folder):
-    return tidy(ac.arima_order_hint(event_sequence(spark, folder, REAL_SERIES)))
+    return tidy(ac.arima_order_hint(event_sequence(spark, folder)))
 
 
 @query
 def correlogram(spark, folder):
-    return tidy(ac.correlogram(event_sequence(spark, folder, REAL_SERIES)))
+    return tidy(ac.correlogram(event_sequence(spark, folder)))
 
 
 # --- panels ------------------------------------------------------------------------------------------------
@@ -566,7 +564,8 @@ def segment_mean_bars(spark, folder):
 @query
 def kpis(spark, folder):
     df = dirty_events(spark, folder)
-    return tidy(report.kpis(df, F.col("ts"), 2, quality.duplicate_rows(df)))
+    trends = trend.trend_table(event_sequence(spark, folder)).count()
+    return tidy(report.kpis(df, F.col("ts"), trends, quality.duplicate_rows(df)))
 
 
 @query
@@ -594,12 +593,18 @@ def business_findings(spark, folder):
 
 @query
 def recommended_action(spark, folder):
-    orders = table(spark, folder, "orders")
+    """The next step for the orders, for the events, and for the events without their series that move."""
+    orders, events = table(spark, folder, "orders"), gappy_events(spark, folder)
     p = profile.build_profile(orders)
     warnings = causal.correlation_warnings(orders, profile=p)
-    seq = order_sequence(spark, folder)
-    tables = {"correlation_warnings": warnings, "trend_table": stored(trend.trend_table(seq), "trend")}
-    return report.recommended_action(p, spark, tables)
+    found = {"orders": report.recommended_action(p, spark, {"correlation_warnings": warnings, "trend_table": stored(trend.trend_table(order_sequence(spark, folder)), "trend")})}
+    p, seq = profile.build_profile(events), event_sequence(spark, folder)
+    tables = {"stationarity_table": stored(stationarity.stationarity_table(seq), "stationarity"), "trend_table": stored(trend.trend_table(seq), "trend")}
+    found["events"] = report.recommended_action(p, spark, tables)
+    tables["stationarity_table"] = tables["stationarity_table"].where("verdict = 'stationary'")
+    found["events at rest"] = report.recommended_action(p, spark, tables)
+    named = [action.select(F.lit(name).alias("source"), "action") for name, action in found.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query

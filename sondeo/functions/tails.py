@@ -108,15 +108,16 @@ SINGULAR = 1e-9
 def partial_autocorrelations(r: list[float]) -> list[float]:
     """Levinson-Durbin on autocorrelations r[0..k] (r[0] = 1): the last coefficient of every order.
 
-    From the order on at which the values before explain the series completely, there is none: NaN.
+    From the order on at which the values before explain the series completely, or at which these r, whose denominators
+    differ, are those of no series (a coefficient beyond 1), there is none: NaN.
     """
     out, phi = [1.0], np.empty(0)
     for k in range(1, len(r)):
         past = np.asarray(r[1:k])
         rest = 1.0 - phi @ past
-        if abs(rest) <= SINGULAR * (1.0 + np.abs(phi) @ np.abs(past)):
+        last = (r[k] - phi @ past[::-1]) / rest if rest > SINGULAR * (1.0 + np.abs(phi) @ np.abs(past)) else math.nan
+        if not abs(last) <= 1.0:
             return out + [math.nan] * (len(r) - k)
-        last = (r[k] - phi @ past[::-1]) / rest
         phi = np.append(phi - last * phi[::-1], last)
         out.append(float(last))
     return out

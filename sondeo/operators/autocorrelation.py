@@ -50,7 +50,7 @@ def acf(seq: Sequence, columns: Seq[str] | None = None, max_lags: int = MAX_LAGS
 
 
 def acf_and_pacf(seq: Sequence, columns: Seq[str] | None = None, max_lags: int = MAX_LAGS) -> DataFrame:
-    """(series, lag, acf, pacf). The partial values follow Yule-Walker with n - k denominators.
+    """(series, lag, acf, pacf). The partial values follow Yule-Walker with n - k denominators; NULL from the lag on that has none.
 
     The recursion runs over at most ``max_lags`` + 1 numbers per series; the data pass is the lag sums.
     """

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondeo.functions.tails import level_p, unit_root_p
+from sondeo.functions.tails import SINGULAR, level_p, unit_root_p
 from sondeo.plans.sequence import Sequence, block_of, in_block, lag_products
 
 # Minimum length, significance, spread that suggests a log.
@@ -137,7 +137,11 @@ def _gram(q: _Moments, m: int) -> np.ndarray:
 
 def _adf_statistic(q: _Moments, m: int) -> tuple[float, int]:
     """Lag count by AIC on the common sample, then the statistic on the chosen lag's own sample."""
-    factor = np.linalg.cholesky(_gram(q, m))
+    whole = _gram(q, m)
+    factor = np.linalg.cholesky(whole)
+    # what a regressor adds to those before it is rounding error: the series explains itself
+    if np.min(np.diag(factor)[:-1] ** 2 / np.diag(whole)[:-1]) <= SINGULAR:
+        raise np.linalg.LinAlgError("singular")
     rows = q.n - 1 - m
     explained = np.cumsum(factor[-1, :-1] ** 2)
     total = explained[-1] + factor[-1, -1] ** 2
