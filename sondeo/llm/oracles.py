@@ -74,11 +74,14 @@ WITH cut AS (
 ), {",".join(parts)}, named AS (
   SELECT host, shape, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template, n, labelled, blocked FROM level4
 ), pure AS (
-  SELECT host, template, (sum(blocked) + 4 * coalesce((SELECT sum(blocked) / nullif(sum(labelled), 0) FROM paths), 0)) / (sum(labelled) + 4.0) AS purity, sum(labelled) >= 0.95 * sum(n) AS covered
+  SELECT host, template, sum(labelled) + CAST(4 AS DOUBLE) AS m,
+    (sum(blocked) + 4 * coalesce((SELECT sum(blocked) / nullif(sum(labelled), 0) FROM paths), 0)) / (sum(labelled) + CAST(4 AS DOUBLE)) AS purity
   FROM named GROUP BY host, template
+), bounded AS (
+  SELECT *, (purity + z * z / (2 * m) - z * sqrt(purity * (1 - purity) / m + z * z / (4 * m * m))) / (1 + z * z / m) AS least FROM pure, (SELECT CAST(2.576 AS DOUBLE) AS z)
 )
-SELECT page_id, host, path, rule, template, CASE WHEN ruled IS NOT NULL THEN ruled WHEN purity >= 0.8 AND covered THEN 'block' ELSE 'allow' END AS verdict
-FROM decided JOIN named USING (host, shape) JOIN pure USING (host, template)
+SELECT page_id, host, path, rule, template, CASE WHEN ruled IS NOT NULL THEN ruled WHEN least >= 0.8 THEN 'block' ELSE 'allow' END AS verdict
+FROM decided JOIN named USING (host, shape) JOIN bounded USING (host, template)
 """
 
 

@@ -31,6 +31,8 @@ ERRORS = 2.576
 # Weight of the overall share of blocked labels in the purity of a template, and the lower bound of purity that rejects it.
 SMOOTHING = 4.0
 REJECT = 0.8
+# A host and shape with over one in this many pages is frequent; there are at most so many, and they are broadcast.
+FREQUENT = 1024
 # Page labels up to which they are broadcast.
 BROADCAST_LABELS = 1_000_000
 
@@ -111,7 +113,8 @@ def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str =
 
     A null url, or one without ``://``, has an empty host and path and belongs to the root template of the empty host.
     A template of which no page is labelled has the overall share of blocked labels as purity (0 without any label).
-    Rows that repeat count as often as they stand; ids may be null or repeat.
+    Rows that repeat count as often as they stand; ids may be null or repeat. An empty table gives no rows. Segments after
+    the first ``levels`` of a very long path are one ``**``.
     """
     host, path = host_and_path(column(pages, url_column))
     rule, verdict = fitting_rule(rules)
@@ -122,11 +125,15 @@ def judged(pages: DataFrame, rules=RULES, levels: int = LEVELS, id_column: str =
     paths = shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(flag).alias("labelled"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"))
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
     table = stored(templates(stored(paths.withColumn("segments", segments), "url-paths"), levels), "url-templates")
-    total = table.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
+    total = table.agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).first()
     overall = total["blocked"] / total["labelled"] if total["labelled"] else 0.0
     purity = (F.col("blocked") + F.lit(SMOOTHING * overall)) / (F.col("labelled") + F.lit(SMOOTHING))
     sums = table.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked"))).withColumn("purity", purity)
     bad = least_purity(F.col("purity"), F.col("labelled") + F.lit(SMOOTHING)) >= REJECT
-    known = table.select("host", "template", "shape").join(sums.select("host", "template", "purity", bad.alias("bad")), ["host", "template"])
-    out = shaped.join(known, ["host", "shape"], "left")
+    known = table.select("host", "template", "shape", "n").join(sums.select("host", "template", "purity", bad.alias("bad")), ["host", "template"])
+    known = stored(known, "url-verdicts")
+    frequent = F.broadcast(known.filter(F.col("n") * FREQUENT > total["n"]).drop("n")) if total["n"] else known.limit(0).drop("n")
+    # the pages of a front page, or without a host, stay where they are; only the others are shuffled
+    rest = shaped.join(frequent.select("host", "shape"), ["host", "shape"], "left_anti").join(known.drop("n"), ["host", "shape"])
+    out = shaped.join(frequent, ["host", "shape"]).unionByName(rest)
     return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

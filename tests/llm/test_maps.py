@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sondeo.llm import labelled, license_scan, nb_svm, packing, toxicity, url_filter
+from sondeo.llm.oracles import ORACLES
 from sondeo.llm.queries import QUERIES, tokenizer_path
 
 NOTICES = {n: license_scan.Notice(*n) for n in license_scan.NOTICES}
@@ -115,6 +117,24 @@ def test_url_templates_reject_undecided_pages(spark):
     assert verdict["http://few/es/x1"] == "block" and verdict["http://few/de/x1"] == verdict["http://l/1"] == "allow"
 
 
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 20])
+def test_url_query_equals_its_sql_where_templates_reject(spark, tmp_path, monkeypatch, frequent):
+    monkeypatch.setattr(url_filter, "FREQUENT", frequent)
+    rows = [f"http://{h}/{d}/x{i}" for h in ("h.net", "I.net", "j.net") for d, n in (("es", 40), ("fr", 40), ("de", 5), ("it", 5)) for i in range(n)]
+    rows += [f"http://few.net/{d}/x{i}" for d, n in (("es", 7), ("de", 4)) for i in range(n)] + [f"http://a.com/b{i}" for i in range(30)]
+    rows += [f"http://m.example.com/{d}/p/{i}" for d, n in (("en", 60), ("de", 9)) for i in range(n)] + ["http://org/"] * 50 + [None] * 80 + ["no scheme"] * 9
+    rows += [f"http://deep.net/{d}/a/b/c/d/e{i}" for d in ("es", "pt") for i in range(45)] + ["http://org/" + "z/" * 20_000]
+    pages = spark.createDataFrame([(i if i % 50 else None, u, "h") for i, u in enumerate(rows)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op4_url_filters"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['op4_url_filters']})").fetchall()
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(rows)
+    assert sum(r[3] is None and "block" in r for r in got) >= 20  # templates do reject
+
+
 @pytest.mark.parametrize("few", [0, 1 << 20])
 def test_url_labels_besides_rules(spark, monkeypatch, few):
     monkeypatch.setattr(url_filter, "BROADCAST_LABELS", few)
