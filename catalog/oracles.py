@@ -450,6 +450,14 @@ ORACLES["segment_stats"] = union(
      f"{rnd(f'quantile_cont({m}, 0.5)', 4)} AS median FROM lineitem GROUP BY {g}"
      for g in ("l_returnflag", "l_linestatus") for m in ("l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
 )
+ORACLES["segment_stats_by_customer"] = union(
+    [f"SELECT 'o_custkey' AS cat_col, CAST(o_custkey AS VARCHAR) AS cat, '{m}' AS num_col, {rnd(f'avg({m})')} AS mean, {rnd(f'stddev_samp({m})')} AS std, count({m}) AS n, "
+     f"{rnd(f'quantile_cont({m}, 0.5)')} AS median FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey" for m in ("o_totalprice", "o_orderkey")]
+)
+ORACLES["approximate_quartiles"] = union(
+    [f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS prob, count({c}) AS n, TRUE AS is_value, TRUE AS within_error FROM lineitem"
+     for c in ("l_quantity", "l_extendedprice", "l_tax", "l_orderkey") for p in (0.25, 0.5, 0.75)]
+)
 _SCORES = "cells AS (" + union(
     [f"SELECT '{g}' AS cat_col, '{m}' AS num_col, {i} AS i, {j} AS j, {g} AS cat, avg({m}) AS mean, var_samp({m}) AS v, count({m}) AS n FROM orders GROUP BY {g} HAVING count({m}) >= 2"
      for i, g in enumerate(("o_orderstatus", "o_orderpriority")) for j, m in enumerate(("o_custkey", "o_totalprice"))]

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondeo import sources
+from sondeo.functions.columns import as_double, unpivot
 from sondeo.operators import autocorrelation as ac
 from sondeo.operators import causal, eda, panel, profile, quality, report, seasonality, segments, stationarity, trend
 from sondeo.operators.pipeline import analyze
 from sondeo.plans.panel import Panel, panel_order
+from sondeo.plans.quantiles import ACCURACY
 from sondeo.plans.scratch import scratch_folder, stored
 from sondeo.plans.sequence import Sequence, long_series, time_order, with_lags
 
@@ -530,6 +532,31 @@ def usable_segments(spark, folder):
     return tidy(segments.usable_segments(table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"]))
 
 
+@query
+def segment_stats_by_customer(spark, folder):
+    """A key with as many values as there are customers."""
+    return tidy(segments.segment_stats(table(spark, folder, "orders"), ["o_custkey"], ["o_totalprice", "o_orderkey"]))
+
+
+@query
+def approximate_quartiles(spark, folder):
+    """Quartiles from one scan, each with the check that its rank is off by one in ACCURACY rows at most."""
+    names = ["l_quantity", "l_extendedprice", "l_tax", "l_orderkey"]
+    li = table(spark, folder, "lineitem")
+    answers = eda.describe(li, names, exact=False).select("column", "n", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("prob"), F.col(q).alias("answer")) for p, q in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
+    ])))
+    # four columns by three answers beside every row, as counts only
+    values = unpivot(li.select(*names), {c: as_double(c) for c in names}, name="column", value="v").where("v is not null")
+    ranks = values.join(F.broadcast(answers), "column").groupBy("column", "n", "prob", "answer").agg(
+        F.count_if(F.col("v") < F.col("answer")).alias("below"), F.count_if(F.col("v") <= F.col("answer")).alias("upto")
+    )
+    wanted = F.ceil(F.col("prob") * F.col("n"))
+    off = F.greatest(F.col("below") + 1 - wanted, wanted - F.col("upto"), F.lit(0))
+    is_value, within = F.col("upto") > F.col("below"), off <= F.ceil(F.col("n") / ACCURACY)
+    return ranks.select("column", "prob", "n", is_value.alias("is_value"), within.alias("within_error"))
+
+
 @query
 def segment_stats(spark, folder):
     li = table(spark, folder, "lineitem")

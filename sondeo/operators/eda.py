@@ -16,7 +16,7 @@ from sondeo.functions.columns import (
     variance,
 )
 from sondeo.operators.profile import Profile, distinct_counts, kept_columns
-from sondeo.plans.quantiles import exact_quantiles, group_sizes, order_statistics
+from sondeo.plans.quantiles import group_sizes, order_statistics, quantiles
 from sondeo.plans.ranks import average_ranks, with_ranks
 from sondeo.plans.scratch import stored
 
@@ -67,14 +67,17 @@ def most_skewed(df: DataFrame, columns=None, profile: Profile | None = None, top
     return ranked.orderBy(F.abs("skewness").desc(), "ordinal").limit(top).select("column", "skewness", "kurtosis")
 
 
-def describe(df: DataFrame, columns=None, profile: Profile | None = None) -> DataFrame:
-    """Count, mean, spread, extremes and exact quartiles per numeric column. Runs one counting job."""
+def describe(df: DataFrame, columns=None, profile: Profile | None = None, exact: bool = True) -> DataFrame:
+    """Count, mean, spread, extremes and quartiles per numeric column. Runs one counting job.
+
+    ``exact=False`` takes the quartiles from one scan of bounded summaries, within 1 / 10,000 of the rows in rank.
+    """
     names = _numeric(df, columns, profile)
     moments = univariate(df, names).select("column", "n", "mean", "std", "min", "max")
     if not names:
         return moments.select("*", *[F.lit(None).cast("double").alias(q) for q in ("q25", "q50", "q75")])
     long = unpivot(df, {c: as_double(c) for c in names}).where(F.col("value").isNotNull())
-    quartiles = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+    quartiles = quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], exact)
     named = quartiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
     return moments.join(F.broadcast(named), "column", "left")
 
@@ -259,11 +262,12 @@ def mutual_information(
     held = held.where(reduce(lambda x, y: x & y, [col(c).isNotNull() for c in names]))
     long = unpivot(held, {c: col(c) for c in names})
     sizes = group_sizes(long, ["column"], "value")
-    n = max((s.n for s in sizes.values()), default=0)
+    n = sizes.agg(F.max("_n")).first()[0] or 0
     if n < INFORMATION_MIN_ROWS:
         return empty
     edge_ranks = [-(-j * n // bins) - 1 for j in range(1, bins)]  # the ceil(j*n/bins)-th smallest value
-    found = order_statistics(long, ["column"], "value", {k: sorted(set(edge_ranks)) for k in sizes}, sizes)
+    wanted = sizes.select("column", F.explode(F.array(*[F.lit(r).cast("long") for r in sorted(set(edge_ranks))])).alias("_rank"))
+    found = order_statistics(long, ["column"], "value", wanted, sizes)
     at = {(r["column"], r["_rank"]): r["_value"] for r in found.collect()}  # columns x bins values
 
     def bin_of(name: str, low: int = 0, high: int = bins - 1) -> Column:

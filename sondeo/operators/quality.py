@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sondeo.functions.columns import aggregate_rows, as_double, as_text, col, hashable, kind_of, unpivot
 from sondeo.operators.profile import LONG_TEXT_BYTES, Profile, distinct_counts, kept_columns, missing_shares
-from sondeo.plans.quantiles import exact_quantiles, group_sizes
+from sondeo.plans.quantiles import group_sizes, quantiles
 from sondeo.plans.scratch import stored
 
 # Share of missing that flags a column, cardinality limits, fence width.
@@ -76,24 +76,30 @@ def high_cardinality(df: DataFrame, columns: Sequence[str] | None = None, profil
     return per.crossJoin(F.broadcast(rows)).where(F.col("n_distinct") > limit).select("column", "n_distinct")
 
 
-def quartile_fences(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[int, float, float]]:
+def quartile_fences(df: DataFrame, names: Sequence[str], exact: bool = True) -> dict[str, tuple[int, float, float]]:
     """Non-missing count and 1.5 IQR fences; columns under four values or with no spread are left out."""
     long = unpivot(df, {c: as_double(c) for c in names}).where(F.col("value").isNotNull())
-    sizes = {k: s for k, s in group_sizes(long, ["column"], "value").items() if s.n >= 4}
-    if not sizes:
+    sizes = group_sizes(long, ["column"], "value").where(F.col("_n") >= 4)
+    rows = {r["column"]: r["_n"] for r in sizes.collect()}  # one row per column
+    if not rows:
         return {}
     fences = {}
-    for r in exact_quantiles(long, ["column"], "value", [0.25, 0.75], sizes).collect():  # one row per column
+    for r in quantiles(long.where(F.col("column").isin(*rows)), ["column"], "value", [0.25, 0.75], exact, sizes).collect():
         spread = r["q1"] - r["q0"]
         if spread != 0:
-            fences[r["column"]] = (sizes[(r["column"],)].n, r["q0"] - FENCE * spread, r["q1"] + FENCE * spread)
+            fences[r["column"]] = (rows[r["column"]], r["q0"] - FENCE * spread, r["q1"] + FENCE * spread)
     return fences
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, profile: Profile | None = None, top: int | None = None) -> DataFrame:
-    """Columns with values outside the 1.5 IQR fences, most outliers first. Runs the quartile jobs at once."""
+def iqr_outliers(
+    df: DataFrame, columns: Sequence[str] | None = None, profile: Profile | None = None, top: int | None = None, exact: bool = True
+) -> DataFrame:
+    """Columns with values outside the 1.5 IQR fences, most outliers first. Runs the quartile jobs at once.
+
+    ``exact=False`` takes the quartiles from one scan of bounded summaries, within 1 / 10,000 of the rows in rank.
+    """
     names = list(columns) if columns is not None else kept_columns(df, "numeric", profile)
-    fences = quartile_fences(df, names) if names else {}
+    fences = quartile_fences(df, names, exact) if names else {}
     if not fences:
         return df.sparkSession.createDataFrame(
             [], "column string, n_outliers bigint, pct double, lower_bound double, upper_bound double"

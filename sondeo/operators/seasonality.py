@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.functions.columns import correlation, unpivot
-from sondeo.plans.quantiles import exact_quantiles
+from sondeo.plans.quantiles import quantiles
 from sondeo.plans.sequence import Sequence, with_lags
 
 # Lags in rows, class limits, labels.
@@ -80,11 +80,11 @@ def seasonal_class(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
     return scored.withColumn("seasonal_class", label.otherwise("not_seasonal"))
 
 
-def calendar_box_stats(seq: Sequence, columns: Seq[str] | None = None) -> DataFrame:
+def calendar_box_stats(seq: Sequence, columns: Seq[str] | None = None, exact: bool = True) -> DataFrame:
     """Box statistics by month and by weekday for every seasonal series (or the given ones).
 
     Columns: series, grain, period, label, n, low, q1, median, q3, high, whisker_low, whisker_high. The whisker is
-    the furthest value within 1.5 IQR of the box. Runs the quantile jobs.
+    the furthest value within 1.5 IQR of the box. Runs the quantile jobs; ``exact=False`` answers them from one scan.
     """
     if columns is None:
         found = {r["series"] for r in seasonal_class(seq).where("seasonal_class <> 'not_seasonal'").collect()}
@@ -100,7 +100,7 @@ def calendar_box_stats(seq: Sequence, columns: Seq[str] | None = None) -> DataFr
     ])
     long = seq.raw(columns).where(F.col("y").isNotNull()).select("series", "y", F.inline(cells))
     keys = ["series", "grain", "period"]
-    box = exact_quantiles(long, keys, "y", [0.25, 0.5, 0.75])
+    box = quantiles(long, keys, "y", [0.25, 0.5, 0.75], exact)
     named = box.select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     held = long.join(F.broadcast(named), keys)  # at most 19 boxes per series

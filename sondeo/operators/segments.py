@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sondeo.functions.columns import as_double, as_text, unpivot, variance
 from sondeo.functions.tails import f_p_value
 from sondeo.operators.profile import Profile, distinct_counts, kept_columns, screen_distinct
-from sondeo.plans.quantiles import exact_quantiles
+from sondeo.plans.quantiles import quantiles
 
 # Category limits, list length.
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 20
@@ -63,10 +63,11 @@ def segment_moments(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> D
     return wide.select("cat_col", "cat", F.inline("_m"))
 
 
-def segment_stats(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> DataFrame:
+def segment_stats(df: DataFrame, groupings: Seq[str], measures: Seq[str], exact: bool = True) -> DataFrame:
     """(cat_col, cat, num_col, mean, std, n, median) of every measure per category value.
 
-    Runs the quantile jobs; ``groupings`` come from ``usable_segments``, so the cells are few.
+    Runs the quantile jobs. ``groupings`` usually come from ``usable_segments``, but may be keys of any number of values.
+    ``exact=False`` takes the medians from one scan of bounded summaries, within 1 / 10,000 of a segment's rows in rank.
     """
     measures = list(measures)
     if not groupings or not measures:
@@ -79,8 +80,8 @@ def segment_stats(df: DataFrame, groupings: Seq[str], measures: Seq[str]) -> Dat
         long, {c: F.col(f"m{i}") for i, c in enumerate(measures)}, {"cat_col": F.col("cat_col"), "cat": F.col("cat")}, "num_col", "y"
     )
     keys = ["cat_col", "cat", "num_col"]
-    medians = exact_quantiles(values, keys, "y", [0.5]).select(*keys, F.col("q0").alias("median"))
-    return moments.join(F.broadcast(medians), keys, "left").select(*keys, "mean", "std", "n", "median")
+    medians = quantiles(values, keys, "y", [0.5], exact).select(*keys, F.col("q0").alias("median"))
+    return moments.join(medians, keys, "left").select(*keys, "mean", "std", "n", "median")
 
 
 def anova(df: DataFrame, groupings: Seq[str], measures: Seq[str], moments: DataFrame | None = None) -> DataFrame:

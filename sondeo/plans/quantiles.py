@@ -1,54 +1,39 @@
-"""Exact order statistics of very large columns without sorting them or holding one in a task.
+"""Order statistics of very large columns without sorting them or holding one in a task.
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here a large group is narrowed first: a
 counting scan puts its values into a fixed number of bins, a running count over the bins tells which bin holds
 each wanted rank and how many values lie below it, and the bin's own smallest and largest value bound the next
 scan. When a bin holds few enough rows, only those are counted value by value. Every bound and count is exact;
 shuffles carry bin counts and bin contents, never the column.
+
+Sizes, wanted ranks and brackets are tables joined by the group keys, so groups may be as many as the rows. A bracket is
+known by its keys and the number of values below it. Groups are never null: rows with a null key are left out.
+
+``approximate_quantiles`` answers from one scan, with a stated error in rank.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.functions.columns import col
+from sondeo.plans.scratch import stored
 
 # Rows of one bracket that are counted value by value, inside one window task.
 BRACKET_ROWS = 1 << 17
 BINS = 4096
-MAX_ROUNDS = 60
 # A round that keeps over half of the rows is followed by one with bins over this many decades.
 LOG_DECADES = 1e12
-# Groups are report cells (columns, segments, calendar periods); their number must not grow with the rows.
-MAX_GROUPS = 100_000
-
-
-@dataclass
-class GroupSize:
-    n: int
-    low: float  # finite extremes
-    high: float
-
-
-@dataclass
-class _Bracket:
-    key: tuple
-    ranks: list[int]
-    rows: int
-    low: float
-    high: float
-    below: int = 0
-    log_bins: bool = False
-    narrowed: bool = False
+# Brackets up to which their table is broadcast: about a hundred bytes each.
+BROADCAST_BRACKETS = 100_000
+# An approximate quantile is a value whose rank is off by at most one in this many rows of its group.
+ACCURACY = 10_000
 
-    @property
-    def bounds(self) -> tuple[float, float]:
-        return (self.low, self.high) if self.narrowed else (-math.inf, math.inf)
+BRACKET = ["_n", "_below", "_low", "_high", "_from", "_to", "_log", "_narrowed"]
 
 
 def rank_positions(n: int, probs: Sequence[float]) -> list[tuple[float, int, float]]:
@@ -61,118 +46,146 @@ def rank_positions(n: int, probs: Sequence[float]) -> list[tuple[float, int, flo
     return out
 
 
-def group_sizes(long: DataFrame, keys: Sequence[str], value: str) -> dict[tuple, GroupSize]:
+def group_sizes(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _n, _low, _high): rows and finite extremes of each group, stored."""
     v = col(value).cast("double")
     finite = F.when(F.abs(v) < math.inf, v)
-    rows = (
-        long.where(v.isNotNull()).groupBy(*[col(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_low"), F.max(finite).alias("_high"))
-        .limit(MAX_GROUPS + 1).collect()
+    sizes = long.where(v.isNotNull()).groupBy(*[col(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.min(finite), F.lit(0.0)).alias("_low"),
+        F.coalesce(F.max(finite), F.lit(0.0)).alias("_high"),
     )
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to rank; group on bounded keys")
-    return {tuple(r[k] for k in keys): GroupSize(r["_n"], r["_low"] or 0.0, r["_high"] or 0.0) for r in rows}
+    return stored(sizes, "sizes")
 
 
 def exact_quantiles(
     long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-    sizes: dict[tuple, GroupSize] | None = None, bracket_rows: int = BRACKET_ROWS,
+    sizes: DataFrame | None = None, bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """(keys, q0, q1, ...): linearly interpolated quantiles of each group, one column per prob.
 
-    Runs one counting job, and one more per narrowing round for groups above ``bracket_rows``.
+    Runs one counting job, and one more per narrowing round while groups lie above ``bracket_rows``.
     """
-    spark = long.sparkSession
     sizes = group_sizes(long, keys, value) if sizes is None else sizes
-    wanted, parts = {}, []
-    for key, size in sizes.items():
-        last = size.n - 1
-        places = rank_positions(size.n, probs)
-        wanted[key] = sorted({r for _, base, _ in places for r in (base, min(base + 1, last))})
-        for i, (_, base, share) in enumerate(places):
-            parts.append((*key, i, base, 1.0 - share))
-            if share > 0:
-                parts.append((*key, i, min(base + 1, last), share))
-    weights = spark.createDataFrame(parts, f"{_key_ddl(long, keys)}, _q int, _rank bigint, _weight double")
-    values = order_statistics(long, keys, value, wanted, sizes, bracket_rows)
-    # both sides hold a few rows per group
-    found = weights.join(F.broadcast(values), [*keys, "_rank"]).groupBy(*keys)
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)]))
+    place = (F.col("_n") - 1) * F.col("_asked._p")
+    placed = sizes.select(*keys, "_n", asked.alias("_asked")).select(*keys, "_n", "_asked._q", place.alias("_place"))
+    placed = placed.withColumn("_base", F.least(F.floor("_place"), F.col("_n") - 1))
+    share = F.col("_place") - F.col("_base")
+    pair = F.array(
+        F.struct(F.col("_base").alias("_rank"), (1.0 - share).alias("_weight")),
+        F.struct(F.least(F.col("_base") + 1, F.col("_n") - 1).alias("_rank"), share.alias("_weight")),
+    )
+    # a weight of zero must not meet an infinite value
+    weights = placed.select(*keys, "_q", F.inline(pair)).where("_weight > 0")
+    values = order_statistics(long, keys, value, weights.select(*keys, "_rank").distinct(), sizes, bracket_rows)
+    found = weights.join(values, [*keys, "_rank"]).groupBy(*keys)
     part = F.col("_weight") * F.col("_value")
     return found.agg(*[F.sum(F.when(F.col("_q") == i, part)).alias(f"q{i}") for i in range(len(probs))])
 
 
+def approximate_quantiles(
+    long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """(keys, q0, q1, ...): values of each group whose rank is within rows / ``accuracy`` of the wanted one.
+
+    One scan: mergeable summaries of a bounded size are built before the shuffle, so a large group is split. The answers
+    are values of the group, not interpolated; a group below ``accuracy`` rows gets its exact lower order statistic.
+    """
+    v = col(value).cast("double")
+    keyed = long.where(v.isNotNull() & _keyed(keys)).groupBy(*[col(k) for k in keys])
+    summary = keyed.agg(F.percentile_approx(v, [float(p) for p in probs], accuracy).alias("_q"))
+    return summary.select(*keys, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+
+def quantiles(
+    long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], exact: bool = True, sizes: DataFrame | None = None
+) -> DataFrame:
+    """(keys, q0, q1, ...), exact and interpolated or from one scan within ``ACCURACY``."""
+    if exact:
+        return exact_quantiles(long, keys, value, probs, sizes)
+    return approximate_quantiles(long, keys, value, probs)
+
+
 def order_statistics(
-    long: DataFrame, keys: Sequence[str], value: str, ranks: dict[tuple, list[int]],
-    sizes: dict[tuple, GroupSize], bracket_rows: int = BRACKET_ROWS,
+    long: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, sizes: DataFrame, bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
-    """(keys, _rank, _value): the values at the given 0-based ranks of each group's ascending order."""
+    """(keys, _rank, _value): the values at the 0-based ``ranks`` (keys, _rank; distinct) of each group's ascending order.
+
+    Narrowing always ends: bins of equal width part the smallest from the largest value of a bracket, so each such round
+    leaves less than 1 / 2048 of its width, and no two rounds in a row use other bins.
+    """
     v = (col(value).cast("double") + 0.0).alias("_v")
     long = long.where(col(value).isNotNull()).select(*[col(k) for k in keys], v)
-    brackets = [_Bracket(key, ranks[key], s.n, s.low, s.high) for key, s in sizes.items()]
-    for _ in range(MAX_ROUNDS):
-        large = [b for b in brackets if b.rows > bracket_rows and not (b.narrowed and b.low == b.high)]
-        if not large:
-            break
-        brackets = [b for b in brackets if b not in large] + _narrow(long, keys, large)
-    return _pick(long, keys, brackets)
+    no = F.lit(False)
+    brackets = sizes.select(
+        *keys, "_n", F.lit(0).cast("long").alias("_below"), "_low", "_high",
+        F.lit(-math.inf).alias("_from"), F.lit(math.inf).alias("_to"), no.alias("_log"), no.alias("_narrowed"),
+    ).where(_keyed(keys))
+    ended = F.col("_narrowed") & (F.col("_low") == F.col("_high"))
+    wide = (F.col("_n") > bracket_rows) & ~ended
+    while True:
+        count = brackets.agg(F.count(F.lit(1)).alias("all"), F.count_if(wide).alias("wide")).first()
+        if not count["wide"]:
+            return _pick(long, keys, brackets, ranks, ended, count["all"])
+        narrowed = _narrow(long, keys, brackets.where(wide), ranks, count["wide"])
+        brackets = stored(brackets.where(~wide).unionByName(narrowed), "brackets")
+
+
+def _keyed(keys: Sequence[str]) -> Column:
+    held = F.lit(True)
+    for k in keys:
+        held = held & col(k).isNotNull()
+    return held
 
 
-def _key_ddl(long: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
+def _beside(table: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(table) if count <= BROADCAST_BRACKETS else table
 
 
-def _inside(long: DataFrame, keys: Sequence[str], brackets: Sequence[_Bracket]) -> DataFrame:
-    """The rows of ``long`` that fall into a bracket, tagged with it. The brackets are driver-built and few."""
-    rows = [(*b.key, i, *b.bounds, b.low, b.high, b.below, b.log_bins) for i, b in enumerate(brackets)]
-    ddl = f"{_key_ddl(long, keys)}, _id int, _from double, _to double, _low double, _high double, _below bigint, _log boolean"
-    frame = long.sparkSession.createDataFrame(rows, ddl)
-    within = F.col("_v").between(F.col("_from"), F.col("_to"))
-    return long.join(F.broadcast(frame), list(keys)).where(within)
+def _inside(long: DataFrame, keys: Sequence[str], brackets: DataFrame, count: int) -> DataFrame:
+    """The rows of ``long`` that fall into a bracket, tagged with it."""
+    return long.join(_beside(brackets, count), list(keys)).where(F.col("_v").between(F.col("_from"), F.col("_to")))
 
 
 def _bin() -> Column:
     """A bin number that never falls as the value rises; values outside the finite bounds get bins of their own."""
     v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
-    place = F.when(high > low, (v - low) / (high - low)).otherwise(0.0)
+    # the width of a bracket may exceed the largest number
+    halved = (v / 2 - low / 2) / (high / 2 - low / 2)
+    place = F.when(high <= low, 0.0).when(high - low < math.inf, (v - low) / (high - low)).otherwise(halved)
     stretched = F.ln(place * LOG_DECADES + 1.0) / math.log(LOG_DECADES + 1.0)
     share = F.when(F.col("_log"), stretched).otherwise(place)
     inner = F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
     return F.when(v < low, -1).when(v > high, BINS).otherwise(inner)
 
 
-def _hits(ranks: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+def _hits(ranks: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counted runs (``_upto`` values up to and including this one) that contain a wanted rank."""
     start = F.col("_upto") - F.col("_n")
-    return counted.join(F.broadcast(ranks), on).where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_upto")))
+    return counted.join(ranks, list(keys)).where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_upto")))
 
 
-def _narrow(long: DataFrame, keys: Sequence[str], brackets: list[_Bracket]) -> list[_Bracket]:
-    binned = _inside(long, keys, brackets).select("_id", "_below", "_v", _bin().alias("_bin"))
-    counts = binned.groupBy("_id", "_below", "_bin").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+def _narrow(long: DataFrame, keys: Sequence[str], brackets: DataFrame, ranks: DataFrame, count: int) -> DataFrame:
+    tag = [*keys, "_below"]
+    kept = brackets.withColumnRenamed("_n", "_all")
+    binned = _inside(long, keys, kept, count).select(*tag, "_all", "_log", "_v", _bin().alias("_bin"))
+    counts = binned.groupBy(*tag, "_all", "_log", "_bin").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
     )
-    running = F.sum("_n").over(Window.partitionBy("_id", "_below").orderBy("_bin"))
+    running = F.sum("_n").over(Window.partitionBy(*tag).orderBy("_bin"))  # at most BINS + 2 rows
     counts = counts.withColumn("_upto", running + F.col("_below"))
-    ranks = long.sparkSession.createDataFrame(
-        [(i, r) for i, b in enumerate(brackets) for r in b.ranks], "_id int, _rank bigint"
+    found = _hits(ranks, counts, keys).select(
+        *keys, "_n", (F.col("_upto") - F.col("_n")).alias("_below"), "_low", "_high", F.col("_low").alias("_from"), F.col("_high").alias("_to"),
+        ((F.col("_n") > F.col("_all") / 2) & ~F.col("_log")).alias("_log"), F.lit(True).alias("_narrowed"),
     )
-    found: dict[tuple, _Bracket] = {}
-    for row in _hits(ranks, counts, ["_id"]).collect():  # one row per wanted rank
-        old = brackets[row["_id"]]
-        new = found.setdefault(
-            (row["_id"], row["_bin"]),
-            _Bracket(old.key, [], row["_n"], row["_min"], row["_max"], row["_upto"] - row["_n"],
-                     log_bins=row["_n"] > old.rows / 2 and not old.log_bins, narrowed=True),
-        )
-        new.ranks.append(row["_rank"])
-    return list(found.values())
-
-
-def _pick(long: DataFrame, keys: Sequence[str], brackets: Sequence[_Bracket]) -> DataFrame:
+    return found.distinct()
+
+
+def _pick(long: DataFrame, keys: Sequence[str], brackets: DataFrame, ranks: DataFrame, ended: Column, count: int) -> DataFrame:
     """Count the bracket contents value by value and read off the wanted ranks."""
-    counted = _inside(long, keys, brackets).groupBy("_id", "_below", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(Window.partitionBy("_id", "_below").orderBy("_v"))
+    tag = [*keys, "_below"]
+    counted = _inside(long, keys, brackets.where(~ended), count).groupBy(*tag, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy(*tag).orderBy("_v"))
     counted = counted.withColumn("_upto", running + F.col("_below"))
-    rows = [(*b.key, i, r) for i, b in enumerate(brackets) for r in b.ranks]
-    ranks = long.sparkSession.createDataFrame(rows, f"{_key_ddl(long, keys)}, _id int, _rank bigint")
-    return _hits(ranks, counted, ["_id"]).select(*keys, "_rank", F.col("_v").alias("_value"))
+    single = brackets.where(ended).select(*tag, F.col("_low").alias("_v"), "_n", (F.col("_below") + F.col("_n")).alias("_upto"))
+    return _hits(ranks, counted.unionByName(single), keys).select(*keys, "_rank", F.col("_v").alias("_value"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sondeo.operators import causal, eda, quality
+from sondeo.operators import causal, eda, quality, segments
 from sondeo.plans import quantiles, ranks
 from sondeo.plans.quantiles import exact_quantiles
 
@@ -160,6 +160,44 @@ def test_quantiles_match_numpy(spark, shape, bracket):
     assert got["other"] == [1.0] * 5
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_quantiles_of_many_groups_and_of_the_widest_values(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "BROADCAST_BRACKETS", few)
+    rng = np.random.default_rng(6)
+    groups = {f"g{i}": rng.normal(size=int(rng.integers(1, 9))) for i in range(400)}
+    tops = np.array([-1.7e308, 1.7e308, 0.0, 4.9e-324, 9.9e-324, -4.9e-324])
+    groups["wide"] = np.concatenate([rng.permutation(np.repeat(tops, 20)), 10.0 ** rng.uniform(-300, 300, 300), [0.5] * 500])
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("g1", None), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.25, 0.5, 1.0]
+    got = {r["k"]: [r[f"q{i}"] for i in range(4)] for r in exact_quantiles(df, ["k"], "v", probs, bracket_rows=8).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        s = np.sort(x)
+        want = [s[b] if w == 0 else s[b] * (1 - w) + s[b + 1] * w for _, b, w in quantiles.rank_positions(len(x), probs)]
+        assert got[k] == pytest.approx(want, rel=1e-12), k
+
+
+def test_approximate_quantiles_keep_their_rank(spark):
+    rng = np.random.default_rng(7)
+    x = {"spread": rng.normal(size=9000), "hot": np.where(rng.random(9000) < 0.4, 5.0, rng.normal(5, 1, 9000)), "one": np.array([2.0]), "inf": np.array([-np.inf, np.inf, 0.0])}
+    rows = [(k, float(v)) for k, values in x.items() for v in values] + [(None, 1.0), ("spread", None), ("gone", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for accuracy in (100, 100_000):
+        got = {r["k"]: r for r in quantiles.approximate_quantiles(df, ["k"], "v", probs, accuracy).collect()}
+        assert set(got) == set(x)
+        for k, values in x.items():
+            for i, p in enumerate(probs):
+                answer, wanted = got[k][f"q{i}"], max(1, int(np.ceil(p * len(values))))
+                assert answer in values
+                assert (values < answer).sum() + 1 - len(values) / accuracy <= wanted <= (values <= answer).sum() + len(values) / accuracy
+    assert quantiles.approximate_quantiles(df.limit(0), ["k"], "v", probs).count() == 0
+    exact, near = (segments.segment_stats(df, ["k"], ["v"], exact=e).orderBy("cat").collect() for e in (True, False))
+    assert [r["n"] for r in exact] == [r["n"] for r in near] and len(near) == 5
+    assert quality.iqr_outliers(df, ["v"], exact=False).first()["n_outliers"] > 0
+
+
 def test_empty_inputs(spark):
     df = spark.createDataFrame([], "a double, b double, s string")
     assert eda.univariate(df).count() in (0, 2)
