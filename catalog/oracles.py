@@ -440,6 +440,37 @@ SELECT o_custkey, 'price' AS "column", lag, {rnd('g / max(CASE WHEN lag = 0 THEN
 ORACLES["panel_rolling_mean"] = f"""WITH {PANEL} SELECT o_custkey, 'price' AS "column", pos, {rnd('y')} AS y,
   {rnd('avg(y) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_mean FROM filled"""
 
+# --- streams -----------------------------------------------------------------------------------------------
+
+# a part's watermark is a day behind the latest time of the parts before it, in milliseconds; a window that ends by then takes no more rows
+STREAM = f"""{FLAWED}, dated AS (SELECT * REPLACE (CASE WHEN event_id % 97 <> 0 THEN ts END AS ts) FROM dirty),
+timed AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) + CASE WHEN event_id % 20 = 0 THEN 259200000000 ELSE 0 END AS arrival FROM dated),
+parted AS (SELECT *, coalesce((arrival - (SELECT min(arrival) FROM timed)) * 4 // ((SELECT max(arrival) - min(arrival) FROM timed) + 1), 0) AS part,
+  us // 86400000000 AS step FROM timed),
+marks AS (SELECT p.part, (SELECT max(us) // 1000 * 1000 - 86400000000 FROM parted e WHERE e.part < p.part) AS mark FROM (SELECT DISTINCT part FROM parted) p),
+judged AS (SELECT e.*, CASE WHEN us IS NULL THEN 'undated' WHEN (step + 1) * 86400000000 <= (SELECT max(us) // 1000 * 1000 - 86400000000 FROM parted) THEN 'closed' ELSE 'open' END AS state,
+  coalesce((step + 1) * 86400000000 <= mark, FALSE) AS late FROM parted e JOIN marks USING (part))"""
+_DAY = "make_timestamp(step * 86400000000)"
+
+
+def _streamed(c: str, numeric: bool) -> str:
+    v = f"CAST({c} AS DOUBLE)"
+    moments = (("mean", f"avg({v})"), ("std", f"stddev_samp({v})"), ("min", f"min({v})"), ("max", f"max({v})"), ("skewness", f"skewness({v})"), ("kurtosis", f"kurtosis({v})"))
+    # moments of a constant column: 0 where the sample is large enough
+    least = {"std": 2, "skewness": 3, "kurtosis": 4}
+    each = ", ".join(
+        (f"CASE WHEN count({c}) >= {least[k]} THEN CASE WHEN min({c}) = max({c}) THEN 0.0 ELSE {rnd(e, 5)} END END" if k in least else rnd(e, 5)) + f' AS "{k}"'
+        for k, e in moments
+    ) if numeric else ", ".join(f'CAST(NULL AS DOUBLE) AS "{k}"' for k, _ in moments)
+    return f"""SELECT {_DAY} AS window_start, '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS missing, {rnd(f"100.0 * (count(*) - count({c})) / count(*)", 5)} AS missing_pct,
+  100.0 * (count(*) - count({c})) / count(*) > 40 AS high_missing, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) <= 1 AS "constant", {each}
+  FROM judged WHERE state = 'closed' AND NOT late GROUP BY step"""
+
+
+ORACLES["stream_profile"] = f"WITH {STREAM} " + union([_streamed(c, c != "event_type") for c in ("value", "event_type", "step", "sparse", "empty")])
+ORACLES["stream_arrivals"] = f"""WITH {STREAM} SELECT {_DAY} AS window_start, state, count(*) AS arrived, CASE WHEN state = 'closed' THEN count(CASE WHEN NOT late THEN 1 END) END AS kept,
+  count(CASE WHEN late THEN 1 END) AS late FROM judged GROUP BY step, state"""
+
 # --- segments ----------------------------------------------------------------------------------------------
 
 ORACLES["usable_segments"] = "SELECT * FROM (" + union(

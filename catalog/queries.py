@@ -18,6 +18,7 @@ from sondeo.plans.panel import Panel, panel_order
 from sondeo.plans.quantiles import ACCURACY
 from sondeo.plans.scratch import scratch_folder, stored
 from sondeo.plans.sequence import Sequence, long_series, time_order, with_lags
+from sondeo.streaming.windows import WindowedProfile, wall_micros
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -524,6 +525,34 @@ def panel_rolling_mean(spark, folder):
     return tidy(panel.panel_rolling_mean(customer_panel(spark, folder), 3), 6)
 
 
+# --- streams -----------------------------------------------------------------------------------------------
+
+
+def streamed_events(spark: SparkSession, folder: str) -> WindowedProfile:
+    """Events arriving in four parts, every 20th three days late and every 97th without a time, each part taken in by its own run."""
+    ident = F.col("event_id")
+    ev = dirty_events(spark, folder).withColumn("ts", F.when(ident % 97 != 0, F.col("ts"))).withColumn("step", F.unix_date(F.col("ts").cast("date")))
+    arrival = wall_micros(F.col("ts")) + F.when(ident % 20 == 0, 3 * 86_400_000_000).otherwise(0)
+    ends = ev.agg(F.min(arrival).alias("first"), F.max(arrival).alias("last")).first()
+    part = F.coalesce(F.floor((arrival - ends["first"]) * 4 / (ends["last"] - ends["first"] + 1)), F.lit(0))
+    home = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    kept = WindowedProfile(home, "ts", ["value", "event_type", "step", "sparse", "empty"], width=86_400, lateness=86_400)
+    for i in range(4):
+        ev.where(part == i).write.mode("append").parquet(f"{home}/source")
+        kept.advance(spark.readStream.schema(ev.schema).parquet(f"{home}/source"))
+    return kept
+
+
+@query
+def stream_profile(spark, folder):
+    return tidy(streamed_events(spark, folder).profile(spark), 5)
+
+
+@query
+def stream_arrivals(spark, folder):
+    return tidy(streamed_events(spark, folder).arrivals(spark))
+
+
 # --- segments ----------------------------------------------------------------------------------------------
 
 
