@@ -440,6 +440,47 @@ SELECT o_custkey, 'price' AS "column", lag, {rnd('g / max(CASE WHEN lag = 0 THEN
 ORACLES["panel_rolling_mean"] = f"""WITH {PANEL} SELECT o_custkey, 'price' AS "column", pos, {rnd('y')} AS y,
   {rnd('avg(y) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_mean FROM filled"""
 
+# --- forecasts ---------------------------------------------------------------------------------------------
+
+
+def _walk(key: str, horizon: int, every: int, first: int, season: int, window: int, train_rows: int | None = None) -> str:
+    """Forecasts from every origin of ``long`` (key, pos, y), each fitted by a scan of its own."""
+    since = f"AND l.pos > origin - {train_rows}" if train_rows else ""
+    return f"""ends AS (SELECT {key}, max(pos) AS last FROM long GROUP BY 1),
+origins AS (SELECT {key}, pos AS origin FROM long JOIN ends USING ({key}) WHERE pos >= {first} AND (pos - {first}) % {every} = 0 AND pos < last),
+known AS (SELECT {key}, origin, arg_max(y, l.pos) FILTER (y IS NOT NULL) AS naive, avg(y) FILTER (l.pos > origin - {window}) AS moving_average FROM origins JOIN long l USING ({key}) WHERE l.pos <= origin GROUP BY 1, 2),
+lines AS (SELECT {key}, origin, regr_slope(y, l.pos) AS slope, regr_intercept(y, l.pos) AS base FROM origins JOIN long l USING ({key}) WHERE l.pos <= origin {since} GROUP BY 1, 2),
+walked AS (SELECT o.{key}, o.origin, a.pos - o.origin AS step, a.pos, a.y AS actual, k.naive, s.y AS seasonal_naive, k.moving_average, base + slope * a.pos AS linear
+  FROM origins o JOIN long a ON a.{key} = o.{key} AND a.pos BETWEEN o.origin + 1 AND o.origin + {horizon} AND a.y IS NOT NULL
+  JOIN known k ON k.{key} = o.{key} AND k.origin = o.origin LEFT JOIN lines f ON f.{key} = o.{key} AND f.origin = o.origin
+  LEFT JOIN long s ON s.{key} = o.{key} AND s.pos = a.pos - {season} * ((a.pos - o.origin + {season} - 1) // {season}))"""
+
+
+_METHODS = ("naive", "seasonal_naive", "moving_average", "linear")
+
+
+def _errors(keys: str) -> str:
+    return union([
+        f"SELECT {keys}, '{m}' AS method, count({m}) AS n, {rnd(f'avg({m} - actual)', 5)} AS bias, {rnd(f'avg(abs({m} - actual))', 5)} AS mae, {rnd(f'sqrt(avg(({m} - actual) ** 2))', 5)} AS rmse, "
+        f"{rnd(f'100 * avg(CASE WHEN actual <> 0 THEN abs({m} - actual) / abs(actual) END)', 5)} AS mape, count(CASE WHEN actual = 0 AND {m} IS NOT NULL THEN 1 END) AS n_zero FROM walked GROUP BY ALL"
+        for m in _METHODS
+    ])
+
+
+def _long(names: tuple) -> str:
+    return f"{GAPPY}, long AS (" + union([f"SELECT '{c}' AS series, pos, {c} AS y FROM placed" for c in names]) + ")"
+
+
+ORACLES["rolling_origin"] = f"WITH {_long(('value', 'cycle', 'stepped'))}, {_walk('series', 10, 100, 14, 7, 7)} {_errors('series, step')}"
+ORACLES["rolling_origin_sliding"] = f"WITH {_long(('value', 'stepped'))}, {_walk('series', 5, 40, 20, 3, 5, 50)} SELECT series, origin, step, pos, " + ", ".join(
+    f"{rnd(c, 5)} AS {c}" for c in ("actual", *_METHODS)) + " FROM walked"
+ORACLES["panel_forecast_errors"] = f"""WITH {PANEL}, long AS (SELECT o_custkey, pos, ln(v) AS y FROM placed), {_walk('o_custkey', 2, 1, 3, 2, 3)} {_errors("o_custkey, 'log_price' AS " + '"column"')}"""
+ORACLES["baseline_forecast"] = f"""WITH {_long(('value', 'cycle', 'stepped'))}, ends AS (SELECT series, max(pos) AS last, arg_max(y, pos) FILTER (y IS NOT NULL) AS naive,
+    regr_slope(y, pos) AS slope, regr_intercept(y, pos) AS base FROM long GROUP BY 1),
+ahead AS (SELECT *, last + step AS pos FROM ends, (SELECT unnest(range(1, 11)) AS step))
+SELECT a.series, step, a.pos, {rnd('naive', 5)} AS naive, {rnd('s.y', 5)} AS seasonal_naive, (SELECT {rnd('avg(y)', 5)} FROM long l WHERE l.series = a.series AND l.pos > last - 7) AS moving_average,
+  {rnd('base + slope * a.pos', 5)} AS linear FROM ahead a LEFT JOIN long s ON s.series = a.series AND s.pos = a.pos - 7 * ((step + 6) // 7)"""
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 # a part's watermark is a day behind the latest time of the parts before it, in milliseconds; a window that ends by then takes no more rows

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from sondeo import sources
 from sondeo.functions.columns import as_double, unpivot
 from sondeo.operators import autocorrelation as ac
-from sondeo.operators import causal, eda, panel, profile, quality, report, seasonality, segments, stationarity, trend
+from sondeo.operators import causal, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, trend
 from sondeo.operators.pipeline import analyze
 from sondeo.plans.panel import Panel, panel_order
 from sondeo.plans.quantiles import ACCURACY
@@ -525,6 +525,38 @@ def panel_rolling_mean(spark, folder):
     return tidy(panel.panel_rolling_mean(customer_panel(spark, folder), 3), 6)
 
 
+# --- forecasts ---------------------------------------------------------------------------------------------
+
+
+@query
+def rolling_origin(spark, folder):
+    """Errors by method and step over origins every 100 rows, fits expanding."""
+    seq = event_sequence(spark, folder, ("value", "cycle", "stepped"))
+    found = forecast.rolling_origin(seq, horizon=10, every=100, first=14, season=7, window=7)
+    return tidy(forecast.forecast_errors(found, ["series", "step"]), 5)
+
+
+@query
+def rolling_origin_sliding(spark, folder):
+    """Every forecast of fits to the last 50 rows."""
+    seq = event_sequence(spark, folder, ("value", "stepped"))
+    return tidy(forecast.rolling_origin(seq, horizon=5, every=40, first=20, season=3, window=5, train_rows=50), 5)
+
+
+@query
+def panel_forecast_errors(spark, folder):
+    """Errors of log prices per customer and method, one and two orders ahead of every order from the fourth."""
+    orders = table(spark, folder, "orders").withColumn("log_price", F.when(F.col("o_orderkey") % 10 != 0, F.ln("o_totalprice")))
+    customers = panel_order(orders, ["o_custkey"], F.col("o_orderdate"), ["log_price"], [F.col("o_orderkey")])
+    found = forecast.rolling_origin(customers, horizon=2, every=1, first=3, season=2, window=3)
+    return tidy(forecast.forecast_errors(found, ["o_custkey", "column"]), 5)
+
+
+@query
+def baseline_forecast(spark, folder):
+    return tidy(forecast.baseline_forecast(event_sequence(spark, folder, ("value", "cycle", "stepped")), 10, 7, 7), 5)
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 
