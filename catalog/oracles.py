@@ -481,6 +481,34 @@ ahead AS (SELECT *, last + step AS pos FROM ends, (SELECT unnest(range(1, 11)) A
 SELECT a.series, step, a.pos, {rnd('naive', 5)} AS naive, {rnd('s.y', 5)} AS seasonal_naive, (SELECT {rnd('avg(y)', 5)} FROM long l WHERE l.series = a.series AND l.pos > last - 7) AS moving_average,
   {rnd('base + slope * a.pos', 5)} AS linear FROM ahead a LEFT JOIN long s ON s.series = a.series AND s.pos = a.pos - 7 * ((step + 6) // 7)"""
 
+# --- drift -------------------------------------------------------------------------------------------------
+
+SHIPPED = """shipped AS (SELECT *, l_extendedprice * CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' THEN 1.2 ELSE 1.0 END AS price, CASE WHEN l_orderkey % 3 = 0 THEN 0.0 ELSE l_discount END AS hot,
+  CAST(1 AS DOUBLE) AS fixed, CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN l_tax END AS past,
+  CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' AND l_linenumber = 1 THEN 'moved' ELSE l_linestatus END AS status, l_shipdate >= TIMESTAMP '1998-06-01' AS late FROM lineitem WHERE l_orderkey % 11 <> 0)"""
+_SHIFT = "CASE WHEN psi >= 0.25 THEN 'large' WHEN psi >= 0.1 THEN 'moderate' WHEN psi IS NOT NULL THEN 'stable' END AS shift"
+# the tail of the distance by the theta form of its distribution
+_TAIL = """1 - sqrt(2 * pi()) / z * list_sum(list_transform(range(1, 400), lambda k: exp(-((2 * k - 1) ** 2) * pi() ** 2 / (8 * z * z))))"""
+ORACLES["numeric_drift"] = f"WITH {SHIPPED}, long AS (" + union(
+    [f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v, late FROM shipped WHERE {c} IS NOT NULL" for c in ("l_quantity", "price", "l_orderkey", "hot", "fixed", "past")]
+) + f"""), steps AS (SELECT "column", count(CASE WHEN NOT late THEN 1 END) OVER up AS a, count(CASE WHEN late THEN 1 END) OVER up AS b, count(CASE WHEN NOT late THEN 1 END) OVER w AS na,
+    count(CASE WHEN late THEN 1 END) OVER w AS nb, late, count(CASE WHEN NOT late THEN 1 END) OVER (PARTITION BY "column" ORDER BY v GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+  FROM long WINDOW up AS (PARTITION BY "column" ORDER BY v), w AS (PARTITION BY "column")),
+largest AS (SELECT "column", any_value(na) AS na, any_value(nb) AS nb, max(abs(a / na - b / nb)) AS d FROM steps GROUP BY 1),
+cells AS (SELECT l."column", k.bin, l.na, l.nb, greatest(count(CASE WHEN NOT late THEN 1 END), 0.5) / greatest(l.na, 5) AS p, greatest(count(late) FILTER (late), 0.5) / greatest(l.nb, 5) AS q
+  FROM largest l CROSS JOIN (SELECT unnest(range(0, 10)) AS bin) k LEFT JOIN steps s ON s."column" = l."column" AND least(9, 10 * below // s.na) = k.bin WHERE l.nb > 0 AND l.na > 0 GROUP BY 1, 2, 3, 4 HAVING count(s.late) > 0),
+indexed AS (SELECT "column", sum((q - p) * ln(q / p)) AS psi FROM cells GROUP BY 1),
+scaled AS (SELECT *, sqrt(na * nb / (na + nb)) AS e FROM largest LEFT JOIN indexed USING ("column")),
+tested AS (SELECT *, CASE WHEN nb > 0 AND na > 0 THEN (e + 0.12 + 0.11 / e) * d END AS z FROM scaled)
+SELECT "column", na AS n_reference, nb AS n_current, CASE WHEN z IS NOT NULL THEN {rnd('d')} END AS ks, CASE WHEN z < 0.2 THEN 1.0 WHEN z IS NOT NULL THEN {rnd(f'least(1.0, greatest(0.0, {_TAIL}))')} END AS p_value,
+  {rnd('psi')} AS psi, {_SHIFT} FROM tested"""
+ORACLES["category_drift"] = f"WITH {SHIPPED}, long AS (" + union([f"SELECT '{c}' AS \"column\", {c} AS v, late FROM shipped WHERE {c} IS NOT NULL" for c in ("l_returnflag", "status")]) + f"""),
+counts AS (SELECT "column", v, count(CASE WHEN NOT late THEN 1 END) AS a, count(CASE WHEN late THEN 1 END) AS b FROM long GROUP BY 1, 2),
+sized AS (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, count(*) OVER w AS k FROM counts WINDOW w AS (PARTITION BY "column")),
+shares AS (SELECT *, greatest(a, 0.5) / greatest(na, k / 2) AS p, greatest(b, 0.5) / greatest(nb, k / 2) AS q FROM sized)
+SELECT "column", CAST(na AS BIGINT) AS n_reference, CAST(nb AS BIGINT) AS n_current, k AS n_categories, {rnd('psi')} AS psi, {rnd('tv')} AS total_variation, {_SHIFT}
+FROM (SELECT "column", na, nb, k, sum((q - p) * ln(q / p)) AS psi, sum(abs(a / na - b / nb)) / 2 AS tv FROM shares GROUP BY 1, 2, 3, 4)"""
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 # a part's watermark is a day behind the latest time of the parts before it, in milliseconds; a window that ends by then takes no more rows

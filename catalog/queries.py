@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondeo import sources
 from sondeo.functions.columns import as_double, unpivot
 from sondeo.operators import autocorrelation as ac
-from sondeo.operators import causal, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, trend
+from sondeo.operators import causal, drift, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, trend
 from sondeo.operators.pipeline import analyze
 from sondeo.plans.panel import Panel, panel_order
 from sondeo.plans.quantiles import ACCURACY
@@ -557,6 +557,32 @@ def baseline_forecast(spark, folder):
     return tidy(forecast.baseline_forecast(event_sequence(spark, folder, ("value", "cycle", "stepped")), 10, 7, 7), 5)
 
 
+# --- drift -------------------------------------------------------------------------------------------------
+
+DRIFTING = ["l_quantity", "price", "l_orderkey", "hot", "fixed", "past"]
+
+
+def shipped(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
+    """Lines before and from mid 1998: some values moved, one that holds a third of its column, and one that ends."""
+    late = F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp_ntz")
+    return table(spark, folder, "lineitem").select(
+        "l_quantity", "l_orderkey", (F.col("l_extendedprice") * F.when(late, 1.2).otherwise(1.0)).alias("price"),
+        F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(F.col("l_discount")).alias("hot"), F.lit(1.0).alias("fixed"), F.when(~late, F.col("l_tax")).alias("past"),
+        "l_returnflag", F.when(late & (F.col("l_linenumber") == 1), "moved").otherwise(F.col("l_linestatus")).alias("status"), "l_shipdate",
+        F.when(F.col("l_orderkey") % 11 != 0, late).alias("late"),
+    ), F.col("late")
+
+
+@query
+def numeric_drift(spark, folder):
+    return tidy(drift.numeric_drift(*shipped(spark, folder), DRIFTING))
+
+
+@query
+def category_drift(spark, folder):
+    return tidy(drift.category_drift(*shipped(spark, folder), ["l_returnflag", "status"]))
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 
