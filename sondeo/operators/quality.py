@@ -21,15 +21,18 @@ TOP_OUTLIERS = 5
 
 # Rows at most this wide are grouped whole; wider rows are screened by a hash first.
 NARROW_ROW_BYTES = 32
+# A hash held by more than one in this many rows is counted where its rows stand.
+HOT_ROWS = 4096
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: total rows and rows that repeat an earlier row (NULLs equal).
 
     Wide rows are first grouped by a 64-bit hash, which shuffles 8 bytes a row. Only rows whose hash repeats are
-    then grouped by their full value, so hash collisions cannot count. Runs one job for wide tables.
+    then grouped by their full value, so hash collisions cannot count. Rows of hashes that hold more than one in ``HOT_ROWS`` rows, at most
+    ``HOT_ROWS`` hashes, are counted in their own task before they move. Runs two jobs for wide tables.
     """
-    df = df.select(*[hashable(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    df = df.select(*[hashable(col(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
     names = df.columns
     narrow = sum(8 if kind_of(df.schema[c].dataType) != "unsupported" else 64 for c in names) <= NARROW_ROW_BYTES
     fixed = not any(isinstance(df.schema[c].dataType, T.StringType) for c in names)
@@ -41,12 +44,18 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         )
     hashed = df.select(F.xxhash64(*whole).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     suspects = stored(hashed.where(F.col("_n") > 1), "repeated")
-    totals = df.agg(F.count(F.lit(1)).alias("rows"))
-    # the optimizer broadcasts the suspects when they are few and shuffles both sides otherwise
-    repeated = df.withColumn("_h", F.xxhash64(*whole)).join(suspects.select("_h"), "_h", "left_semi")
+    rows = df.count()
+    is_hot = F.col("_n") > rows / HOT_ROWS
+    rare = tagged = df.withColumn("_h", F.xxhash64(*whole))
+    if any_hot := not suspects.where(is_hot).isEmpty():
+        hot = F.broadcast(suspects.where(is_hot).select("_h"))
+        rare = tagged.join(hot, "_h", "left_anti")
+    # the optimizer broadcasts the other suspects when they are few and shuffles both sides otherwise
+    repeated = rare.join(suspects.where(~is_hot).select("_h"), "_h", "left_semi")
+    if any_hot:
+        repeated = repeated.unionByName(tagged.join(hot, "_h", "left_semi"))
     groups = repeated.groupBy("_h", *whole).agg(F.count(F.lit(1)).alias("_n"))
-    extra = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
-    return totals.crossJoin(F.broadcast(extra))
+    return groups.agg(F.lit(rows).cast("long").alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def high_missing(df: DataFrame, limit: float = HIGH_MISSING_PCT) -> DataFrame:

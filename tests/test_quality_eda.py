@@ -23,6 +23,15 @@ def test_narrow_duplicates(spark):
     assert quality.duplicate_rows(df).first().asDict() == {"rows": 10, "duplicate_rows": 6}
 
 
+@pytest.mark.parametrize("hot_rows", [1, 4, 4096])
+def test_repeated_rows_hot_and_rare(spark, monkeypatch, hot_rows):
+    """A row that holds a third of the table, rare repeats, nulls and a column named like the hash."""
+    monkeypatch.setattr(quality, "HOT_ROWS", hot_rows)
+    rows = [("hot", 1, "x" * 50)] * 30 + [(f"r{i % 20}", None, "y" * 50) for i in range(50)] + [(None, i, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "_h string, n int, _n string").repartition(5)
+    assert quality.duplicate_rows(df).first().asDict() == {"rows": 90, "duplicate_rows": 29 + 30}
+
+
 def test_high_missing_limit_is_strict(spark):
     rows = [(i, None if i < 40 else 1.0, None if i < 41 else 1.0, None) for i in range(100)]
     df = spark.createDataFrame(rows, "a int, b double, c double, d double")
