@@ -440,6 +440,14 @@ SELECT o_custkey, 'price' AS "column", lag, {rnd('g / max(CASE WHEN lag = 0 THEN
 ORACLES["panel_rolling_mean"] = f"""WITH {PANEL} SELECT o_custkey, 'price' AS "column", pos, {rnd('y')} AS y,
   {rnd('avg(y) OVER (PARTITION BY o_custkey ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_mean FROM filled"""
 
+# --- transforms --------------------------------------------------------------------------------------------
+
+CHANGED = f"""{FILLED}, kept AS (SELECT series, pos, y FROM series UNION ALL SELECT 'positive', pos, user_id + 1 FROM filled)"""
+ORACLES["apply_transforms"] = f"""WITH {CHANGED}, lines AS (SELECT regr_slope(y, pos) AS slope, regr_intercept(y, pos) AS base FROM kept WHERE series = 'stepped')
+SELECT series, pos, {rnd("""CASE series WHEN 'value' THEN y - lag(y) OVER w WHEN 'cycle' THEN y - lag(y, 7) OVER w WHEN 'positive' THEN ln(y / lag(y) OVER w) WHEN 'stepped' THEN y - base - slope * pos ELSE y END""", 5)} AS value
+FROM kept, lines WINDOW w AS (PARTITION BY series ORDER BY pos)"""
+ORACLES["transform_round_trip"] = f"WITH {CHANGED} SELECT series, pos, {rnd('y', 5)} AS y FROM kept"
+
 # --- forecasts ---------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from sondeo import sources
 from sondeo.functions.columns import as_double, unpivot
 from sondeo.operators import autocorrelation as ac
-from sondeo.operators import causal, drift, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, trend
+from sondeo.operators import causal, drift, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, transforms, trend
 from sondeo.operators.pipeline import analyze
 from sondeo.plans.panel import Panel, panel_order
 from sondeo.plans.quantiles import ACCURACY
@@ -525,6 +525,29 @@ def panel_rolling_mean(spark, folder):
     return tidy(panel.panel_rolling_mean(customer_panel(spark, folder), 3), 6)
 
 
+# --- transforms --------------------------------------------------------------------------------------------
+
+TRANSFORMS = {"value": "first_difference", "stepped": "detrend", "cycle": "seasonal_difference", "positive": "first_difference + log_transform", "user_id": "none"}
+
+
+def positive_sequence(spark: SparkSession, folder: str) -> Sequence:
+    events = gappy_events(spark, folder).withColumn("positive", F.col("user_id") + 1)
+    return time_order(events, F.col("ts"), list(TRANSFORMS), [F.col("event_id")])
+
+
+@query
+def apply_transforms(spark, folder):
+    return tidy(transforms.transformed(positive_sequence(spark, folder), TRANSFORMS).drop("base"), 5)
+
+
+@query
+def transform_round_trip(spark, folder):
+    """The inverse of every transform gives the gap-filled series again."""
+    seq = positive_sequence(spark, folder)
+    there = stored(transforms.transformed(seq, TRANSFORMS), "transformed")
+    return tidy(transforms.restored(there, TRANSFORMS, 7, seq.block_rows), 5)
+
+
 # --- forecasts ---------------------------------------------------------------------------------------------
 
 
