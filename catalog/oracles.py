@@ -489,6 +489,22 @@ ahead AS (SELECT *, last + step AS pos FROM ends, (SELECT unnest(range(1, 11)) A
 SELECT a.series, step, a.pos, {rnd('naive', 5)} AS naive, {rnd('s.y', 5)} AS seasonal_naive, (SELECT {rnd('avg(y)', 5)} FROM long l WHERE l.series = a.series AND l.pos > last - 7) AS moving_average,
   {rnd('base + slope * a.pos', 5)} AS linear FROM ahead a LEFT JOIN long s ON s.series = a.series AND s.pos = a.pos - 7 * ((step + 6) // 7)"""
 
+# the tail of chi-square with ten degrees of freedom has a closed form; that of the normal by Simpson's rule
+ORACLES["residual_diagnostics"] = f"""WITH {FILLED}, lines AS (SELECT series, regr_slope(y, pos) AS slope, regr_intercept(y, pos) AS base FROM series GROUP BY 1),
+left_over AS (SELECT series, pos, CASE WHEN series IN ('value', 'cycle') THEN y - lag(y) OVER (PARTITION BY series ORDER BY pos) ELSE y - base - slope * pos END AS e FROM series JOIN lines USING (series)),
+centred AS (SELECT *, e - avg(e) OVER w AS d, count(*) OVER w AS n FROM left_over WHERE e IS NOT NULL WINDOW w AS (PARTITION BY series)),
+lagged AS (SELECT a.series, k.lag, any_value(a.n) AS n, sum(a.d * b.d) AS g FROM (SELECT unnest(range(0, 11)) AS lag) k JOIN centred a ON TRUE JOIN centred b ON b.series = a.series AND b.pos = a.pos - k.lag GROUP BY 1, 2),
+box AS (SELECT series, n * (n + 2) * sum(CASE WHEN lag > 0 THEN g * g / (n - lag) END) / max(CASE WHEN lag = 0 THEN g END) ** 2 AS q FROM lagged GROUP BY series, n),
+runs AS (SELECT series, count(*) AS n, avg(e) AS bias, avg(e) / stddev_samp(e) * sqrt(count(*)) AS t, CAST(count(CASE WHEN e >= 0 THEN 1 END) AS DOUBLE) AS u, 1 + count(CASE WHEN turned THEN 1 END) AS runs FROM (
+  SELECT *, (e >= 0) <> lag(e >= 0) OVER (PARTITION BY series ORDER BY pos) AS turned FROM left_over WHERE e IS NOT NULL) GROUP BY 1),
+expected AS (SELECT *, 2 * u * (n - u) / n AS m FROM runs),
+scored AS (SELECT *, (runs - m - 1) / sqrt(m * (m - 1) / (n - 1)) AS z FROM expected JOIN box USING (series)),
+tails AS (SELECT *, {t_tail('t', 'n - 1')} AS bp, exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) AS qp,
+  CASE WHEN abs(z) > 30 THEN 0.0 ELSE greatest(0.0, 1 - 2 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(-0.5 * (abs(z) * i / 4000.0) ** 2))) * abs(z) / 12000.0 / sqrt(2 * pi())) END AS zp FROM scored)
+SELECT series, n, {rnd('bias', 5)} AS bias, {rnd('bp', 5)} AS bias_p, {rnd('q', 5)} AS ljung_box, {rnd('qp', 5)} AS ljung_box_p, runs, {rnd('z', 5)} AS runs_z, {rnd('zp', 5)} AS runs_p,
+  bp >= 0.05 AND qp >= 0.05 AND zp >= 0.05 AS white_noise FROM tails"""
+
 # --- drift -------------------------------------------------------------------------------------------------
 
 SHIPPED = """shipped AS (SELECT *, l_extendedprice * CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' THEN 1.2 ELSE 1.0 END AS price, CASE WHEN l_orderkey % 3 = 0 THEN 0.0 ELSE l_discount END AS hot,

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from sondeo import sources
 from sondeo.functions.columns import as_double, unpivot
 from sondeo.operators import autocorrelation as ac
-from sondeo.operators import causal, drift, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, transforms, trend
+from sondeo.operators import causal, diagnostics, drift, eda, forecast, panel, profile, quality, report, seasonality, segments, stationarity, transforms, trend
 from sondeo.operators.pipeline import analyze
 from sondeo.plans.panel import Panel, panel_order
 from sondeo.plans.quantiles import ACCURACY
@@ -580,6 +580,15 @@ def baseline_forecast(spark, folder):
     return tidy(forecast.baseline_forecast(event_sequence(spark, folder, ("value", "cycle", "stepped")), 10, 7, 7), 5)
 
 
+@query
+def residual_diagnostics(spark, folder):
+    """What naive forecasts and fitted lines leave over."""
+    seq = event_sequence(spark, folder)
+    left = transforms.transformed(seq, {"value": "first_difference", "stepped": "detrend", "user_id": "detrend", "cycle": "first_difference"})
+    found = diagnostics.residual_diagnostics(left.withColumnRenamed("value", "y"), 10, block_rows=seq.block_rows)
+    return tidy(found, 5)
+
+
 # --- drift -------------------------------------------------------------------------------------------------
 
 DRIFTING = ["l_quantity", "price", "l_orderkey", "hot", "fixed", "past"]

@@ -87,6 +87,43 @@ def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _vectorised(f_upper, f, d1, d2)
 
 
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma: the power series below a + 1, the continued fraction of the tail above."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1.0 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1.0 - scale * total)
+    # successive numerators and denominators of the fraction, kept near 1
+    p0, q0, p1, q1 = 0.0, 1.0, 1.0, x + 1 - a
+    value = p1 / q1
+    for k in range(1, 10_000):
+        weight, step = k * (a - k), x + 2 * k + 1 - a
+        p0, q0, p1, q1 = p1 / q1, 1.0, (step * p1 + weight * p0) / q1, step + weight * q0 / q1
+        before, value = value, p1 / q1
+        if abs(value - before) <= abs(value) * 1e-15:
+            break
+    return scale * value
+
+
+@F.pandas_udf(T.DoubleType())
+def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
+    """Upper tail of a chi-square statistic; applied to result rows only."""
+    return _vectorised(lambda x, df: gamma_upper(df / 2.0, x / 2.0), x, df)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_p_value(z: pd.Series) -> pd.Series:
+    """Two-sided p of a normal statistic; applied to result rows only."""
+    return _vectorised(lambda z: math.erfc(abs(z) / math.sqrt(2.0)), z)
+
+
 def unit_root_p(tau: float) -> float:
     if tau > TAU_MAX:
         return 1.0
