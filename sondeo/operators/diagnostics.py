@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sondeo.functions.columns import is_constant
 from sondeo.functions.tails import chi2_p_value, normal_p_value, t_p_value
 from sondeo.operators.trend import SIGNIFICANCE
+from sondeo.plans.scratch import stored
 from sondeo.plans.sequence import BLOCK_ROWS, lag_products, with_lags
 
 
@@ -16,11 +17,12 @@ def residual_diagnostics(residuals: DataFrame, lags: int = 10, fitted: int = 0,
 
     Positions are consecutive; missing residuals belong to no forecast and must be left out at the ends only. The Ljung-Box sum has
     ``lags`` - ``fitted`` degrees of freedom and is NULL for a constant series or one of ``lags`` rows or fewer; the runs test is NULL where all
-    signs agree (zero counts as positive). White noise: no test that has a value rejects.
+    signs agree (zero counts as positive). White noise: no test that has a value rejects. Runs one job, which stores the residuals.
     """
     if lags <= fitted:
         raise ValueError("more lags than fitted parameters are needed")
-    held = residuals.where(F.col("y").isNotNull()).select("series", "pos", "y")
+    # read three times
+    held = stored(residuals.where(F.col("y").isNotNull()).select("series", "pos", "y"), "residuals")
     # signs are compared with the row before, also across a block border
     signed = with_lags(held, [1], block_rows).select("series", "y", (F.col("y") >= 0).alias("up"), (F.col("lag_1") >= 0).alias("was_up"))
     shape = signed.groupBy("series").agg(
