@@ -87,10 +87,13 @@ def test_relationship_words(spark, r, words):
 def test_action_order(spark):
     p = Profile(columns=["t", "a", "b"], kinds={}, numeric=["a", "b"], dataset_type="time_series")
     falling = trends(spark, [("a", -30.0, 0.01, "downward", False, 1)])
-    still = spark.createDataFrame([("a", "unit_root"), ("b", "stationary")], "series string, verdict string")
+    # as the stationarity table gives them
+    still = spark.createDataFrame([("a", "unit_root", "first_difference"), ("b", "stationary", "none")], "series string, verdict string, transform string")
+    leaning = spark.createDataFrame([("b", "trend_stationary", "detrend + log_transform")], still.schema)
     calm = still.where("verdict = 'stationary'")
     act = lambda tables: report.recommended_action(p, spark, tables).first()["action"]
     assert act({"stationarity_table": still, "trend_table": falling})== "Model changes of a, not levels"
+    assert act({"stationarity_table": still.unionByName(leaning)}) == "Model changes of a, not levels; Take the trend out of b before modelling"
     assert act({"stationarity_table": calm, "trend_table": falling}) == "Find what makes a fall"
     assert act({"stationarity_table": calm, "trend_table": falling.limit(0)}).startswith("Run the report again")
     p.dataset_type = "cross_sectional"
