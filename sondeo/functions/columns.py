@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,12 @@ def as_double(name: str) -> Column:
     return col(name).cast("double")
 
 
+@F.pandas_udf(T.StringType())
+def two_decimals(v: pd.Series) -> pd.Series:
+    """A double at two decimals by its exact value, as Python prints it; format_string rounds its shortest digits half up. Applied to result rows only."""
+    return v.map("{:.2f}".format, na_action="ignore")
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """One text form per distinct value; -0.0 and 0.0 are one value."""
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):

@@ -237,7 +237,9 @@ def top_correlations(df: DataFrame, columns=None, profile: Profile | None = None
     """The strongest Pearson pairs, r at three decimals."""
     pairs = pearson_pairs(df, columns, profile)
     best = pairs.orderBy(F.abs("r").desc_nulls_last(), "ordinal_a", "ordinal_b").limit(top)
-    return best.select("a", "b", F.round("r", 3).alias("r"), "ordinal_a", "ordinal_b")
+    r = F.round("r", 3)
+    signed = F.when(F.col("r") < 0, -F.abs(r)).otherwise(r)  # round drops the sign of a small negative r
+    return best.select("a", "b", signed.alias("r"), "ordinal_a", "ordinal_b")
 
 
 # --- mutual information ------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sondeo.operators import pipeline, report, segments
+from sondeo.operators import eda, pipeline, report, segments
 from sondeo.operators.profile import Profile
 from sondeo.plans import scratch
 
@@ -84,6 +84,21 @@ def test_relationship_words(spark, r, words):
     assert words in report.relationship_statements(pairs).first()["statement"]
 
 
+@pytest.mark.parametrize("r,text", [(0.845, "0.84"), (0.705, "0.70"), (-0.965, "-0.96"), (0.125, "0.12"), (0.375, "0.38"), (-0.715, "-0.71")])
+def test_relationship_numbers_by_their_exact_value(spark, r, text):
+    # 0.845 is a little less than it says: half up of its digits would give 0.85
+    pairs = spark.createDataFrame([("a", "b", 0, 1, r)], "a string, b string, ordinal_a int, ordinal_b int, r double")
+    assert report.relationship_statements(pairs).first()["statement"].endswith(f", r {text}")
+
+
+def test_relationship_keeps_the_sign_of_a_small_r(spark):
+    x = np.tile([-1.0, 1.0], 5000)
+    y = np.where(np.arange(10000) % 4 < 2, 1.0, -1.0)
+    frame = spark.createDataFrame(pd.DataFrame({"x": x, "up": y + 2e-4 * x, "down": y - 2e-4 * x}))
+    text = {r["b"]: r["statement"] for r in report.relationship_statements(eda.top_correlations(frame)).collect() if r["a"] == "x"}
+    assert text == {"up": "x ~ up: weakly negative, r 0.00", "down": "x ~ down: weakly negative, r -0.00"}
+
+
 def test_action_order(spark):
     p = Profile(columns=["t", "a", "b"], kinds={}, numeric=["a", "b"], dataset_type="time_series")
     falling = trends(spark, [("a", -30.0, 0.01, "downward", False, 1)])
