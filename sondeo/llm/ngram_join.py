@@ -11,7 +11,7 @@ all others first, by hash. Steps:
 2. The rest is small. Per member, the document in whose order it comes first leads, which is the one with the fewest rare
    members; every other document is paired with its leaders, filtered by length, position and class counts (suffix
    filter), and verified once by its whole set.
-3. Links make components. Members whose documents are now all in one component are done; for the others, leaders are
+3. Links make components. Members of two documents, or whose documents are now all in one component, are done; for the others, leaders are
    compared and set aside until the pairs left between components are few for the size of the table, and these are
    compared as well, in cells of bounded size: the documents outside the largest component of a member with all of
    them. So every link between components is found, while a group of copies costs a few pairs for each.
@@ -301,8 +301,9 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     single = source.join(F.broadcast(gone), "id", "left_anti") if gone.count() <= BROADCAST_IDS else source
     emitted = prefixes(single, id_type, words, often, hot, least)
     whole = Window.partitionBy("member", "salt")
-    spread = emitted.repartition("member", "salt").withColumns({"lowest": F.min("id").over(whole), "highest": F.max("id").over(whole)})
-    kept = stored(spread.filter((F.col("lowest") < F.col("highest")) | (F.col("salt") >= 0) | F.col("copy_of").isNotNull()).drop("lowest", "highest", "salt"), "prefix-rows")
+    spread = emitted.repartition("member", "salt").withColumns({"lowest": F.min("id").over(whole), "highest": F.max("id").over(whole), "n": F.count("*").over(whole)})
+    spread = spread.filter((F.col("lowest") < F.col("highest")) | (F.col("salt") >= 0) | F.col("copy_of").isNotNull())
+    kept = stored(spread.withColumn("many", (F.col("salt") >= 0) | (F.col("n") > 2)).drop("lowest", "highest", "salt", "n"), "prefix-rows")
     often.destroy()
     links = equal.unionByName(kept.filter("copy_of is not null").select(F.col("id").alias("a"), F.col("copy_of").alias("b")))
     rows = kept.filter("copy_of is null").drop("copy_of")
@@ -316,6 +317,8 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     active = rows.withColumn("label", F.col("id"))
     lead = led(active)
     links = links.unionByName(verified(candidates(active, lead, shared, least), sizes, source, id_type, words, least))
+    # of a member's two rows, one led the other: no pair is left to compare
+    rows = rows.filter("many").drop("many")
     for turn in range(1, ROUNDS + 1):
         labels = components(links)
         active = rows.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")

@@ -85,6 +85,24 @@ def test_families_need_every_link(spark, per_row, rounds, monkeypatch):
     assert order(got) == order(plain_components(rows))
 
 
+def test_members_of_two_documents_need_no_round(spark, monkeypatch):
+    """Texts in pairs that share members and no link: their leader has met the other, and no row is carried on."""
+    text = lambda i, own: " ".join([f"s{i}x{k}" for k in range(20)] + [f"{own}{i}x{k}" for k in range(20)])
+    rows = [(2 * i, text(i, "a")) for i in range(20)] + [(2 * i + 1, text(i, "b")) for i in range(20)]
+    open_rows, stored = [], ngram_join.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "prefix-open":
+            open_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.annotated(docs).collect()]
+    assert order(got) == order(plain_components(rows)) and open_rows == [0]
+
+
 def test_families_in_small_cells(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 10**9)
     monkeypatch.setattr(ngram_join, "CELL_ROWS", 3)
